@@ -16,8 +16,9 @@ PAIRS_PER_PASS = 400
 def correlated_pairs(
     frame: DataFrame, columns: Sequence[str], cutoff: float = 0.8, first_of_equal: bool = False
 ) -> DataFrame:
-    """Pairs whose Pearson correlation (pairwise complete rows) exceeds the cutoff, exact 1 left out.
+    """Pairs whose Pearson correlation (pairwise complete rows) exceeds the cutoff, identical columns left out.
 
+    A correlation of 1 is recognised to twelve decimals, since summation order moves the last digits.
     ``first_of_equal`` also keeps only the first pair among pairs with the very same correlation.
     """
     pairs = list(combinations(range(len(columns)), 2))
@@ -40,7 +41,7 @@ def correlated_pairs(
         return found.select(F.inline(F.array(*rows)))
 
     every = reduce(DataFrame.unionByName, [one_pass(chunk) for chunk in passes])
-    high = every.where((F.col("CORRELATION") != 1) & (F.col("CORRELATION") > cutoff))
+    high = every.where((F.round("CORRELATION", 12) != 1) & (F.col("CORRELATION") > cutoff))
     if first_of_equal:
         nth = F.row_number().over(Window.partitionBy("CORRELATION").orderBy("_order"))
         high = high.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth")

@@ -67,13 +67,13 @@ def job(function: Job) -> Job:
     return function
 
 
-def tidy(frame: DataFrame, digits: int = 4, fine: int = 9) -> DataFrame:
+def tidy(frame: DataFrame, digits: int = 4) -> DataFrame:
     """Comparable output: rounded doubles (averages and ratios finer), dates as text."""
     columns = []
     for field in frame.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            places = fine if any(tag in field.name for tag in FINE_TAGS) else digits
+            places = next((n for tag, n in FINE_DIGITS.items() if tag in field.name), digits)
             column = F.round(column.cast("double"), places)
         elif isinstance(field.dataType, T.DateType):
             column = column.cast("string")
@@ -81,7 +81,9 @@ def tidy(frame: DataFrame, digits: int = 4, fine: int = 9) -> DataFrame:
     return frame.select(*columns)
 
 
-FINE_TAGS = ("_MEAN_", "MARKUP", "_PCT", "RATIO", "PROBA", "SHARE", "FPR", "TPR", "AUC", "THRESHOLD")
+FINE_DIGITS = {"_BY_": 7} | dict.fromkeys(
+    ("_MEAN_", "MARKUP", "_PCT", "RATIO", "PROBA", "SHARE", "FPR", "TPR", "AUC", "THRESHOLD"), 9
+)
 
 
 # ---- slot engine -----------------------------------------------------------------------------------
@@ -483,7 +485,8 @@ def panel_leakage_drop(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def panel_complete_cases(spark: SparkSession, folder: str) -> DataFrame:
-    rows = panel.complete_cases(model_panel(spark, folder))
+    lagged = [f"{name}_LAG_{k}" for name in (*views.PANEL_SUMS, "AVG_MARKUP") for k in (1, 2, 3)]
+    rows = panel.complete_cases(model_panel(spark, folder), lagged)
     return tidy(rows.select(*panel.ENTITY, "DATE_MONTH", "IS_CHURNED", "RN_LAG_1", "AVG_MARKUP_LAG_1"))
 
 

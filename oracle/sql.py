@@ -224,7 +224,7 @@ def correlation_sql() -> str:
     return with_(
         SLOTS + ", s AS (" + scenario_rows(columns, REPLAYS) + "), t AS (SELECT * FROM s WHERE FF_GROSS_SALES_SUM_L1S > 0.005)",
         f"SELECT VARIABLE_1, VARIABLE_2, {rnd('c', 6)} AS CORRELATION FROM ({' UNION ALL '.join(pairs)}) "
-        "WHERE c <> 1 AND c > 0.8",
+        "WHERE round(c, 12) <> 1 AND c > 0.8",
     )
 
 
@@ -296,7 +296,8 @@ feat AS (
     coalesce(sum(GROSS_SALES_), 0) AS GROSS_SALES,
     coalesce(sum(GROSS_SALES_) FILTER (day >= brk - INTERVAL 2 MONTH), 0) AS GROSS_SALES_L2M,
     coalesce(sum(GROSS_SALES_) FILTER (day >= brk - INTERVAL 12 MONTH), 0) AS GROSS_SALES_L12M,
-    coalesce(regr_slope(RN_, R), 0) AS SLOPE_RN, coalesce(regr_slope(GROSS_SALES_, R), 0) AS SLOPE_GROSS_SALES
+    coalesce(nullif(regr_slope(RN_, R), 'nan'::DOUBLE), 0) AS SLOPE_RN,
+    coalesce(nullif(regr_slope(GROSS_SALES_, R), 'nan'::DOUBLE), 0) AS SLOPE_GROSS_SALES
   FROM base WHERE day < brk GROUP BY PK, ETL
   HAVING sum(RN_) > 0 AND sum(GROSS_SALES_) > 0 AND coalesce(sum(RN_) FILTER (day >= brk - INTERVAL 12 MONTH), 0) > 0
 ),
@@ -329,11 +330,12 @@ def ledger_final(months: list[str]) -> str:
     whole = ["TIME_FROM_LAST_BOOKING", "DATES", "DATES_L2M", "DATES_L12M"]
     money = [
         "RN", "RN_L2M", "RN_L12M", "GROSS_SALES", "GROSS_SALES_L2M", "GROSS_SALES_L12M", "SLOPE_RN", "SLOPE_GROSS_SALES",
-        "RN_BY_BOOKING_DATES", "GROSS_SALES_BY_BOOKING_DATES", *DISPUTE_COLUMNS,
+        *DISPUTE_COLUMNS,
     ]
     return with_(
         ledger_ctes(months),
         f"SELECT PK, {text('ETL')} AS ETL, {', '.join(whole)}, {rounded(money, 4)}, {rounded(MARKUP_COLUMNS, 9)}, "
+        f"{rounded(['RN_BY_BOOKING_DATES', 'GROSS_SALES_BY_BOOKING_DATES'], 7)}, "
         "CHURN_L2M, CHURN, CHURN_VARIATION FROM final",
     )
 
@@ -762,7 +764,7 @@ def statements() -> dict[str, str]:
         PANEL,
         f"SELECT {ENTITY}, {MONTH}, PAYMENT_CREDIT, PAYMENT_PREPAYMENT, MONTH_NUMBER, IS_CHURNED, {lag_columns(PANEL_VALUES)} FROM panel",
     )
-    filled = " AND ".join(f"{n}_LAG_{k} IS NOT NULL" for n in PANEL_VALUES for k in (1, 2, 3))
+    filled = " AND ".join(f"{n}_LAG_{k} IS NOT NULL" for n in [*PANEL_SUMS, "AVG_MARKUP"] for k in (1, 2, 3))
     sql["panel_complete_cases"] = with_(
         PANEL + f", lagged AS (SELECT {ENTITY}, {MONTH}, IS_CHURNED, {lag_columns(PANEL_VALUES)} FROM panel)",
         f"SELECT {ENTITY}, DATE_MONTH, IS_CHURNED, RN_LAG_1, AVG_MARKUP_LAG_1 FROM lagged WHERE {filled}",
