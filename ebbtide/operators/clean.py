@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import is_true
-from ebbtide.operators.prefix import exact_quantiles, running_totals
+from ebbtide.operators.prefix import exact_quantiles, ranked_quantiles, running_totals
 from ebbtide.operators.slots import SCENARIO
 
 
@@ -109,8 +109,13 @@ def column_profile(frame: DataFrame, columns: Sequence[str], bins: int = 10) ->
     long = numeric.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("_value")) for c in columns]))
     )
-    counts = long.groupBy("COLUMN", "_value").agg(F.count(F.lit(1)).alias("_n"))
     present = F.col("_value").isNotNull()
+    counts = running_totals(
+        long.groupBy("COLUMN", "_value").agg(F.count(F.lit(1)).alias("_n")),
+        [F.col("_value")],
+        {"_upto": F.when(present, F.col("_n")).otherwise(0)},
+        ["COLUMN"],
+    )
     weighted = F.when(present, F.col("_n"))
     basics = counts.groupBy("COLUMN").agg(
         F.coalesce(F.sum(weighted), F.lit(0)).alias("N"),
@@ -131,7 +136,7 @@ def column_profile(frame: DataFrame, columns: Sequence[str], bins: int = 10) ->
             for b in range(bins)
         ],
     )
-    quartiles = exact_quantiles(long, "_value", {"Q25": 0.25, "MEDIAN": 0.5, "Q75": 0.75}, ["COLUMN"])
+    quartiles = ranked_quantiles(counts, "_value", {"Q25": 0.25, "MEDIAN": 0.5, "Q75": 0.75}, ["COLUMN"])
     histogram = F.array(*[F.col(f"_bin{b}") for b in range(bins)]).alias("HISTOGRAM")
     return (
         basics.join(spread, "COLUMN")

@@ -76,8 +76,14 @@ def exact_quantiles(
     Works on value counts, so a value that fills most of a group costs one row.
     """
     counts = value_counts(frame, value, by)
-    ranked = running_totals(counts, [F.col(value)], {"_upto": F.col("_n")}, by)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    return ranked_quantiles(running_totals(counts, [F.col(value)], {"_upto": F.col("_n")}, by), value, quantiles, by)
+
+
+def ranked_quantiles(
+    ranked: DataFrame, value: str, quantiles: Mapping[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Quantiles from value counts ``_n`` with running counts ``_upto``."""
+    sizes = ranked.groupBy(*by).agg(F.max("_upto").alias("_size"))
     if by:
         on = [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
         sized = ranked.alias("v").join(sizes.alias("s"), on).select(
@@ -114,5 +120,5 @@ def top_share(frame: DataFrame, value: str, key: str, floor: float = 0.005) -> D
     ranked = running_totals(
         kept, [F.col(value).desc(), F.col(key)], {"POSITION": F.lit(1), "CUMULATIVE": F.col(value)}
     )
-    total = kept.agg(F.sum(value)).scalar()
+    total = ranked.agg(F.sum(value)).scalar()
     return ranked.select(key, value, "POSITION", "CUMULATIVE", (F.col("CUMULATIVE") / total).alias("SHARE"))

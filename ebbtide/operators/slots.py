@@ -6,6 +6,9 @@ slots, and the label window of a horizon is the range ``m-ph .. m-ph+cp-1``.  Sl
 one ``(key, slot)`` ordering therefore give every scenario at once: the row at slot ``m`` carries the
 complete training row of scenario ``m``.  The facts are shuffled once on the key and never replicated
 per scenario, window or label, and the cost does not grow with the number of scenarios.
+
+The windows overlap, so the slot axis is cut at every window edge into disjoint bands; each band is
+aggregated once and a window is put together from its bands.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
 
 from ebbtide.plans.catalog import INACTIVE_BELOW, TARGET_METRIC
 from ebbtide.plans.spec import DATE_DIFFS, Fn, Horizon, Line, column_name, expand
@@ -78,26 +80,84 @@ def _carriers(metric: str, fn: Fn) -> dict[str, Column]:
     return {f"{metric}__max": F.max(metric)}
 
 
-def _in_frame(item: Line, fn: Fn, frame: WindowSpec | None, merged: bool) -> Column:
-    """Aggregate of one metric over a frame; ``None`` means the current row alone."""
-    name = item.metric
+def cut_bands(windows: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint slot ranges such that every window is a union of some of them."""
+    windows = set(windows)
+    starts = sorted({low for low, _ in windows} | {high + 1 for _, high in windows})
+    bands = [(low, after - 1) for low, after in zip(starts, starts[1:], strict=False)]
+    return [b for b in bands if any(low <= b[0] and b[1] <= high for low, high in windows)]
+
+
+class _Bands:
+    """Hands out one named window column per (aggregate, band) and combines them into windows.
 
-    def over(aggregate, column: str) -> Column:
-        return F.col(column) if frame is None else aggregate(column).over(frame)
+    Columns are SQL text: a wide spec has thousands of them, and text costs one call each to build.
+    """
 
+    def __init__(self, windows: Iterable[tuple[int, int]], merged: bool):
+        self.bands = cut_bands(windows)
+        self.merged = merged
+        self.columns: dict[str, str] = {}
+
+    def _cells(self, kind: str, metric: str, low: int, high: int) -> list[str]:
+        cells = []
+        for band in self.bands:
+            if low <= band[0] and band[1] <= high:
+                name = f"`{metric}__{kind}__{band[0]}__{band[1]}`"
+                if name not in self.columns:
+                    self.columns[name] = f"{self._aggregate(kind, metric, band)} AS {name}"
+                cells.append(name)
+        return cells
+
+    def _aggregate(self, kind: str, metric: str, band: tuple[int, int]) -> str:
+        here = band == (0, 0)  # the current row alone: no window needed
+        over = f"OVER (PARTITION BY {KEY} ORDER BY {SLOT} RANGE BETWEEN {_bound(band[0])} AND {_bound(band[1])})"
+        if kind == "rows":
+            return "1" if here else f"count(1) {over}"
+        source = f"`{metric}__{kind}`" if self.merged else f"`{metric}`"
+        if kind == "cnt" and not self.merged:
+            return f"int({source} IS NOT NULL)" if here else f"count({source}) {over}"
+        if here:
+            return source
+        fold = "sum" if kind == "cnt" else kind
+        return f"{fold}({source}) {over}"
+
+    def rows(self, low: int, high: int) -> str:
+        return _added(self._cells("rows", "", low, high))
+
+    def total(self, metric: str, low: int, high: int, keep_missing: bool = False) -> str:
+        cells = self._cells("sum", metric, low, high)
+        total = f"double({_added(cells)})"
+        return f"if(coalesce({', '.join(cells)}) IS NULL, NULL, {total})" if keep_missing else total
+
+    def mean(self, metric: str, low: int, high: int) -> str:
+        count = _added(self._cells("cnt", metric, low, high))
+        return f"{self.total(metric, low, high)} / nullif({count}, 0)"
+
+    def extreme(self, kind: str, metric: str, low: int, high: int) -> str:
+        cells = self._cells(kind, metric, low, high)
+        pick = "least" if kind == "min" else "greatest"
+        return f"{pick}({', '.join(cells)})" if len(cells) > 1 else cells[0]
+
+
+def _bound(offset: int) -> str:
+    if offset == 0:
+        return "CURRENT ROW"
+    return f"{abs(offset)} {'FOLLOWING' if offset > 0 else 'PRECEDING'}"
+
+
+def _added(cells: Sequence[str]) -> str:
+    """Sum of cells with missing as 0."""
+    return "(" + " + ".join(f"coalesce({c}, 0)" for c in cells) + ")"
+
+
+def _feature(bands: _Bands, item: Line, fn: Fn, low: int, high: int) -> str:
     if fn is Fn.SUM:
-        total = over(F.sum, f"{name}__sum" if merged else name)
-        total = total if item.nulls_as_missing else F.coalesce(total, F.lit(0))
-        return total.cast("double")
+        return bands.total(item.metric, low, high, item.nulls_as_missing)
     if fn is Fn.AVG:
-        if merged:
-            return over(F.sum, f"{name}__sum") / F.nullif(over(F.sum, f"{name}__cnt"), F.lit(0))
-        return over(F.avg, name).cast("double")
-    if fn in (Fn.MIN, Fn.DIFF_DATE_MIN):
-        value = over(F.min, f"{name}__min" if merged else name)
-    else:
-        value = over(F.max, f"{name}__max" if merged else name)
-    return F.datediff(F.col(SLOT_DATE), value) if fn in DATE_DIFFS else value
+        return bands.mean(item.metric, low, high)
+    value = bands.extreme("min" if fn in (Fn.MIN, Fn.DIFF_DATE_MIN) else "max", item.metric, low, high)
+    return f"datediff({SLOT_DATE}, {value})" if fn in DATE_DIFFS else value
 
 
 def slot_features(
@@ -145,32 +205,26 @@ def sliding_rows(
     if merged:
         rows = merge_slot_rows(rows, lines, metric if labels else None)
 
-    ordered = Window.partitionBy(KEY).orderBy(SLOT)
-    columns: list[Column] = []
-    present: list[Column] = []
-    for (length, mode), items in windows.items():
-        first = 0 if mode == "agg" else length - 1
-        frame = None if length == 1 else ordered.rangeBetween(first, length - 1)
-        if mode == "only" and frame is not None:
-            present.append(F.count(F.lit(1)).over(frame) > 0)
+    spans = {key: (0 if key[1] == "agg" else key[0] - 1, key[0] - 1) for key in windows}
+    label_spans = [(label.low, label.high) for label in labels]
+    bands = _Bands([*spans.values(), *label_spans, (0, 0)], merged)
+
+    columns: list[str] = []
+    for key, items in windows.items():
         for item in items:
             for fn in item.functions:
                 if fn is not Fn.ISNULL:
-                    name = column_name(item.metric, fn, length, mode, unit, prefix)
-                    columns.append(_in_frame(item, fn, frame, merged).alias(name))
+                    name = column_name(item.metric, fn, *key, unit, prefix)
+                    columns.append(f"{_feature(bands, item, fn, *spans[key])} AS `{name}`")
     for label in labels:
-        frame = ordered.rangeBetween(label.low, label.high)
-        source = f"{metric}__sum" if merged else metric
-        amount = F.coalesce(F.sum(source).over(frame), F.lit(0)).cast("double")
-        columns.append(amount.alias(label.amount))
-        columns.append((amount < INACTIVE_BELOW).alias(label.flag))
-        present.append(F.count(F.lit(1)).over(frame) > 0)
-
-    keep = F.lit(True)
-    for condition in present if presence else ():
-        keep = keep & condition
-    wide = rows.select(KEY, F.col(SLOT).alias(SCENARIO), *columns, keep.alias("_keep"))
-    return wide.where(F.col(SCENARIO).isin(*scenarios) & F.col("_keep")).drop("_keep")
+        amount = bands.total(metric, label.low, label.high)
+        columns += [f"{amount} AS `{label.amount}`", f"{amount} < {INACTIVE_BELOW} AS `{label.flag}`"]
+    keep = [f"{SLOT} IN ({', '.join(map(str, scenarios))})"]
+    # a cumulative window holds the scenario's own slot, so it can never be empty here
+    asked = [spans[key] for key in windows if key[1] == "only"] + label_spans
+    keep += [f"{bands.rows(*span)} > 0" for span in asked if presence]
+    banded = rows.selectExpr(KEY, SLOT, SLOT_DATE, *bands.columns.values())
+    return banded.where(" AND ".join(keep)).selectExpr(KEY, f"{SLOT} AS {SCENARIO}", *columns)
 
 
 def labels_long(labels: DataFrame, horizons: Sequence[Horizon], metric: str) -> DataFrame:

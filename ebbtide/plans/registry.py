@@ -71,14 +71,19 @@ def tidy(frame: DataFrame, digits: int = 4) -> DataFrame:
     """Comparable output: rounded doubles (averages and ratios finer), dates as text."""
     columns = []
     for field in frame.schema.fields:
-        column = F.col(f"`{field.name}`")
+        name = f"`{field.name}`"
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             places = next((n for tag, n in FINE_DIGITS.items() if tag in field.name), digits)
-            column = F.round(column.cast("double"), places)
-        elif isinstance(field.dataType, T.DateType):
-            column = column.cast("string")
-        columns.append(column.alias(field.name))
-    return frame.select(*columns)
+            columns.append(f"{half_up(f'double({name})', places)} AS {name}")
+        else:
+            columns.append(f"string({name}) AS {name}" if isinstance(field.dataType, T.DateType) else name)
+    return frame.selectExpr(*columns)
+
+
+def half_up(value: str, places: int) -> str:
+    """Rounding in plain floating point (the built-in one goes through decimals for every value)."""
+    scale = f"{10**places}D"
+    return f"if({value} < 0, -1, 1) * (floor(abs({value}) * {scale} + 0.5D) / {scale})"
 
 
 FINE_DIGITS = {"_BY_": 7} | dict.fromkeys(
@@ -720,13 +725,20 @@ MODEL_LINES = [*AGG_LINES, *RECENCY_LINES]
 TREES = {"maxIter": 10, "maxDepth": 4}
 
 
-def hotel_training(spark: SparkSession, folder: str, scenarios, cp: int) -> DataFrame:
-    rows = training(spark, folder, scenarios, MODEL_LINES)
+def saved_training(spark: SparkSession, folder: str) -> DataFrame:
+    """The training table as models read it: written once, one folder per scenario."""
+    path = scratch_path(spark, "training")
+    tables.write_snapshot(training(spark, folder, (4, *SCENARIOS), MODEL_LINES), path, ["SCENARIO_DATE"])
+    return tables.read_snapshot(spark, path)
+
+
+def model_rows(saved: DataFrame, scenarios, cp: int) -> DataFrame:
+    rows = saved.where(F.col("SCENARIO_DATE").isin(*scenarios))
     return slots.active_population(rows, "GROSS_SALES", cp)
 
 
-def client_split(spark: SparkSession, folder: str, ph: int = 1, cp: int = 1) -> tuple[DataFrame, DataFrame]:
-    rows = clean.split_newest(hotel_training(spark, folder, SCENARIOS, cp)).persist()
+def client_split(spark: SparkSession, folder: str, cp: int = 1) -> tuple[DataFrame, DataFrame]:
+    rows = clean.split_newest(model_rows(saved_training(spark, folder), SCENARIOS, cp))
     return rows.where(F.col("SPLIT") == "dev"), rows.where(F.col("SPLIT") == "test")
 
 
@@ -740,7 +752,7 @@ def churn_model_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def feature_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    dev, _ = client_split(spark, folder, 4, 4)
+    dev, _ = client_split(spark, folder, 4)
     features = [c for c in dev.columns if c.startswith("FF_")]
     _, ranking = model.select_features(
         dev, "CHURN_PH_4_CP_4S", features, catalog.HOTEL_FORCED_FEATURES, model.classifier(TREES)
@@ -750,7 +762,7 @@ def feature_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def cv_auc(spark: SparkSession, folder: str) -> DataFrame:
-    rows = hotel_training(spark, folder, (slots.TODAY,), 1)
+    rows = model_rows(saved_training(spark, folder), (slots.TODAY,), 1)
     return model.cv_auc(
         rows, "CHURN_PH_4_CP_4S", catalog.CLIENT_MODEL_FEATURES, 6, model.classifier({"maxIter": 5, "maxDepth": 3})
     )
@@ -774,13 +786,13 @@ def churn_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
-    dev, _ = client_split(spark, folder)
+    saved = saved_training(spark, folder)
+    dev = model_rows(saved, SCENARIOS[2:], 1)
     path = scratch_path(spark, "model")
     model.save_model(
         model.fit(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES, model.classifier(TREES)), path
     )
-    today = hotel_training(spark, folder, (slots.TODAY,), 1)
-    return model.score_batch(today, path)
+    return model.score_batch(model_rows(saved, (slots.TODAY,), 1), path)
 
 
 @job
@@ -802,9 +814,9 @@ def shadow_selection(spark: SparkSession, folder: str) -> DataFrame:
 @job
 def publish_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Four horizons fitted, today scored with each, the wide table published and read back."""
-    rows = hotel_training(spark, folder, SCENARIOS, 4).where(F.col("FF_HAS_SOME_GND_MAX_L1S") == 0).persist()
-    today = hotel_training(spark, folder, (slots.TODAY,), 4).where(F.col("FF_HAS_SOME_GND_MAX_L1S") == 0).persist()
-    dev = clean.split_newest(rows).where(F.col("SPLIT") == "dev").persist()
+    saved = saved_training(spark, folder).where(F.col("FF_HAS_SOME_GND_MAX_L1S") == 0)
+    today = model_rows(saved, (slots.TODAY,), 4)
+    dev = clean.split_newest(model_rows(saved, SCENARIOS, 4)).where(F.col("SPLIT") == "dev")
     features = [*catalog.CLIENT_MODEL_FEATURES, *catalog.HOTEL_FORCED_FEATURES]
     scores = {}
     for ph in (4, 3, 2, 1):

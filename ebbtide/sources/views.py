@@ -27,7 +27,7 @@ URGENT = ("1-URGENT", "2-HIGH")
 
 def cents(column: str) -> Column:
     """Amount with two decimals as a whole number."""
-    return F.round(F.col(column) * 100).cast("long")
+    return F.rint(F.col(column) * 100).cast("long")
 
 
 def line_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,22 +74,16 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Dense customer x slot facts.
 
     The grid of empty slots is unioned to the orders and both are reduced by one aggregate, which
-    fills the gaps without a join between grid and facts.
+    fills the gaps without a join between grid and facts.  Names are looked up afterwards: text in the
+    aggregate would turn it from hashing to sorting.
     """
     slot = F.floor(F.datediff(F.lit(LAST_DAY), F.col("day")) / SLOT_DAYS).cast("int")
     orders = order_rows(spark, folder).select(
         F.col("o_custkey").alias(KEY), slot.alias(SLOT), "*"
     ).where(F.col(SLOT).between(0, N_SLOTS - 1))
-    grid = customers(spark, folder).select(
-        F.col("c_custkey").alias(KEY),
-        F.explode(F.sequence(F.lit(0), F.lit(N_SLOTS - 1))).alias(SLOT),
-        F.col("r_name").alias("region"),
-        F.col("c_mktsegment").alias("segment"),
-        F.col("n_name").alias("category"),
-        (F.col("c_acctbal") < 0).cast("int").alias("has_gnd"),
+    grid = read_table(spark, folder, "customer").select(
+        F.col("c_custkey").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(N_SLOTS - 1))).alias(SLOT)
     )
-    known = grid.select(KEY).distinct()
-    orders = orders.join(known, KEY, "left_semi")
 
     def total(column: str, scale: int = 1) -> Column:
         value = F.coalesce(F.sum(column), F.lit(0))
@@ -99,6 +93,7 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
         return F.sum(column) / F.nullif(F.sum("n_lines"), F.lit(0)) / scale
 
     facts = grid.unionByName(orders, allowMissingColumns=True).groupBy(KEY, SLOT).agg(
+        F.date_sub(F.lit(LAST_DAY), F.col(SLOT) * SLOT_DAYS).alias(SLOT_DATE),
         total("rn").alias("RN"),
         total("sales", 100).alias("GROSS_SALES"),
         total("sales", 100).alias("GROSS_COMMERCIAL_COST"),
@@ -114,12 +109,15 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.col("o_orderpriority").isin(*URGENT)).alias("VALUATIONS_TOTAL"),
         F.count_if(F.col("o_orderstatus") == "F").alias("BOOKINGCANCELLATION"),
         total("n_returned").alias("SEARCHES_FAILED"),
-        F.max("region").alias("REGION"),
-        F.max("segment").alias("SEGMENTATION"),
-        F.max("category").alias("HOTEL_CATEGORY_GROUP"),
-        F.max("has_gnd").alias("HAS_SOME_GND"),
     )
-    return facts.withColumn(SLOT_DATE, F.date_sub(F.lit(LAST_DAY), F.col(SLOT) * SLOT_DAYS))
+    owners = customers(spark, folder).select(
+        F.col("c_custkey").alias(KEY),
+        F.col("r_name").alias("REGION"),
+        F.col("c_mktsegment").alias("SEGMENTATION"),
+        F.col("n_name").alias("HOTEL_CATEGORY_GROUP"),
+        (F.col("c_acctbal") < 0).cast("int").alias("HAS_SOME_GND"),
+    )
+    return facts.join(owners, KEY)
 
 
 def ledger_rows(spark: SparkSession, folder: str) -> DataFrame:
