@@ -93,6 +93,17 @@ def score(model: PipelineModel, frame: DataFrame, target: str | None = None) ->
     )
 
 
+def score_horizons(models: Mapping[int, PipelineModel], frame: DataFrame) -> DataFrame:
+    """``PROBA_<ph>S`` of every model beside the row's own columns, in one pass without joins."""
+    kept = frame.columns
+    for ph, model in models.items():
+        name = f"PROBA_{ph}S"
+        scored = model.transform(frame.select(*kept))
+        frame = scored.select(*kept, vector_to_array("probability")[1].alias(name))
+        kept = [*kept, name]
+    return frame
+
+
 def importance_ranking(model: PipelineModel, frame: DataFrame, features: Sequence[str]) -> list[tuple[str, float]]:
     """Feature importances, largest first; a feature's value and missing marker are added up."""
     _, names = feature_stages(frame, features)

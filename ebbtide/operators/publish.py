@@ -22,12 +22,16 @@ def publish_wide(
     for ph, scored in scores.items():
         proba = scored.select(KEY, SCENARIO, F.col("PROBA").alias(f"PROBA_{ph}S"))
         wide = wide.join(proba, [KEY, SCENARIO])
-    flags = {ph: f"CHURN_PH_{ph}_CP_{cp}S" for ph in scores}
+    return publish_scored(wide, list(scores), features, cp)
+
+
+def publish_scored(wide: DataFrame, horizons: Sequence[int], features: Sequence[str] = (), cp: int = 4) -> DataFrame:
+    """The published columns of a frame that already holds ``PROBA_<ph>S``, with the rank by margin."""
     kept = unique([KEY, SCENARIO, MARGIN, *features])
     selected = wide.select(
         *kept,
-        *[F.col(source).alias(f"CHURN_{ph}S") for ph, source in flags.items()],
-        *[f"PROBA_{ph}S" for ph in scores],
+        *[F.col(f"CHURN_PH_{ph}_CP_{cp}S").alias(f"CHURN_{ph}S") for ph in horizons],
+        *[f"PROBA_{ph}S" for ph in horizons],
     )
     return rank_by(selected, MARGIN, "RANK", method="max")
 

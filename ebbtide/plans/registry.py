@@ -13,7 +13,7 @@ from ebbtide.operators import anomaly, bi, clean, evaluate, ledger, model, month
 from ebbtide.operators.select import correlated_pairs
 from ebbtide.plans import catalog
 from ebbtide.plans.spec import Fn, horizons, line
-from ebbtide.session import scratch_path
+from ebbtide.session import ensure_checkpoint_dir, scratch_path
 from ebbtide.sources import tables, views
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -818,14 +818,14 @@ def publish_predictions(spark: SparkSession, folder: str) -> DataFrame:
     today = model_rows(saved, (slots.TODAY,), 4)
     dev = clean.split_newest(model_rows(saved, SCENARIOS, 4)).where(F.col("SPLIT") == "dev")
     features = [*catalog.CLIENT_MODEL_FEATURES, *catalog.HOTEL_FORCED_FEATURES]
-    scores = {}
-    for ph in (4, 3, 2, 1):
-        fitted = model.fit(
-            dev, f"CHURN_PH_{ph}_CP_4S", features, model.classifier({"maxIter": 5, "maxDepth": 3})
-        )
-        scores[ph] = model.score(fitted, today)
+    fitted = {
+        ph: model.fit(dev, f"CHURN_PH_{ph}_CP_4S", features, model.classifier({"maxIter": 5, "maxDepth": 3}))
+        for ph in (4, 3, 2, 1)
+    }
+    ensure_checkpoint_dir(spark)
+    wide = model.score_horizons(fitted, today).checkpoint()  # scored once, then ranked and published
     name = "churn_prediction"
-    tables.publish_table(publish.publish_wide(today, scores, features), name, scratch_path(spark, name))
+    tables.publish_table(publish.publish_scored(wide, list(fitted), features), name, scratch_path(spark, name))
     return spark.table(name)
 
 

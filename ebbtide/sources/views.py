@@ -78,9 +78,12 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
     aggregate would turn it from hashing to sorting.
     """
     slot = F.floor(F.datediff(F.lit(LAST_DAY), F.col("day")) / SLOT_DAYS).cast("int")
-    orders = order_rows(spark, folder).select(
-        F.col("o_custkey").alias(KEY), slot.alias(SLOT), "*"
-    ).where(F.col(SLOT).between(0, N_SLOTS - 1))
+    oldest = LAST_DAY - dt.timedelta(days=SLOT_DAYS * N_SLOTS - 1)
+    orders = (
+        order_rows(spark, folder)
+        .where(F.col("day").between(F.lit(oldest), F.lit(LAST_DAY)))  # reaches the file scan
+        .select(F.col("o_custkey").alias(KEY), slot.alias(SLOT), "*")
+    )
     grid = read_table(spark, folder, "customer").select(
         F.col("c_custkey").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(N_SLOTS - 1))).alias(SLOT)
     )
