@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.slots import KEY, SCENARIO, SLOT, SLOT_DATE, LabelWindow, sliding_rows
+from ebbtide.operators.slots import SCENARIO, SLOT, SLOT_DATE, LabelWindow, sliding_rows
 from ebbtide.plans.spec import Line
 
 DAY = "DATE"
