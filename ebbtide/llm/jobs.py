@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import documents
+from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
 from ebbtide.llm.shards import shuffle_into_shards
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
+#: Vocabulary of the piece codec.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def job(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +32,12 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@job
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder, "doc_id", "text")
+    return encode_decode(rows, PIECES, fields=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
 @job
 def op6_shard(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
