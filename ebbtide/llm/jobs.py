@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import documents
+from ebbtide.llm.decontaminate import contaminated_windows
 from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
 from ebbtide.llm.shards import shuffle_into_shards
+from ebbtide.sources.tables import read_table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -38,6 +40,11 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return encode_decode(rows, PIECES, fields=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+@job
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated_windows(documents(spark, folder, "doc_id", "text"), read_table(spark, folder, "benchmark"))
+
+
 @job
 def op6_shard(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
