@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import documents
 from ebbtide.llm.decontaminate import contaminated_windows
+from ebbtide.llm.personal import find_personal, joined_spans
 from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
 from ebbtide.llm.shards import shuffle_into_shards
@@ -56,3 +57,13 @@ def op6_shard(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
     )
     return shuffle_into_shards(rows, 40)
+
+
+@job
+def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal(documents(spark, folder, "doc_id", "text")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(joined_spans(F.col("base_spans")), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+        "n_id",
+    )
