@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import documents
 from ebbtide.llm.decontaminate import contaminated_windows
+from ebbtide.llm.jaccard import document_components
 from ebbtide.llm.personal import find_personal, joined_spans
 from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
@@ -41,6 +42,11 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return encode_decode(rows, PIECES, fields=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+@job
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return document_components(documents(spark, folder, "doc_id", "text")).drop("group", "body")
+
+
 @job
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated_windows(documents(spark, folder, "doc_id", "text"), read_table(spark, folder, "benchmark"))
