@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import documents
 from ebbtide.llm.decontaminate import contaminated_windows
 from ebbtide.llm.jaccard import document_components
+from ebbtide.llm.langid import learn_languages, predict_languages
 from ebbtide.llm.personal import find_personal, joined_spans
 from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
 from ebbtide.llm.shards import shuffle_into_shards
+from ebbtide.llm.suffix_tree import score_texts
 from ebbtide.sources.tables import read_table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,11 @@ STATEMENTS: dict[str, str] = {}
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def held_out(folds: int) -> Column:
+    """Documents whose id, hashed as text, leaves 1; those without an id are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 1, F.lit(False))
+
+
 def job(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     JOBS[function.__name__] = function
     return function
@@ -73,3 +80,16 @@ def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
         joined_spans(F.col("spans")).alias("spans"),
         "n_id",
     )
+
+
+@job
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder, "doc_id", "text", "lang")
+    trees = learn_languages(rows.where(~held_out(3)))
+    return predict_languages(rows.select("doc_id", held_out(3).alias("held_out"), "text"), trees).drop("text")
+
+
+@job
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder, "doc_id", "text")
+    return score_texts(rows, "coalesce(crc32(cast(doc_id AS string)) % 5 != 1, true)").withColumn("held_out", held_out(5))
