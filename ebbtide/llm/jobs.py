@@ -17,6 +17,7 @@ from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
 from ebbtide.llm.shards import shuffle_into_shards
 from ebbtide.llm.suffix_tree import score_texts
+from ebbtide.llm.warc import archive_and_read_back
 from ebbtide.sources.tables import read_table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,11 @@ def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@job
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_and_read_back(read_table(spark, folder, "pages", ["page_id", "url", "html"]))
+
+
 @job
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder, "doc_id", "text", "lang")
