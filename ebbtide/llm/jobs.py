@@ -15,6 +15,7 @@ from ebbtide.llm.langid import learn_languages, predict_languages
 from ebbtide.llm.personal import find_personal, joined_spans
 from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
+from ebbtide.llm.secrets import scan_secrets
 from ebbtide.llm.shards import shuffle_into_shards
 from ebbtide.llm.suffix_tree import score_texts
 from ebbtide.llm.warc import archive_and_read_back
@@ -60,6 +61,11 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated_windows(documents(spark, folder, "doc_id", "text"), read_table(spark, folder, "benchmark"))
 
 
+@job
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(documents(spark, folder, "doc_id", "text", "source")).where("is_secret")
+
+
 @job
 def op6_shard(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
