@@ -6,6 +6,7 @@ With dispersion ``r`` and mean ``mu`` the success probability is ``r / (r + mu)`
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -53,7 +54,17 @@ def _ln_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (cost grows as sqrt(a + b))."""
+    """Regularised incomplete beta function by its continued fraction (cost grows as sqrt(a + b)).
+
+    Very large arguments, where the logarithms of gamma cancel, go through the normal approximation of the
+    cube roots; NaN where the fraction does not converge.
+    """
+    large = (a + b > LARGE) & (np.minimum(a, b) > LARGE / 1000)
+    if large.any():
+        value = np.empty(x.shape)
+        value[large] = _large_beta(a[large], b[large], x[large])
+        value[~large] = incomplete_beta(a[~large], b[~large], x[~large])
+        return value
     flip = x > (a + 1) / (a + b + 2)
     a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
     tiny = 1e-300
@@ -74,10 +85,19 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         value = np.where(active, value * change, value)
         active = active & (np.abs(change - 1) > 1e-15)
     front = np.exp(a * np.log(x) + b * np.log1p(-x) + _ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b)) / a
-    part = front * value
+    part = np.where(active, np.nan, front * value)
     return np.where(flip, 1 - part, part)
 
 
+LARGE = 1e9
+
+
+def _large_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    left, right = np.cbrt(b * x), np.cbrt(a * (1 - x))
+    score = 3 * (left * (1 - 1 / (9 * b)) - right * (1 - 1 / (9 * a))) / np.sqrt(left**2 / b + right**2 / a)
+    return np.array([0.5 * math.erfc(-s / math.sqrt(2)) for s in score])
+
+
 def _away_from_zero(x: np.ndarray, tiny: float) -> np.ndarray:
     return np.where(np.abs(x) < tiny, tiny, x)
 

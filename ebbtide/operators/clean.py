@@ -91,6 +91,7 @@ def class_weights(frame: DataFrame, label: str, name: str = "WEIGHT") -> DataFra
     """Inverse class frequency, ``n / (classes * n_class)``, on every row."""
     sizes = frame.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = sizes.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
+    sizes = F.broadcast(sizes)  # one row per class; the rows stay where they are
     return frame.join(sizes, label, "left").select(*frame.columns, (whole / F.col("_n")).alias(name))
 
 

@@ -23,6 +23,7 @@ from ebbtide.plans.catalog import INACTIVE_BELOW, TARGET_METRIC
 from ebbtide.plans.spec import DATE_DIFFS, Fn, Horizon, Line, column_name, expand
 
 KEY, SLOT, SLOT_DATE, SCENARIO = "PK", "TIME_SLOT", "DATE_TIME_SLOT", "SCENARIO_DATE"
+REAL = "_real"
 TODAY = 4  # slot that plays "today": slots 0..3 are only known to the labels
 
 
@@ -94,9 +95,10 @@ class _Bands:
     Columns are SQL text: a wide spec has thousands of them, and text costs one call each to build.
     """
 
-    def __init__(self, windows: Iterable[tuple[int, int]], merged: bool):
+    def __init__(self, windows: Iterable[tuple[int, int]], merged: bool, real: str = ""):
         self.bands = cut_bands(windows)
         self.merged = merged
+        self.real = real  # column that is NULL on rows that were only added
         self.columns: dict[str, str] = {}
 
     def _cells(self, kind: str, metric: str, low: int, high: int) -> list[str]:
@@ -113,6 +115,8 @@ class _Bands:
         here = band == (0, 0)  # the current row alone: no window needed
         over = f"OVER (PARTITION BY {KEY} ORDER BY {SLOT} RANGE BETWEEN {_bound(band[0])} AND {_bound(band[1])})"
         if kind == "rows":
+            if self.real:
+                return f"int({self.real} IS NOT NULL)" if here else f"count({self.real}) {over}"
             return "1" if here else f"count(1) {over}"
         source = f"`{metric}__{kind}`" if self.merged else f"`{metric}`"
         if kind == "cnt" and not self.merged:
@@ -171,8 +175,8 @@ def slot_features(
 ) -> DataFrame:
     """One row per key and scenario with every feature column and, per horizon, amount and flag.
 
-    A key needs a row at the scenario's own slot; ``presence`` also asks for one in every single-slot
-    window and every label window.  Set ``one_row_per_slot`` when (key, slot) is already unique;
+    ``presence`` asks for a row of the key in every window and every label window; without it a key needs
+    a row at the scenario's own slot.  Set ``one_row_per_slot`` when (key, slot) is already unique;
     otherwise rows are merged first.
     """
     metric = TARGET_METRIC[model]
@@ -207,7 +211,13 @@ def sliding_rows(
 
     spans = {key: (0 if key[1] == "agg" else key[0] - 1, key[0] - 1) for key in windows}
     label_spans = [(label.low, label.high) for label in labels]
-    bands = _Bands([*spans.values(), *label_spans, (0, 0)], merged)
+    asked = [*spans.values(), *label_spans]
+    # Windows are evaluated on the row at the scenario's own slot.  If no window asks for that row, a key may
+    # lack it and still be present in all windows.
+    filled = presence and (0, 0) not in asked
+    if filled:
+        rows = _with_own_slots(rows, scenarios)
+    bands = _Bands([*asked, (0, 0)], merged, REAL if filled else "")
 
     columns: list[str] = []
     for key, items in windows.items():
@@ -220,13 +230,22 @@ def sliding_rows(
         amount = bands.total(metric, label.low, label.high)
         columns += [f"{amount} AS `{label.amount}`", f"{amount} < {INACTIVE_BELOW} AS `{label.flag}`"]
     keep = [f"{SLOT} IN ({', '.join(map(str, scenarios))})"]
-    # a cumulative window holds the scenario's own slot, so it can never be empty here
-    asked = [spans[key] for key in windows if key[1] == "only"] + label_spans
-    keep += [f"{bands.rows(*span)} > 0" for span in asked if presence]
+    # with a row at the scenario's own slot, a cumulative window is never empty
+    tested = asked if filled else [spans[key] for key in windows if key[1] == "only"] + label_spans
+    keep += [f"{bands.rows(*span)} > 0" for span in dict.fromkeys(tested) if presence]
     banded = rows.selectExpr(KEY, SLOT, SLOT_DATE, *bands.columns.values())
     return banded.where(" AND ".join(keep)).selectExpr(KEY, f"{SLOT} AS {SCENARIO}", *columns)
 
 
+def _with_own_slots(rows: DataFrame, scenarios: Sequence[int]) -> DataFrame:
+    """``rows`` and, for keys that lack one, a row at each scenario's slot; ``REAL`` tells them apart."""
+    dates = rows.groupBy(SLOT).agg(F.min(SLOT_DATE).alias(SLOT_DATE))  # one row per slot
+    wanted = rows.select(KEY).distinct().select(KEY, F.explode(F.array(*[F.lit(s) for s in scenarios])).alias(SLOT))
+    missing = wanted.join(rows.select(KEY, SLOT).distinct(), [KEY, SLOT], "left_anti")
+    added = missing.join(F.broadcast(dates), SLOT, "left").select(KEY, F.col(SLOT).cast(rows.schema[SLOT].dataType), SLOT_DATE)
+    return rows.withColumn(REAL, F.lit(1)).unionByName(added, allowMissingColumns=True)
+
+
 def labels_long(labels: DataFrame, horizons: Sequence[Horizon], metric: str) -> DataFrame:
     """One row per key, scenario and horizon instead of one pair of columns per horizon."""
     cells = [

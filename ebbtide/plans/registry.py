@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,9 +82,13 @@ def tidy(frame: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def half_up(value: str, places: int) -> str:
-    """Rounding in plain floating point (the built-in one goes through decimals for every value)."""
+    """Rounding in plain floating point (the built-in one goes through decimals for every value).
+
+    ``floor`` gives a whole 64-bit number; a double so large that it would not fit has no such digits to round.
+    """
     scale = f"{10**places}D"
-    return f"if({value} < 0, -1, 1) * (floor(abs({value}) * {scale} + 0.5D) / {scale})"
+    small = f"floor(abs({value}) * {scale} + 0.5D) / {scale}"
+    return f"if({value} < 0, -1, 1) * if(abs({value}) * {scale} < 4.5e15D, {small}, abs({value}))"
 
 
 FINE_DIGITS = {"_BY_": 7} | dict.fromkeys(
@@ -142,6 +147,13 @@ def slot_presence(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("PK", "SCENARIO_DATE")
 
 
+@job
+def slot_presence_long_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse facts and no window of length 1: a key quiet at the scenario's own slot stays."""
+    lines = [line("RN", Fn.SUM, [2, 4])]
+    return tidy(slots.slot_features(traded_facts(spark, folder), lines, (), "CLIENT", (4, *SCENARIOS)))
+
+
 @job
 def churn_labels_16(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(training(spark, folder, (slots.TODAY,), []))
@@ -690,10 +702,11 @@ def bi_reference_average(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def scan_orders(spark: SparkSession, folder: str) -> DataFrame:
-    tables.read_table(spark, folder, "orders").createOrReplaceTempView("orders")
+    view = f"orders_{uuid.uuid4().hex}"  # never a name that a user has
+    tables.read_table(spark, folder, "orders").createOrReplaceTempView(view)
     rows = tables.run_query(
         spark,
-        "SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_day FROM orders "
+        f"SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_day FROM {view} "
         "WHERE o_orderdate >= CAST(:since AS TIMESTAMP_NTZ) AND o_orderstatus = :status",
         since="2000-01-01",
         status="F",
@@ -824,7 +837,7 @@ def publish_predictions(spark: SparkSession, folder: str) -> DataFrame:
     }
     ensure_checkpoint_dir(spark)
     wide = model.score_horizons(fitted, today).checkpoint()  # scored once, then ranked and published
-    name = "churn_prediction"
+    name = f"churn_prediction_{uuid.uuid4().hex}"  # never a table that a user has
     tables.publish_table(publish.publish_scored(wide, list(fitted), features), name, scratch_path(spark, name))
     return spark.table(name)
 

@@ -16,11 +16,10 @@ from ebbtide.operators.panel import monthly_panel
 from ebbtide.operators.slots import KEY, SLOT, SLOT_DATE
 from ebbtide.sources.tables import read_table
 
-# Calendar of the order tables.
+# Calendar of the order tables; orders outside are an error, not left out.
 FIRST_DAY = dt.date(1995, 1, 1)
 LAST_DAY = dt.date(2001, 8, 1)
 SLOT_DAYS = 91
-N_SLOTS = 26
 
 URGENT = ("1-URGENT", "2-HIGH")
 
@@ -47,6 +46,17 @@ def line_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def oldest_order(spark: SparkSession, folder: str) -> dt.date:
+    """Day of the oldest order; raises if an order lies outside the calendar."""
+    days = read_table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    oldest, newest = days.agg(F.min("day"), F.max("day")).first()
+    if oldest is None:
+        return LAST_DAY
+    if oldest < FIRST_DAY or newest > LAST_DAY:
+        raise ValueError(f"orders from {oldest} to {newest} reach beyond {FIRST_DAY} to {LAST_DAY}")
+    return oldest
+
+
 def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order with its date, customer and line totals (orders without lines are kept)."""
     orders = read_table(spark, folder, "orders").select(
@@ -78,14 +88,10 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
     aggregate would turn it from hashing to sorting.
     """
     slot = F.floor(F.datediff(F.lit(LAST_DAY), F.col("day")) / SLOT_DAYS).cast("int")
-    oldest = LAST_DAY - dt.timedelta(days=SLOT_DAYS * N_SLOTS - 1)
-    orders = (
-        order_rows(spark, folder)
-        .where(F.col("day").between(F.lit(oldest), F.lit(LAST_DAY)))  # reaches the file scan
-        .select(F.col("o_custkey").alias(KEY), slot.alias(SLOT), "*")
-    )
+    n_slots = (LAST_DAY - oldest_order(spark, folder)).days // SLOT_DAYS + 1
+    orders = order_rows(spark, folder).select(F.col("o_custkey").alias(KEY), slot.alias(SLOT), "*")
     grid = read_table(spark, folder, "customer").select(
-        F.col("c_custkey").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(N_SLOTS - 1))).alias(SLOT)
+        F.col("c_custkey").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias(SLOT)
     )
 
     def total(column: str, scale: int = 1) -> Column:
@@ -232,8 +238,10 @@ AREAS = {"AFRICA": "MEAI & ROE LT", "AMERICA": "Americas Core", "ASIA": "APAC Co
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     """Dense nation x day trading series (the area of one region is left unknown).
 
-    Orders are summed per customer and day before the customer is looked up.
+    Orders are summed per customer and day before the customer is looked up, and numbers per nation and day
+    before the names are: text in the aggregate would turn it from hashing to sorting.
     """
+    oldest_order(spark, folder)
     sold = (
         order_rows(spark, folder)
         .groupBy("o_custkey", F.col("day").alias("DATE"))
@@ -251,7 +259,6 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
     region = read_table(spark, folder, "region")
     grid = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         level.alias("CUSTOMER_REPORTING_LEVEL"),
-        F.explode(F.sequence(F.lit(FIRST_DAY), F.lit(LAST_DAY))).alias("DATE"),
         F.col("n_name").alias("CUSTOMER_RL_NAME"),
         F.col("r_name").alias("CUSTOMER_RL_COUNTRY_NAME"),
         (level % 2 == 0).alias("CUSTOMER_RL_BL_RETAIL"),
@@ -259,13 +266,17 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
         area.alias("COMMERCIAL_AREA"),
     )
     labels = ["CUSTOMER_RL_NAME", "CUSTOMER_RL_COUNTRY_NAME", "CUSTOMER_RL_BL_RETAIL", "CUSTOMER_RL_WHOLESALE"]
-    return (
-        grid.unionByName(sold, allowMissingColumns=True)
-        .where(F.col("DATE").between(F.lit(FIRST_DAY), F.lit(LAST_DAY)))
+    days = grid.select(
+        "CUSTOMER_REPORTING_LEVEL", F.explode(F.sequence(F.lit(FIRST_DAY), F.lit(LAST_DAY))).alias("DATE")
+    )
+    summed = (
+        days.unionByName(sold, allowMissingColumns=True)
         .groupBy("CUSTOMER_REPORTING_LEVEL", "DATE")
         .agg(
-            *[F.max(c).alias(c) for c in (*labels, "COMMERCIAL_AREA")],
             F.coalesce(F.sum("RN"), F.lit(0)).alias("RN"),
             F.coalesce(F.sum("BOOKINGCANCELLATION"), F.lit(0)).alias("BOOKINGCANCELLATION"),
         )
     )
+    return summed.join(grid, "CUSTOMER_REPORTING_LEVEL").select(
+        "CUSTOMER_REPORTING_LEVEL", "DATE", *labels, "COMMERCIAL_AREA", "RN", "BOOKINGCANCELLATION"
+    )

@@ -79,7 +79,9 @@ slots AS (
   FROM customer c
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  CROSS JOIN range(26) g(slot)
+  CROSS JOIN (
+    SELECT unnest(range(CAST(floor(date_diff('day', min(day), DATE '2001-08-01') / 91.0) AS INTEGER) + 1)) AS slot FROM ord
+  ) g
   LEFT JOIN per_slot p ON p.o_custkey = c.c_custkey AND p.slot = g.slot
 )"""
 
@@ -574,6 +576,14 @@ def statements() -> dict[str, str]:
             "HAVING " + " AND ".join(has.format(s=f"m - {k}") for k in range(5)),
         ),
     )
+    sql["slot_presence_long_windows"] = with_(
+        SLOTS + ", traded AS (SELECT * FROM slots WHERE GROSS_SALES > 0)",
+        scenario_rows(
+            features(("RN", "SUM", (2, 4), "agg")), ALL_SCENARIOS, "traded",
+            "HAVING count(CASE WHEN TIME_SLOT BETWEEN m AND m + 1 THEN 1 END) > 0"
+            " AND count(CASE WHEN TIME_SLOT BETWEEN m AND m + 3 THEN 1 END) > 0",
+        ),
+    )
     sql["churn_labels_16"] = with_(SLOTS, scenario_rows(label_columns()))
     long_parts = " UNION ALL ".join(
         f"SELECT PK, SCENARIO_DATE, {ph} AS PH, {cp} AS CP, GROSS_SALES_TARGET_PH_{ph}_CP_{cp} AS TARGET, "

@@ -48,3 +48,13 @@ def test_log_gamma_column(spark):
     frame = spark.createDataFrame([(v,) for v in values], "x double")
     for row in frame.select("x", ln_gamma(F.col("x")).alias("g")).collect():
         assert row.g == pytest.approx(math.lgamma(row.x), rel=1e-12, abs=1e-12)
+
+
+def test_very_large_arguments():
+    a = np.array([5e11, 4e9, 2.0])
+    x = np.array([0.5, 0.5 + 1e-5, 0.3])
+    got = incomplete_beta(a, a, x)
+    spread = 0.5 / math.sqrt(2 * 4e9 + 1)
+    assert math.isclose(got[0], 0.5, abs_tol=1e-9)
+    assert math.isclose(got[1], 0.5 * math.erfc(-(1e-5 / spread) / math.sqrt(2)), abs_tol=1e-6)
+    assert math.isclose(got[2], 3 * 0.3**2 - 2 * 0.3**3, abs_tol=1e-12)

@@ -12,7 +12,7 @@ from ebbtide.plans.registry import JOBS
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer orders lineitem".split()
 CHOSEN = """
-churn_slots churn_training_set slot_presence month_scenarios sql_features_multi_month panel_lags zero_trading_runs
+churn_slots churn_training_set slot_presence slot_presence_long_windows month_scenarios sql_features_multi_month panel_lags zero_trading_runs
 country_day_probability roc_curve contribution_curve balance_classes column_profile
 """.split()
 
