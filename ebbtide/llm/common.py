@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.session import ensure_checkpoint_dir
+from ebbtide.session import ensure_checkpoint_dir, scratch_path
 from ebbtide.sources.tables import read_table
 
 #: White space between words, as a class body that Java and Python patterns share.
@@ -35,6 +35,16 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def saved_in_loop(frame: DataFrame) -> DataFrame:
+    """As ``saved``, for loops, as a table in that folder: the planner then knows its true size.
+
+    A checkpoint keeps the estimates of the plan it came from; joined again and again, those grow without end.
+    """
+    path = scratch_path(frame.sparkSession, "round")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def unclash(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     """Without columns that carry a name an operator is about to add (case does not tell names apart)."""
     taken = {name.lower() for name in names}

@@ -21,11 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import saved
+from ebbtide.llm.common import saved, saved_in_loop
 
 WIDTH, PERCENT, ORDERS = 3, 90, 3
-#: Tokens whose hash lies in the lowest part are counted over all documents; must exceed the prefix share.
-COUNTED_SHARE = 0.25
+#: Tokens whose hash lies in the lowest part are counted over all documents: so many times the prefix share, as
+#: some tokens of a document without partner are not its own.
+COUNTED_FACTOR = 2.5
 #: Characters that a Python worker handles at a time.
 CHUNK = 4_000_000
 #: More rows than this are joined by a shuffle instead of being sent to every task (16 bytes each).
@@ -46,7 +47,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for words in split for w in words), np.uint64, total)
     # Runs over the whole batch at once; those that reach into the next text are never cut out.
     mixed = np.zeros(total, np.uint64)
-    for k in range(width):
+    for k in range(min(width, total)):
         mixed[: total - k] = _scramble((mixed[: total - k] + _MIX[0]) * _MIX[1] + flat[k:])
     out, at = [], 0
     for words in split:
@@ -79,7 +80,7 @@ def _sets(frame: DataFrame, width: int, share: float | None) -> DataFrame:
     """``id``, ``body``, ``class`` (hash of the set), ``n`` and the set's ``tokens`` (all, or those in the counted part)."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.uint64(int(share * (1 << 64))) if share is not None else None
+        top = np.uint64(int(share * (1 << 64))) if share is not None and share < 1 else None
         for part in _chunked(batches):
             sets = shingle_sets(part["text"].tolist(), width)
             yield pd.DataFrame(
@@ -122,12 +123,27 @@ def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
         .agg(F.collect_list(F.struct("rarity", "token")).alias("shared"))
         .withColumn("room", room.cast("int"))
         .where(F.col("room") > 0)
-        .select("class", "n", *[first(k) for k in range(orders)])
+        .select("class", "n", "room", *[first(k) for k in range(orders)])
     )
 
 
+def _pulled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after one step along the ``links`` (a, b) between their components and one jump.
+
+    Only connected sets get equal labels; not all connected ones do yet.
+    """
+    names = labels.select("class", "component")
+    edges = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select("x", "y")
+    least = edges.union(edges.select("y", "x")).groupBy("x").agg(F.min("y").alias("near"))
+    least = saved_in_loop(least.where(F.col("near") < F.col("x")))
+    jumped = least.join(least.toDF("near", "beyond"), "near", "left").select(
+        F.col("x").alias("component"), F.coalesce("beyond", "near").alias("to")
+    )
+    return names.join(jumped, "component", "left").select("class", F.coalesce("to", "component").alias("component"))
+
+
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``class``, ``component``: labels after joining the components that ``links`` (a, b) connect.
+    """``class``, ``component``: labels after joining all components that ``links`` (a, b) connect.
 
     Every round passes the least neighbouring component on and then jumps to the label's own label.
     """
@@ -135,16 +151,16 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = (
         links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").where(F.col("x") != F.col("y")).select("x", "y")
     )
-    edges = saved(edges.union(edges.select("y", "x")).distinct())
-    state = saved(edges.select(F.col("x").alias("v")).distinct().withColumn("to", F.col("v")))
+    edges = saved_in_loop(edges.union(edges.select("y", "x")).distinct())
+    state = edges.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.col("v")).alias("to"))
+    state = saved_in_loop(state)
     while True:
         least = edges.join(state.toDF("y", "to"), "y").groupBy("x").agg(F.min("to").alias("near")).withColumnRenamed("x", "v")
-        lowered = state.join(least, "v").select("v", F.least("to", "near").alias("to"))
-        jumped = saved(
-            lowered.alias("s")
-            .join(lowered.toDF("at", "beyond").alias("t"), F.col("s.to") == F.col("t.at"))
-            .join(state.toDF("v", "was"), "v")
-            .select("v", F.least("to", "beyond").alias("to"), "was")
+        lowered = state.join(least, "v").select("v", F.col("to").alias("was"), F.least("to", "near").alias("to"))
+        jumped = saved_in_loop(
+            lowered.join(lowered.select(F.col("v").alias("to"), F.col("to").alias("beyond")), "to").select(
+                "v", F.least("to", "beyond").alias("to"), "was"
+            )
         )
         state = jumped.select("v", "to")
         if jumped.where(F.col("to") != F.col("was")).isEmpty():
@@ -176,25 +192,36 @@ def _verified(pairs: DataFrame, prefixed: DataFrame, sets: DataFrame, percent: i
 
 def link_components(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """``class``, ``component`` of all sets that have a link; ``sets`` has distinct ``class``, ``n``, ``tokens``."""
-    prefixed = saved(prefixes(sets, percent, orders))
-    labels = saved(prefixed.select("class", F.col("class").alias("component")))
-    open_ = prefixed.select("class", "n", F.explode("p0").alias("token"))
-    done = None
-    hubs = 1
+    prefixed = saved_in_loop(prefixes(sets, percent, orders))
+    start = prefixed.select("class", F.col("class").alias("component"))
+    labels, links, done, hubs, rounds = start, None, None, 1, 1
+    # Tokens from this one on: what two sets share is no more, if it is the first that they share.
+    own = prefix_size(F.col("n"), percent) - F.col("room")
+    open_ = prefixed.select("class", "n", "room", F.posexplode("p0").alias("at", "token")).select(
+        "class", "n", "room", (F.col("n") - own - F.col("at")).alias("left"), "token"
+    )
     while True:
         named = open_.join(labels, "class")
-        # Only tokens whose members lie in different components.
+        # Only tokens whose members are not yet known to be connected.
         mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        open_ = saved(named.join(mixed.select("token"), "token", "left_semi"))
+        open_ = saved_in_loop(named.join(mixed.select("token"), "token", "left_semi"))
         if open_.isEmpty():
-            return labels
+            return start if links is None else connect(start, links)
+        # First the member with the fewest tokens of its own, as the text the others were copied from has; later
+        # those of the smallest components, so that a few strays are tested against all and not the reverse.
+        first = -F.col("room").cast("double") / F.col("n")
+        if links is None:
+            ranked = open_.withColumn("rank", F.struct(F.lit(1).cast("long").alias("size"), first.alias("own")))
+        else:
+            sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            ranked = open_.join(sizes, "component").withColumn("rank", F.struct("size", first.alias("own"))).drop("size")
         chosen = (
-            open_.groupBy("token", F.pmod(F.xxhash64("class", F.lit(hubs)), F.lit(hubs)).alias("part"))
-            .agg(F.min(F.struct("n", "class", "component")).alias("hub"))
+            ranked.groupBy("token", F.pmod(F.xxhash64("class", F.lit(hubs)), F.lit(hubs)).alias("part"))
+            .agg(F.min_by(F.struct("n", "left", "class", "component"), F.struct("rank", "class")).alias("hub"))
             .select("token", "hub.*")
         )
-        chosen = saved(chosen)
-        near = (100 * F.least("m.n", "h.n")) >= percent * F.greatest("m.n", "h.n")
+        enough = (100 + percent) * F.least("m.left", "h.left") >= percent * (F.col("m.n") + F.col("h.n"))
+        near = (100 * F.least("m.n", "h.n") >= percent * F.greatest("m.n", "h.n")) & enough
         met = open_.alias("m").join(
             chosen.alias("h"), (F.col("m.token") == F.col("h.token")) & (F.col("m.component") != F.col("h.component")) & near
         )
@@ -203,12 +230,13 @@ def link_components(sets: DataFrame, percent: int = PERCENT, orders: int = ORDER
         ).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
+        pairs = saved_in_loop(pairs)
         done = pairs if done is None else done.union(pairs)
-        links = saved(_verified(pairs, prefixed, sets, percent, orders))
-        labels = saved(connect(labels, links)) if not links.isEmpty() else labels
-        open_ = open_.join(chosen, ["token", "class"], "left_anti").select("class", "n", "token")
-        hubs *= 4
+        found = saved_in_loop(_verified(pairs, prefixed, sets, percent, orders))
+        links = found if links is None else links.union(found)
+        labels = saved_in_loop(_pulled(labels, found))
+        open_ = open_.join(chosen, ["token", "class"], "left_anti").select("class", "n", "room", "left", "token")
+        hubs, rounds = (1 if rounds < 2 else hubs * 8), rounds + 1
 
 
 def document_components(
@@ -228,10 +256,9 @@ def document_components(
     ``component_id``.  Repeated rows are copies.  An empty frame gives an empty result; other columns are not
     looked at.  Sets are compared by 64-bit hashes of shingles and of whole sets.
     """
-    if COUNTED_SHARE * 100 <= 100 - percent:
-        raise ValueError("the counted part must exceed the prefix share")
+    share = min(1.0, COUNTED_FACTOR * (100 - percent) / 100)
     slim = frame.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
-    counted = saved(_sets(slim, width, COUNTED_SHARE))
+    counted = saved(_sets(slim, width, share))
     classes = counted.where(F.col("n") > 0).groupBy("class", "n").agg(F.min("id").alias("first"))
     owned = (
         counted.select("class", F.explode("tokens").alias("token"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import SPACE, let, saved, unclash, words_of
+from ebbtide.llm.common import SPACE, let, saved, saved_in_loop, unclash, words_of
 
 # A match can only begin where the run it begins with begins, or where the match before it ended; saying so
 # and never giving back a character keeps the search linear in the text.
@@ -29,6 +29,8 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
 #: More rows than this are joined by a shuffle instead of being sent to every task (under 200 bytes each).
 BROADCAST_ROWS = 200_000
+#: One in so many documents gives the first bound on the places of a pattern.
+PART = 16
 #: Characters beside a token that nearly always hold the words wanted.
 NEAR = 120
 FIELDS = ("n_email", "n_ip", "n_card", "n_phone", "n_id", "base_spans", "spans")
@@ -118,7 +120,7 @@ def _shape(word: Column) -> Column:
 
 def _contexts(before: Column, after: Column) -> Column:
     """Patterns of a place: the two words before it, and the words on both sides (none at an edge of the text)."""
-    near, far, next_ = F.element_at(before, -1), F.element_at(before, -2), F.get(after, F.lit(0))
+    near, far, next_ = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2)), F.get(after, F.lit(0))
     two = F.when(F.size(before) >= 2, F.concat(F.lit("L "), far, F.lit(" "), near, F.lit(" _")))
     both = F.when((F.size(before) >= 1) & (F.size(after) >= 1), F.concat(F.lit("B "), near, F.lit(" _ "), next_))
     return F.array_compact(F.array(two, both))
@@ -212,7 +214,7 @@ def score_graph(edges: DataFrame, places: DataFrame, rounds: int, support: int,
         )
         strong = scored.where((F.col("values") >= support) & (F.col("score") >= confidence))
         raised = graph.join(strong.select("pattern", "score"), "pattern").groupBy("value").agg(F.max("score").alias("raised"))
-        values = saved(
+        values = saved_in_loop(
             values.join(raised, "value", "left").select("value", F.greatest("worth", F.coalesce("raised", F.lit(0.0))).alias("worth"))
         )
     return strong
@@ -242,6 +244,11 @@ def find_personal(
         .agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     )
     wide = saved(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support).select("pattern"))
+    # Places in some of the documents are a lower bound: a pattern that fits mostly other words there already
+    # cannot become confident, and is not looked for in all documents.
+    some = pattern_places(docs.where(F.pmod("body", F.lit(PART)) == 0), wide, wide.count() <= BROADCAST_ROWS)
+    fitting = edges.groupBy("pattern").agg(F.sum("n").alias("fitting")).join(wide, "pattern").join(some, "pattern", "left")
+    wide = saved(fitting.where(F.col("fitting") >= confidence * F.coalesce("places", F.lit(0))).select("pattern"))
     places = saved(pattern_places(docs, wide, wide.count() <= BROADCAST_ROWS))
     strong = score_graph(edges, places, rounds, support, confidence).select("pattern")
     added = (
