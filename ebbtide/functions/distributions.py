@@ -7,15 +7,15 @@ With dispersion ``r`` and mean ``mu`` the success probability is ``r / (r + mu)`
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.session import ship_package
+
 _SHIFT = 8
 # Stirling series coefficients B(2k) / (2k (2k-1)).
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -118,6 +118,5 @@ def _cdf_batches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> I
 def nbinom_cdf(k: Column, mu: Column, theta: Column) -> Column:
     """P(X <= k), through the incomplete beta function so large counts cost no more than small ones."""
     r, p = nbinom_params(mu.cast("double"), theta.cast("double"))
-    # send the functions of this module themselves, so executors need no copy of the package
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    ship_package(SparkSession.active())
     return F.pandas_udf(_cdf_batches, "double")(k.cast("double"), r, p)

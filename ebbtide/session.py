@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +49,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name beside the checkpoints, reachable by every executor."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        _SHIPPED.add(application)
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="ebbtide-package-")  # on the driver, which serves the file
+        archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
