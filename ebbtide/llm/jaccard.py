@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import saved, saved_in_loop
+from ebbtide.session import ship_package
 
 WIDTH, PERCENT, ORDERS = 3, 90, 3
 #: Tokens whose hash lies in the lowest part are counted over all documents: so many times the prefix share, as
@@ -93,6 +94,7 @@ def _sets(frame: DataFrame, width: int, share: float | None) -> DataFrame:
                 }
             )
 
+    ship_package(frame.sparkSession)
     return frame.mapInPandas(build, "id long, body long, class long, n long, tokens array<long>")
 
 

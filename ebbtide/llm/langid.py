@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import saved, unclash
 from ebbtide.llm.symbols import alphabet, byte_counts, chunks, tally
+from ebbtide.session import ship_package
 
 #: Symbols told apart, and most runs of four that get a row of costs (the rarest beyond are coded in two).
 ALPHABET, MOST_RUNS = 48, 2_000_000
@@ -118,6 +119,7 @@ def learn_languages(frame: DataFrame, text: str = "text", lang: str = "lang", si
 
     The driver gets the sums of runs: at most ``most`` of them, rarer ones are left out at the source.
     """
+    ship_package(frame.sparkSession)
     rows = frame.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND text != ''")
     symbols = alphabet(byte_counts(rows), size)
 
@@ -154,6 +156,7 @@ def predict_languages(frame: DataFrame, trees: ContextTrees, text: str = "text")
     Equal costs go to the language first in the alphabet.  Rows are independent; an empty frame stays empty;
     input columns with an added name are replaced.
     """
+    ship_package(frame.sparkSession)
     shared = frame.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import unclash
+from ebbtide.session import ship_package
 
 SPACE_MARK = "▁"
 #: Words that a Python worker remembers, and characters it encodes at a time.
@@ -349,6 +350,7 @@ def encode_decode(
     ``model`` is a path that every executor can open.  Memory per task: a bounded number of remembered
     words and of characters at a time, besides the longest text.
     """
+    ship_package(frame.sparkSession)
     frame = frame.withColumn("_text", F.col(text) if isinstance(text, str) else text)
     kept = unclash(frame, fields)
     return kept.withColumn("_found", _encoder(model, fields)(F.col("_text"))).select(

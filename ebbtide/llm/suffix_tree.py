@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import saved
 from ebbtide.llm.symbols import chunks, tally
+from ebbtide.session import ship_package
 
 #: Longest context in words, least shares of a context and of a word after it, least gain in bits, smoothing weight.
 DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 1e-5, 1e-6, 32.0, 1.0
@@ -277,6 +278,7 @@ def score_texts(
     NULL keys keep their own results; an empty frame gives an empty result; with nothing to learn from,
     every score is 0.  Other columns are not looked at.  Words are told apart by 64-bit hashes.
     """
+    ship_package(frame.sparkSession)
     rows = frame.select(
         F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn")
     )

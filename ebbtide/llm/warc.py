@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import saved
-from ebbtide.session import scratch_path
+from ebbtide.session import scratch_path, ship_package
 
 #: Lines of an index block, lines of an index shard, and bytes between records that are read in one go.
 BLOCK_LINES, SHARD_LINES, GAP = 500, 500_000, 1 << 16
@@ -164,6 +164,7 @@ def write_archive(
                     offset += len(member)
                 yield pd.DataFrame(lines, columns=["surt", "page_id", "archive", "offset", "length"]).astype({"page_id": "Int64"})
 
+    ship_package(pages.sparkSession)
     planned = plan_records(pages, key, url, html, least)
     # The lines are written down before they are sorted: the archives are written once.
     lines = saved(planned.mapInPandas(write, ENTRY))
@@ -268,6 +269,7 @@ def look_up(archive: Archive, urls: DataFrame, url: str = "url", payload: bool =
     Every URL is looked up once, however often it is given; URLs without capture give no row.  The shards of a
     URL's key come from the key ranges (one row per shard); the work is spread over tasks by shard and key.
     """
+    ship_package(urls.sparkSession)
     folder, directory = archive.folder, archive.directory
     schema = FIELDS + (", payload binary" if payload else "")
 
