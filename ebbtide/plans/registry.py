@@ -850,4 +850,4 @@ def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     metrics["ROC_AUC"] = evaluate.roc_auc(rows).first()["ROC_AUC"]
     path = scratch_path(spark, "runs")
     model.log_run(spark, path, {"RUN": "today", "PH": 1, "CP": 1}, {k: v for k, v in metrics.items() if v is not None})
-    return spark.read.parquet(path)
+    return tidy(spark.read.parquet(path), digits=9)

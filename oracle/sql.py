@@ -639,6 +639,15 @@ def statements() -> dict[str, str]:
         f"SELECT {rnd('(TN + TP) / (TN + TP + FN + FP)', 9)} AS ACCURACY, {rnd('TP / nullif(TP + FP, 0)', 9)} AS "
         f"POSITIVE_ACCURACY, {rnd('TN / nullif(TN + FN, 0)', 9)} AS NEGATIVE_ACCURACY FROM cells",
     )
+    auc = "sum(neg * (tp - pos / 2)) / (max(p) * max(n))"
+    sql["run_metrics"] = with_(
+        scored_cte() + CELLS + ROC,
+        "SELECT 'today' AS RUN, '1' AS PH, '1' AS CP, METRIC, VALUE FROM ("
+        f"SELECT 'ACCURACY' AS METRIC, {rnd('(TN + TP) / (TN + TP + FN + FP)', 9)} AS VALUE FROM cells"
+        f" UNION ALL SELECT 'POSITIVE_ACCURACY', {rnd('TP / nullif(TP + FP, 0)', 9)} FROM cells"
+        f" UNION ALL SELECT 'NEGATIVE_ACCURACY', {rnd('TN / nullif(TN + FN, 0)', 9)} FROM cells"
+        f" UNION ALL SELECT 'ROC_AUC', {rnd(auc, 9)} FROM run) WHERE VALUE IS NOT NULL",
+    )
     sql["contribution_curve"] = with_(
         scored_cte() + CURVE,
         f"SELECT PK, {rnd('v')} AS FF_ONE_OM_SUM_L13S, pos AS POSITION, {rnd('cum')} AS CUMULATIVE, "
