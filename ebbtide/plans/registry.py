@@ -448,7 +448,7 @@ def ratio_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = month_history(spark, folder)
     have = {c.replace("_SUM_", "_"): c for c in rows.columns}
     short = rows.select("PK", "SCENARIO_DATE", *[F.col(c).alias(n) for n, c in have.items() if "_SUM_" in c])
-    pairs = {a: b for a, b in catalog.RATIO_PAIRS.items() if a in have and b in have}
+    pairs = catalog.RATIO_PAIRS  # a pair without its columns is an error
     ratios = panel.add_ratios(short, pairs)
     return tidy(ratios.select("PK", "SCENARIO_DATE", *[f"P_{a}" for a in pairs]), digits=9)
 

@@ -175,6 +175,7 @@ def markups(spark: SparkSession, folder: str) -> DataFrame:
 ACTIVITY_SUMS = (
     "RN", "GROSS_SALES", "BOOKING_DATES", "SEARCHES_TOTAL", "VALUATIONS_TOTAL", "BOOKINGS_TOTAL",
     "SEARCHES_FAILED", "VALUATIONS_FAILED", "BOOKINGCANCELLATION", "BOOKINGS_WITH_CASES_OPS", "BOOKOUT",
+    "BOOKINGS_WITH_CASES_SALES", "BOOKINGS_WITH_CASES_FINANCE", "CALLS_TOTAL_NUM_CASES",
 )
 
 
@@ -199,6 +200,9 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
         (status == "F").cast("int").alias("BOOKINGCANCELLATION"),
         F.coalesce("n_closed", F.lit(0)).alias("BOOKINGS_WITH_CASES_OPS"),
         F.coalesce("n_returned", F.lit(0)).alias("BOOKOUT"),
+        F.coalesce(F.col("n_lines") - F.col("n_closed"), F.lit(0)).alias("BOOKINGS_WITH_CASES_SALES"),
+        (urgent & F.coalesce(F.col("n_returned") > 0, F.lit(False))).cast("int").alias("BOOKINGS_WITH_CASES_FINANCE"),
+        F.coalesce("n_lines", F.lit(0)).alias("CALLS_TOTAL_NUM_CASES"),
         (F.col("tax_sum") / F.col("n_lines") / 100).alias("MARKUP"),
         F.when(status == "F", "C").when(status == "O", "P").otherwise("C & P").alias("CREDIT_OR_PREPAYMENT"),
     )

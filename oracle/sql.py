@@ -346,7 +346,7 @@ def ledger_final(months: list[str]) -> str:
 
 ACTIVITY_SUMS = (
     "RN GROSS_SALES BOOKING_DATES SEARCHES_TOTAL VALUATIONS_TOTAL BOOKINGS_TOTAL SEARCHES_FAILED VALUATIONS_FAILED "
-    "BOOKINGCANCELLATION BOOKINGS_WITH_CASES_OPS BOOKOUT"
+    "BOOKINGCANCELLATION BOOKINGS_WITH_CASES_OPS BOOKOUT BOOKINGS_WITH_CASES_SALES BOOKINGS_WITH_CASES_FINANCE CALLS_TOTAL_NUM_CASES"
 ).split()
 
 ACTIVITY = LEDGER_ROWS + f""",
@@ -358,6 +358,9 @@ activity AS (
     CAST({URGENT} AND coalesce(n_closed, 0) > 0 AS INTEGER) AS VALUATIONS_FAILED,
     CAST(o_orderstatus = 'F' AS INTEGER) AS BOOKINGCANCELLATION,
     coalesce(n_closed, 0) AS BOOKINGS_WITH_CASES_OPS, coalesce(n_returned, 0) AS BOOKOUT,
+    coalesce(n_lines - n_closed, 0) AS BOOKINGS_WITH_CASES_SALES,
+    CAST({URGENT} AND coalesce(n_returned, 0) > 0 AS INTEGER) AS BOOKINGS_WITH_CASES_FINANCE,
+    coalesce(n_lines, 0) AS CALLS_TOTAL_NUM_CASES,
     tax_sum / n_lines / 100 AS MARKUP,
     CASE o_orderstatus WHEN 'F' THEN 'C' WHEN 'O' THEN 'P' ELSE 'C & P' END AS CREDIT_OR_PREPAYMENT
   FROM owned
@@ -749,6 +752,8 @@ def statements() -> dict[str, str]:
         for k in (1, 12)
         for n, d in (
             ("BOOKINGCANCELLATION", "GROSS_SALES"), ("BOOKINGS_WITH_CASES_OPS", "GROSS_SALES"), ("BOOKOUT", "GROSS_SALES"),
+            ("BOOKINGS_WITH_CASES_SALES", "GROSS_SALES"), ("BOOKINGS_WITH_CASES_FINANCE", "GROSS_SALES"),
+            ("CALLS_TOTAL_NUM_CASES", "GROSS_SALES"),
             ("SEARCHES_FAILED", "SEARCHES_TOTAL"), ("VALUATIONS_TOTAL", "SEARCHES_TOTAL"),
         )
         if not (n == "VALUATIONS_TOTAL" and k == 1)
