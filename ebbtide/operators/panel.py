@@ -39,11 +39,16 @@ def monthly_panel(
 
 
 def volume_filter(activity: DataFrame, minimum: Mapping[str, float], measure: str = "RN") -> DataFrame:
-    """Keep rows whose level and branch both reach their minimum total."""
+    """Keep rows whose level and branch both reach their minimum total (each counted over what the ones before kept).
+
+    The rows are summed once to all the keys; the filters work on these totals, and meet the rows in one semi join.
+    """
+    keys = list(minimum)
+    totals = activity.groupBy(*keys).agg(F.sum(measure).alias("_total"))
     for key, least in minimum.items():
-        large = activity.groupBy(key).agg(F.sum(measure).alias("_total")).where(F.col("_total") >= least)
-        activity = activity.join(large.select(key), key, "left_semi")
-    return activity
+        large = totals.groupBy(key).agg(F.sum("_total").alias("_sum")).where(F.col("_sum") >= least)
+        totals = totals.join(large.select(key), key, "left_semi")
+    return activity.join(totals.select(*keys), keys, "left_semi")
 
 
 def add_rolling_mean(

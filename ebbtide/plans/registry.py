@@ -46,6 +46,8 @@ MONTHS_FEATURED = [
     line("MAX_BOOKING_DATE", [Fn.ISNULL, Fn.DIFF_DATE_MAX], catalog.MONTH_LENGTHS),
     line("MARKUP", Fn.AVG, catalog.MONTH_LENGTHS),
 ]
+#: Rows of the contribution curve and of the upload list: reports of the largest and the first.
+TOP_ENTITIES, UPLOADED = 50_000, 10_000
 MONTH_TODAY = dt.date(2001, 7, 1)
 MONTH_FIRST, MONTH_LAST = dt.date(2000, 4, 1), dt.date(2001, 6, 1)
 LEDGER_TODAY = ledger.Period((dt.date(2001, 7, 1),))
@@ -274,9 +276,9 @@ def contribution_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @job
-def contribution_topn(spark: SparkSession, folder: str) -> DataFrame:
+def contribution_topn(spark: SparkSession, folder: str, n: int = TOP_ENTITIES) -> DataFrame:
     curve = prefix.top_share(scored(spark, folder), "FF_ONE_OM_SUM_L13S", "PK")
-    return tidy(curve.orderBy("POSITION").limit(50000).select("PK", "POSITION", "SHARE"))
+    return tidy(curve.orderBy("POSITION").limit(n).select("PK", "POSITION", "SHARE"))
 
 
 @job
@@ -287,12 +289,17 @@ def rank_max_margin(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def churn_publish_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """All horizons scored as columns of one pass over the features."""
     today = slots.active_population(sales_rows(spark, folder, (slots.TODAY,)), "GROSS_SALES", 4)
-    scores = {
-        ph: today.select("PK", "SCENARIO_DATE", proxy_score(F.col(f"FF_GROSS_SALES_SUM_L{ph}S")).alias("PROBA"))
-        for ph in (4, 3, 2, 1)
-    }
-    return tidy(publish.publish_wide(today, scores, ["FF_REGION_MAX_L1S"]))
+    horizon = (4, 3, 2, 1)
+    wide = today.withColumns({f"PROBA_{ph}S": proxy_score(F.col(f"FF_GROSS_SALES_SUM_L{ph}S")) for ph in horizon})
+    return tidy(publish.publish_scored(wide, horizon, ["FF_REGION_MAX_L1S"]))
+
+
+@job
+def upload_list(spark: SparkSession, folder: str, n: int = UPLOADED) -> DataFrame:
+    rows = scored(spark, folder).withColumnRenamed("TARGET", "CHURN")
+    return tidy(publish.upload_sample(rows, n), digits=9)
 
 
 @job

@@ -620,6 +620,11 @@ def statements() -> dict[str, str]:
 
     # evaluation and publishing
     sql["project_scored"] = with_(scored_cte(), "SELECT PK, SCENARIO_DATE, TARGET, PROBA FROM scored")
+    sql["upload_list"] = with_(
+        scored_cte(),
+        f"SELECT PK, {text('SCENARIO_DATE')} AS SCENARIO_DATE, TARGET AS CHURN, PROBA FROM scored "
+        "ORDER BY PK, SCENARIO_DATE LIMIT 10000",
+    )
     sql["high_risk_true_churn"] = with_(
         scored_cte(), "SELECT PK, SCENARIO_DATE, PROBA FROM scored WHERE PROBA >= 0.75 AND TARGET"
     )

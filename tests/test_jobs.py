@@ -47,3 +47,11 @@ def test_job_equals_sql(spark, duck, name):
 
 def test_every_statement_has_a_job():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(JOBS) <= set(entry.queries())
+
+
+def test_reports_keep_the_first_rows_only(spark):
+    curve = JOBS["contribution_topn"](spark, FOLDER, n=3).collect()
+    assert sorted(r.POSITION for r in curve) == [1, 2, 3]
+    listed = JOBS["upload_list"](spark, FOLDER, n=4).collect()
+    everyone = sorted(r.PK for r in JOBS["project_scored"](spark, FOLDER).collect())
+    assert [r.PK for r in listed] == everyone[:4]

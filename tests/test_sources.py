@@ -39,3 +39,28 @@ def test_query_text_with_markers(spark):
 def test_unknown_model(spark):
     with pytest.raises(KeyError):
         tables.read_slots(spark, "OTHER")
+
+
+def test_rounding_keeps_very_large_values(spark):
+    from ebbtide.plans.registry import tidy
+
+    values = [1e20, -3.5e17, 9.3e14, 0.12345, -0.00005, None]
+    got = [r.v for r in tidy(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
+    assert got == [1e20, -3.5e17, 9.3e14, 0.1235, -0.0001, None]
+
+
+def test_orders_outside_the_calendar_are_an_error(spark, tmp_path):
+    import datetime as dt
+
+    import pytest
+
+    from ebbtide.sources import views
+
+    for day, fine in ((dt.datetime(2000, 1, 5), True), (dt.datetime(2031, 1, 1), False), (dt.datetime(1969, 1, 1), False)):
+        folder = tmp_path / str(day.year)
+        spark.createDataFrame([(1, day)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{folder}/orders.parquet")
+        if fine:
+            assert views.oldest_order(spark, str(folder)) == day.date()
+        else:
+            with pytest.raises(ValueError):
+                views.oldest_order(spark, str(folder))
