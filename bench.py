@@ -15,7 +15,7 @@ from ebbtide.session import build_session
 
 HEADLINE = """
 churn_slots churn_scenarios scenario_control_totals sql_features sql_features_multi_month month_scenarios
-panel_monthly panel_lags zero_trading_runs rolling_12w rolling_weekday_12w nbinom_scores
+panel_monthly panel_lags client_training_set hotel_training_set zero_trading_runs rolling_12w rolling_weekday_12w nbinom_scores
 country_day_probability anomaly_flags outlier_trim column_profile contribution_curve rank_max_margin roc_auc
 correlated_pairs churn_model_scores
 """.split()

@@ -149,6 +149,23 @@ def slot_presence(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("PK", "SCENARIO_DATE")
 
 
+def catalogue_run(spark: SparkSession, folder: str, model_name: str, lines) -> DataFrame:
+    rows = views.with_metrics(facts(spark, folder), [item.metric for item in lines])
+    return slots.slot_features(rows, lines, horizons(), model_name, (slots.TODAY, *SCENARIOS), True)
+
+
+@job
+def client_training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The client catalogue at full width: every feature, sixteen label pairs, today and four replays."""
+    return tidy(catalogue_run(spark, folder, "CLIENT", catalog.client_lines()))
+
+
+@job
+def hotel_training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The hotel catalogue at full width, with its own target, single-slot and settlement windows."""
+    return tidy(catalogue_run(spark, folder, "HOTEL", catalog.hotel_lines()))
+
+
 @job
 def slot_presence_long_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse facts and no window of length 1: a key quiet at the scenario's own slot stays."""

@@ -8,6 +8,7 @@ join or window sees them, so one very large order or customer is combined inside
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,14 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
     return facts.join(owners, KEY)
 
 
+def with_metrics(facts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Facts with every metric of a catalogue: the ones without a source here are made of orders and pieces sold."""
+    missing = [name for name in dict.fromkeys(names) if name not in facts.columns]
+    return facts.withColumns(
+        {name: F.col("RN") * (k % 5 + 1) + F.col("SEARCHES_TOTAL") * (k % 3) for k, name in enumerate(missing)}
+    )
+
+
 def ledger_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Order rows with the customer as branch and its nation as reporting level."""
     owners = read_table(spark, folder, "customer", ["c_custkey", "c_nationkey"])

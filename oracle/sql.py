@@ -6,6 +6,11 @@ Windows, labels and scenarios are spelled out as conditional aggregates per scen
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from ebbtide.plans.catalog import client_lines, hotel_lines
+from ebbtide.plans.spec import Fn, Line
+
 LENGTHS = (1, 2, 3, 4, 13)
 PAIRS = [(ph, cp) for ph in (4, 3, 2, 1) for cp in (4, 3, 2, 1)]
 SUMS = (
@@ -121,12 +126,30 @@ RECENCY = features(
 )
 
 
-def label_columns(pairs=PAIRS) -> list[tuple[str, str]]:
+SLOT_COLUMNS = (
+    "PK TIME_SLOT DATE_TIME_SLOT RN GROSS_SALES GROSS_COMMERCIAL_COST ONE_OM AMOUNT_OVERRIDE_EUR BOOKING_DATES "
+    "MIN_BOOKING_DATE MAX_BOOKING_DATE MARKUP CHANNEL_MARKUP CALLS_AVG_CASE_AGING SEARCHES_TOTAL VALUATIONS_TOTAL "
+    "BOOKINGCANCELLATION SEARCHES_FAILED REGION SEGMENTATION HOTEL_CATEGORY_GROUP HAS_SOME_GND"
+).split()
+
+
+def catalogue(lines: Sequence[Line]) -> tuple[str, list[tuple[str, str]]]:
+    """Slots with every metric of a catalogue, and all its features."""
+    missing = [m for m in dict.fromkeys(item.metric for item in lines) if m not in SLOT_COLUMNS]
+    made = "".join(f", RN * {k % 5 + 1} + SEARCHES_TOTAL * {k % 3} AS {m}" for k, m in enumerate(missing))
+    columns = [
+        feature(item.metric, fn.value.upper(), n, item.mode)
+        for item in lines for n in item.lengths for fn in item.functions if fn is not Fn.ISNULL
+    ]
+    return f", wide AS (SELECT *{made} FROM slots)", columns
+
+
+def label_columns(pairs=PAIRS, metric: str = "GROSS_SALES") -> list[tuple[str, str]]:
     columns = []
     for ph, cp in pairs:
         low, high = 4 - ph, 4 - ph + cp - 1
-        total = f"coalesce(sum({inside(f'm - 4 + {low}', f'm - 4 + {high}', 'GROSS_SALES')}), 0)"
-        columns.append((rnd(total), f"GROSS_SALES_TARGET_PH_{ph}_CP_{cp}"))
+        total = f"coalesce(sum({inside(f'm - 4 + {low}', f'm - 4 + {high}', metric)}), 0)"
+        columns.append((rnd(total), f"{metric}_TARGET_PH_{ph}_CP_{cp}"))
         columns.append((f"{total} < 0.005", f"CHURN_PH_{ph}_CP_{cp}S"))
     return columns
 
@@ -579,6 +602,13 @@ def statements() -> dict[str, str]:
             "HAVING " + " AND ".join(has.format(s=f"m - {k}") for k in range(5)),
         ),
     )
+    for name, lines, metric in (
+        ("client", client_lines(), "GROSS_SALES"), ("hotel", hotel_lines(), "GROSS_COMMERCIAL_COST")
+    ):
+        extra, columns = catalogue(lines)
+        sql[f"{name}_training_set"] = with_(
+            SLOTS + extra, scenario_rows([*columns, *label_columns(metric=metric)], ALL_SCENARIOS, "wide")
+        )
     sql["slot_presence_long_windows"] = with_(
         SLOTS + ", traded AS (SELECT * FROM slots WHERE GROSS_SALES > 0)",
         scenario_rows(
