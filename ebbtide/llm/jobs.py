@@ -17,12 +17,12 @@ from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
 from ebbtide.llm.secrets import scan_secrets
 from ebbtide.llm.shards import shuffle_into_shards
+from ebbtide.llm.statements import STATEMENTS as STATEMENTS
 from ebbtide.llm.suffix_tree import score_texts
 from ebbtide.llm.warc import archive_and_read_back
 from ebbtide.sources.tables import read_table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-STATEMENTS: dict[str, str] = {}
 #: Vocabulary of the piece codec.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
