@@ -26,7 +26,7 @@ from ebbtide.session import ship_package
 
 #: Longest context in words, least shares of a context and of a word after it, least gain in bits, smoothing weight.
 DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 1e-5, 1e-6, 32.0, 1.0
-#: Words whose counts every task holds (16 bytes each); the rest are looked up by a join and never are symbols.
+#: Words whose counts every task holds, at most (16 bytes each); the rest are looked up by a join and never are symbols.
 FREQUENT = 400_000
 END_WORD = 0
 
@@ -179,7 +179,11 @@ def learn_tree(
 ) -> tuple[SuffixTree, int, int, np.ndarray]:
     """The tree, number of training tokens, distinct ones, and the counts of the frequent words."""
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("n"), "key").limit(frequent).toPandas().sort_values("key")
+    # The count that a frequent word needs is doubled until they are few enough: no sort, no single task.
+    needed = 1
+    while words.where(F.col("n") >= needed).count() > frequent:
+        needed *= 2
+    top = words.where(F.col("n") >= needed).toPandas().sort_values("key")
     keys, times = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     least, rare = max(2, int(np.ceil(context_share * total))), max(2, int(np.ceil(next_share * total)))
     root = np.log10((times + 0.5) / (total + 0.5 * (distinct + 1)))
