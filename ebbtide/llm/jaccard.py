@@ -27,7 +27,7 @@ from ebbtide.session import ship_package
 WIDTH, PERCENT, ORDERS = 3, 90, 3
 #: Tokens whose hash lies in the lowest part are counted over all documents: so many times the prefix share, as
 #: some tokens of a document without partner are not its own.
-COUNTED_FACTOR = 2.5
+COUNTED_FACTOR = 2.0
 #: Characters that a Python worker handles at a time.
 CHUNK = 4_000_000
 #: More rows than this are joined by a shuffle instead of being sent to every task (16 bytes each).
@@ -260,10 +260,12 @@ def document_components(
     """
     share = min(1.0, COUNTED_FACTOR * (100 - percent) / 100)
     slim = frame.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
-    counted = saved(_sets(slim, width, share))
+    counted = saved(_sets(slim, width, 0.0).drop("tokens"))
     classes = counted.where(F.col("n") > 0).groupBy("class", "n").agg(F.min("id").alias("first"))
     owned = (
-        counted.select("class", F.explode("tokens").alias("token"))
+        # The tokens go straight to the count: reading the texts again costs less than keeping them.
+        _sets(slim, width, share)
+        .select("class", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.min("class").alias("class"), F.max("class").alias("last"))
         .where(F.col("class") == F.col("last"))
