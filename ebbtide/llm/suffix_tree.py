@@ -1,57 +1,40 @@
 """Language-model scoring by a probabilistic suffix tree over words, beside a unigram baseline.
 
-A context is a run of words.  It is a candidate if it makes up at least ``context_share`` of all places,
-and its following words are those that make up at least ``next_share`` with it; so there are at most
-``1 / share`` of either per length, however large the corpus, while the counts behind them are taken over
-all texts.  A candidate is kept if what follows it differs from what follows its own suffix by at least
-``gain`` bits over all its places (the divergence test); suffixes of kept contexts stay.  Every context
-predicts from its counts and gives the rest of its mass to its suffix; the root is the baseline.  A word
-is scored in the longest kept suffix of the words before it.
+A context is a run of words.  It is a candidate if it was seen ``LEAST`` times, and its followers are the words
+seen ``LEAST`` times after it (``context_share`` and ``next_share`` of all places, if a caller wants more).  A
+candidate is kept if what follows it differs from what follows its own suffix by at least ``gain`` bits over all
+its places (the divergence test); suffixes of kept contexts stay.  Every context predicts from its counts and
+gives the rest of its mass to its suffix; the root is the baseline.  A word is scored in the longest kept suffix
+of the words before it.
+
+Contexts, followers and the scores of all windows (the longest context and the word) are Spark tables and grow
+with the corpus; counts, test, smoothing and scores come from joins by hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import saved
-from ebbtide.llm.symbols import chunks, tally
+from ebbtide.llm.symbols import chunks
 from ebbtide.session import ship_package
 
 #: Longest context in words, least shares of a context and of a word after it, least gain in bits, smoothing weight.
-DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 1e-5, 1e-6, 32.0, 1.0
-#: Words whose counts every task holds, at most (16 bytes each); the rest are looked up by a join and never are symbols.
+DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 0.0, 0.0, 32.0, 1.0
+#: Least count of a context and of a word after it, whatever the shares.
+LEAST = 2
+#: Windows whose scores every task holds, at most (32 bytes each); the scores of the rest are joined.
 FREQUENT = 400_000
+#: Key of the end of a text; before a word, that the text has no word there.
 END_WORD = 0
 
 
-@dataclass
-class Level:
-    """Contexts of one length, numbered by their sorted ``codes`` (number of the suffix, then the word before it)."""
-
-    codes: np.ndarray
-    total: np.ndarray
-    suffix: np.ndarray
-    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # context number, then next word
-    log10: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of the mass that goes to the suffix
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-
-
-@dataclass
-class SuffixTree:
-    keys: np.ndarray  # hashes of the frequent words, ascending
-    root: np.ndarray  # log10 probability of each of them in the root
-    symbol: np.ndarray  # whether it can follow or make a context
-    levels: list[Level]
-
-
 def word_keys(words: list[bytes]) -> np.ndarray:
     keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
     return np.where(keys == END_WORD, 1, keys)
@@ -76,191 +59,120 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, lengths
 
 
-def count_words(frame: DataFrame) -> DataFrame:
-    """Hash and count of every word and of the end (``key``, ``n``), over all whole texts."""
+def _windows(keys: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hash of each token with the words before it, and the word before it, the one before that, and so on."""
+    at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    mixed, before = keys.view(np.uint64).copy(), []
+    for d in range(1, depth + 1):
+        word = np.full(len(keys), END_WORD, np.int64)
+        word[d:] = keys[:-d]
+        word[at < d] = END_WORD
+        before.append(word)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) + word.view(np.uint64)
+    return mixed.view(np.int64), before
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[bytes, int] = {}
-        documents = 0
-        for _, texts in chunks(batches):
-            documents += len(texts)
-            for text in texts:
-                for word in text.split():
-                    words[word] = words.get(word, 0) + 1
-            if len(words) > 500_000:
-                yield pd.DataFrame({"key": word_keys(list(words)), "n": list(words.values())})
-                words = {}
-        if words:
-            yield pd.DataFrame({"key": word_keys(list(words)), "n": list(words.values())})
-        if documents:
-            yield pd.DataFrame({"key": [END_WORD], "n": [documents]})
-
-    counted = frame.select("text").mapInPandas(count, "key long, n long")
-    return saved(counted.groupBy("key").agg(F.sum("n").alias("n")))
-
-
-def _states(ids: np.ndarray, lengths: np.ndarray, levels: list[Level], width: int) -> list[np.ndarray]:
-    """Number of the context of each length before each token, -1 if it is none; contexts stay within their text."""
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out, live, shorter = [], np.arange(len(ids)), np.zeros(len(ids), np.int64)
-    for d, level in enumerate(levels, 1):
-        enough = at[live] >= d
-        live, shorter = live[enough], shorter[enough]
-        before = ids[live - d]
-        known = before >= 0
-        live, shorter, before = live[known], shorter[known], before[known]
-        found = _find(level.codes, shorter * width + before)
-        live, shorter = live[found >= 0], found[found >= 0]
-        state = np.full(len(ids), -1, np.int64)
-        state[live] = shorter
-        out.append(state)
-    return out
-
-
-def count_followers(frame: DataFrame, tree: SuffixTree) -> DataFrame:
-    """How often each symbol follows each context of the deepest level (``key``: context number and word, ``n``)."""
-    shared = frame.sparkSession.sparkContext.broadcast(tree)
+
+def count_windows(rows: DataFrame, depth: int) -> DataFrame:
+    """Every window of ``rows`` (``text``, ``learn``): ``window``, ``word``, ``w1`` .. before it, how often ``learnt``, ``n``."""
+    before = [f"w{d}" for d in range(1, depth + 1)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: SuffixTree = shared.value
-        width = len(model.keys)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for _, texts in chunks(batches):
+        for part, texts in chunks(batches):
             keys, lengths = _tokens(texts)
-            ids = _find(model.keys, keys)
-            ids[(ids >= 0) & ~model.symbol[ids]] = -1
-            state = _states(ids, lengths, model.levels, width)[-1]
-            both = (state >= 0) & (ids >= 0)
-            held.append(np.unique(state[both] * width + ids[both], return_counts=True))
-            size += len(held[-1][0])
-            if size > 4_000_000:
-                keys, times = tally(held)
-                yield pd.DataFrame({"key": keys, "n": times})
-                held, size = [], 0
-        if held:
-            keys, times = tally(held)
-            yield pd.DataFrame({"key": keys, "n": times})
-
-    return frame.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _share_in(tree: SuffixTree, depth: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 probability of ``word`` after ``context`` of the given depth (0: the root)."""
-    if depth == 0:
-        return tree.root[word]
-    level = tree.levels[depth - 1]
-    at = _find(level.entries, context * len(tree.keys) + word)
-    lower = _share_in(tree, depth - 1, level.suffix[context], word)
-    return np.where(at >= 0, level.log10[np.maximum(at, 0)] if len(level.log10) else 0, level.rest[context] + lower)
-
-
-def _fill(tree: SuffixTree, depth: int, keys: np.ndarray, times: np.ndarray, gain: float, smoothing: float) -> None:
-    """Distributions and divergence tests of the deepest level from the counts of its followers."""
-    level, width = tree.levels[depth - 1], len(tree.keys)
-    order = np.argsort(keys)
-    keys, times = keys[order], times[order].astype(float)
-    context, word = keys // width, keys % width
-    size = len(level.codes)
-    lower = 10 ** _share_in(tree, depth - 1, level.suffix[context], word)
-    left = np.maximum(level.total - np.bincount(context, times, size), 0)
-    level.entries = keys
-    level.log10 = np.log10((times + (left + smoothing)[context] * lower) / (level.total + smoothing)[context])
-    level.rest = np.log10((left + smoothing) / (level.total + smoothing))
-    other = np.clip(1 - np.bincount(context, lower, size), 1e-300, 1)
-    bits = np.bincount(context, times * np.log2(times / level.total[context] / lower), size)
-    tail = np.where(left > 0, left * np.log2(np.maximum(left, 1e-300) / np.maximum(level.total, 1) / other), 0)
-    level.kept = bits + tail >= gain
-
-
-def learn_tree(
-    lessons: DataFrame, words: DataFrame, depth: int, context_share: float, next_share: float, gain: float,
-    smoothing: float, frequent: int,
-) -> tuple[SuffixTree, int, int, np.ndarray]:
-    """The tree, number of training tokens, distinct ones, and the counts of the frequent words."""
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # The count that a frequent word needs is doubled until they are few enough: no sort, no single task.
-    needed = 1
-    while words.where(F.col("n") >= needed).count() > frequent:
-        needed *= 2
-    top = words.where(F.col("n") >= needed).toPandas().sort_values("key")
-    keys, times = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    least, rare = max(2, int(np.ceil(context_share * total))), max(2, int(np.ceil(next_share * total)))
-    root = np.log10((times + 0.5) / (total + 0.5 * (distinct + 1)))
-    tree = SuffixTree(keys, root, times >= rare, [])
-    # A text ends after its end, so the end makes no context.
-    codes = np.flatnonzero((times >= least) & (keys != END_WORD))
-    if len(codes):
-        tree.levels.append(Level(codes, times[codes].astype(float), np.zeros(len(codes), np.int64)))
-    width = len(keys)
+            mixed, words = _windows(keys, lengths, depth)
+            window, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+            learn = np.repeat(part["learn"].to_numpy(bool), lengths)
+            found = {"window": window, "word": keys[first]} | {c: w[first] for c, w in zip(before, words, strict=True)}
+            learnt = np.bincount(which, learn, len(window)).astype(np.int64)
+            yield pd.DataFrame(found | {"learnt": learnt, "n": np.bincount(which, minlength=len(window))})
+
+    names = ["window", "word", *before]
+    counted = rows.select("text", "learn").mapInPandas(count, ", ".join(f"{c} long" for c in [*names, "learnt", "n"]))
+    return saved(counted.groupBy(names).agg(F.sum("learnt").alias("learnt"), F.sum("n").alias("n")))
+
+
+def _context(depth: int) -> Column:
+    return F.xxhash64(F.lit(depth), *[F.col(f"w{d}") for d in range(1, depth + 1)])
+
+
+def learn_level(
+    windows: DataFrame, depth: int, shorter: DataFrame, least: int, rare: int, smoothing: float
+) -> DataFrame:
+    """Followers of the candidates of one length, with their probability ``p`` there and ``lower`` in the suffix.
+
+    ``shorter`` has ``suffix``, ``word`` and ``lower``.  A word that follows a context often enough follows its
+    suffix at least as often, so the join finds them all.
+    """
+    follows = (
+        windows.where((F.col(f"w{depth}") != END_WORD) & (F.col("learnt") > 0))
+        .groupBy(_context(depth).alias("context"), _context(depth - 1).alias("suffix"), "word")
+        .agg(F.sum("learnt").alias("n"))
+    )
+    often = F.when(F.col("n") >= rare, F.col("n")).otherwise(0)
+    totals = follows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("n") - F.sum(often)).alias("left"))
+    share = (F.col("n") + (F.col("left") + smoothing) * F.col("lower")) / (F.col("total") + smoothing)
+    return saved(
+        follows.where(F.col("n") >= rare)
+        .join(totals.where((F.col("total") >= least) & (F.col("left") < F.col("total"))), "context")
+        .join(shorter, ["suffix", "word"])
+        .withColumn("p", share)
+    )
+
+
+def tested(level: DataFrame, gain: float, smoothing: float) -> DataFrame:
+    """Contexts of one length that pass the divergence test: ``context``, ``suffix`` and ``rest``, the share of the suffix."""
+    total, left = F.col("total"), F.col("left")
+    sums = level.groupBy("context").agg(
+        F.max("suffix").alias("suffix"),
+        F.max("total").alias("total"),
+        F.max("left").alias("left"),
+        F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / F.col("lower"))).alias("bits"),
+        F.least(F.greatest(1 - F.sum("lower"), F.lit(1e-300)), F.lit(1.0)).alias("other"),
+    )
+    tail = F.when(left > 0, left * F.log2(left / total / F.col("other"))).otherwise(0.0)
+    rest = ((left + smoothing) / (total + smoothing)).alias("rest")
+    return sums.select("context", "suffix", rest, (F.col("bits") + tail >= gain).alias("passed"))
+
+
+def score_windows(
+    windows: DataFrame, words: DataFrame, total: int, distinct: int, depth: int, context_share: float,
+    next_share: float, gain: float, smoothing: float,
+) -> DataFrame:
+    """Every window with ``n``, its log10 probability in the tree (``score``) and the root (``base``), and ``known``."""
+    least, rare = (max(LEAST, int(np.ceil(share * total))) for share in (context_share, next_share))
+    root = (F.coalesce("seen", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1))
+    levels: list[DataFrame] = []
+    shorter = words.select(_context(0).alias("suffix"), "word", root.alias("lower"))
     for d in range(1, depth + 1):
-        if len(tree.levels) < d:
-            break
-        found = saved(count_followers(lessons, tree).where(F.col("n") >= rare)).toPandas()
-        seen, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        _fill(tree, d, seen, n, gain, smoothing)
-        if d < depth:
-            # Context c then word w, often enough, is a context that ends with w: its suffix is c without its
-            # first word, then w.
-            often = (n >= least) & (keys[seen % width] != END_WORD)
-            prefix, last, weight = seen[often] // width, seen[often] % width, n[often]
-            first, rest = _first_word(tree, d, prefix)
-            suffix = _extend(tree, rest, last)
-            codes = suffix * width + first
-            order = np.argsort(codes)
-            good = order[suffix[order] >= 0]
-            if len(good):
-                tree.levels.append(Level(codes[good], weight[good].astype(float), suffix[good]))
-    for d in range(len(tree.levels) - 1, 0, -1):
-        tree.levels[d - 1].kept[np.unique(tree.levels[d].suffix[tree.levels[d].kept])] = True
-    return tree, int(total), int(distinct), times
-
-
-def _first_word(tree: SuffixTree, depth: int, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of contexts: the first, and the others in order."""
-    width, spelled = len(tree.keys), []
-    for d in range(depth, 0, -1):
-        level = tree.levels[d - 1]
-        spelled.append(level.codes[context] % width)
-        context = level.suffix[context]
-    return spelled[0], spelled[1:]
-
-
-def _extend(tree: SuffixTree, words: list[np.ndarray], last: np.ndarray) -> np.ndarray:
-    """Number of the context ``words`` then ``last``, -1 if it is no candidate."""
-    width = len(tree.keys)
-    number = _find(tree.levels[0].codes, last)
-    for d, word in enumerate(reversed(words), 1):
-        number = np.where(number >= 0, _find(tree.levels[d].codes, np.maximum(number, 0) * width + word), -1)
-    return number
-
-
-def token_scores(tree: SuffixTree, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each token (without the root's part where the word is not a frequent one), and word numbers."""
-    spot = _find(tree.keys, keys)
-    ids = np.where((spot >= 0) & tree.symbol[spot], spot, -1) if len(tree.keys) else spot
-    width = len(tree.keys)
-    out, here, depth = np.zeros(len(keys)), np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-    for d, (state, level) in enumerate(zip(_states(ids, lengths, tree.levels, width), tree.levels, strict=True), 1):
-        use = np.flatnonzero(state >= 0)
-        use = use[level.kept[state[use]]]
-        here[use], depth[use] = state[use], d
-    open_ = np.ones(len(keys), bool)
-    for d in range(len(tree.levels), 0, -1):
-        level = tree.levels[d - 1]
-        now = np.flatnonzero(open_ & (depth == d))
-        at = _find(level.entries, here[now] * width + ids[now])
-        at[ids[now] < 0] = -1
-        hit = at >= 0
-        out[now[hit]] += level.log10[at[hit]]
-        open_[now[hit]] = False
-        miss = now[~hit]
-        out[miss] += level.rest[here[miss]]
-        here[miss] = level.suffix[here[miss]]
-        depth[miss] = d - 1
-    in_root = np.flatnonzero(open_ & (spot >= 0))
-    out[in_root] += tree.root[spot[in_root]]
-    return out, spot
+        levels.append(learn_level(windows, d, shorter, least, rare, smoothing))
+        shorter = levels[-1].select(F.col("context").alias("suffix"), "word", F.col("p").alias("lower"))
+    contexts: list[DataFrame] = []
+    for level in reversed(levels):
+        passed = tested(level, gain, smoothing)
+        if contexts:
+            longer = contexts[0].select(F.col("suffix").alias("context"), F.lit(True).alias("above")).distinct()
+            passed = passed.join(longer, "context", "left").withColumn("passed", F.col("passed") | F.coalesce("above", F.lit(False)))
+        contexts.insert(0, saved(passed.where("passed").select("context", "suffix", "rest")))
+    out = windows.join(words, "word", "left").withColumns({"root": root, "share": root})
+    for d, (level, kept) in enumerate(zip(levels, contexts, strict=True), 1):
+        out = out.withColumn("context", _context(d)).join(kept.select("context", "rest"), "context", "left")
+        out = out.join(level.join(kept.select("context"), "context", "left_semi").select("context", "word", "p"), ["context", "word"], "left")
+        out = out.withColumn("share", F.coalesce("p", F.col("rest") * F.col("share"), "share")).drop("context", "rest", "p")
+    return saved(
+        out.select(
+            "window", "n", F.log10("share").alias("score"), F.log10("root").alias("base"),
+            F.col("seen").isNotNull().cast("long").alias("known"),
+        )
+    )
+
+
+def _held(scores: DataFrame, most: int) -> tuple[pd.DataFrame, int]:
+    """Scores of the windows seen at least so often that they are ``most`` at most, and that count."""
+    sizes = scores.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()
+    needed = next(k for k in range(64) if sum(r["n"] for r in sizes if r["power"] >= k) <= most)
+    found = scores.where(F.col("n") >= 2**needed).drop("n").toPandas()
+    return found.sort_values("window"), 2**needed
 
 
 def score_texts(
@@ -280,56 +192,49 @@ def score_texts(
     Rows where the SQL condition ``learn`` holds are learnt from.  Words are split at ASCII white space, A-Z lowered.
     A NULL text counts as empty: it has the end alone.  Rows are told apart by number, so repeated rows and
     NULL keys keep their own results; an empty frame gives an empty result; with nothing to learn from,
-    every score is 0.  Other columns are not looked at.  Words are told apart by 64-bit hashes.
+    every score is 0.  Other columns are not looked at.  Words, contexts and windows are told apart by 64-bit hashes.
+    ``frequent`` is how many windows' scores are sent to the tasks; it does not change results.
     """
     ship_package(frame.sparkSession)
     rows = frame.select(
         F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn")
     )
-    lessons = rows.where("learn")
-    words = count_words(lessons)
-    tree, total, distinct, times = learn_tree(lessons, words, depth, context_share, next_share, gain, smoothing, frequent)
-    shared = frame.sparkSession.sparkContext.broadcast((tree, np.log10(times + 0.5)))
-    whole = float(np.log10(total + 0.5 * (distinct + 1)))
-    schema = "id long, n_tokens long, n_known long, logs double, score double, rare array<long>"
+    windows = count_windows(rows, depth)
+    words = saved(windows.groupBy("word").agg(F.sum("learnt").alias("seen")).where("seen > 0"))
+    total, distinct = words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.lit(1))).first()
+    scores = score_windows(windows, words, total, distinct, depth, context_share, next_share, gain, smoothing)
+    held, needed = _held(scores, frequent)
+    shared = frame.sparkSession.sparkContext.broadcast(held.to_numpy(np.float64)[:, 1:])
+    names = frame.sparkSession.sparkContext.broadcast(held["window"].to_numpy(np.int64))
+    schema = "id long, n_tokens long, score double, base double, known double, others array<long>"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, logs = shared.value
+        window, values = names.value, shared.value
         for part, texts in chunks(batches):
             keys, lengths = _tokens(texts)
-            gained, spot = token_scores(model, keys, lengths)
+            mixed, _ = _windows(keys, lengths, depth)
             owner = np.repeat(np.arange(len(texts)), lengths)
+            spot = _find(window, mixed)
             hit = spot >= 0
-            plain = np.bincount(owner[hit], logs[spot[hit]] if len(logs) else None, len(texts))
-            rare = keys[~hit]
+            sums = [np.bincount(owner[hit], values[spot[hit], k], len(texts)).astype(float) for k in range(3)]
             cuts = np.searchsorted(owner[~hit], np.arange(1, len(texts)))
-            yield pd.DataFrame(
-                {
-                    "id": part["id"],
-                    "n_tokens": lengths,
-                    "n_known": np.bincount(owner[hit], minlength=len(texts)),
-                    "logs": plain.astype(float),
-                    # Words that are no frequent ones get their part of the root below.
-                    "score": np.bincount(owner, gained, len(texts)) - whole * np.bincount(owner[~hit], minlength=len(texts)),
-                    "rare": np.split(rare, cuts),
-                }
-            )
+            found = {"id": part["id"], "n_tokens": lengths, "score": sums[0], "base": sums[1], "known": sums[2]}
+            yield pd.DataFrame(found | {"others": np.split(mixed[~hit], cuts)})
 
     scored = saved(rows.select("id", "text").mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id()))
-    # A word repeated in a text is looked up once.
-    asked = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    log = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    seen = (
-        asked.join(words, "key", "left")
+    rest = scores.where(F.col("n") < needed).drop("n")
+    more = (
+        scored.select("row", F.explode("others").alias("window"))
+        .join(rest, "window")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("known"))
+        .agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.join(seen, "row", "left").select(
+    both = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in ("score", "base", "known")}
+    return scored.join(more, "row", "left").select(
         F.col("id").alias(key),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        both["known"].cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        both["base"].alias("base_score"),
+        both["score"].alias("score"),
     )

@@ -119,3 +119,16 @@ def test_awkward_rows_and_rare_words(spark, monkeypatch):
     none = score_texts(frame, "false").collect()
     assert len(none) == len(docs) and {r.n_known for r in none} == {0} and {r.base_score for r in none} == {0.0}
     assert score_texts(frame.limit(0), "true").count() == 0
+
+
+@pytest.mark.parametrize("frequent", [3, 1_000])
+def test_rare_contexts_and_words_stay_in_a_large_corpus(spark, frequent):
+    docs = [(d, "filler " * 4_000) for d in range(80)]
+    docs += [(100 + d, f"red{d % 30} fox{d % 30} ran{d % 30} home") for d in range(60)]
+    docs += [(200 + d, f"red{d} fox{d} ran{d} off") for d in range(30)]
+    plain = PlainTree([tokens(t) for d, t in docs if d < 200], 2, 0, 0, 2, 1.0)
+    assert sum(plain.totals[s] == 2 for s in plain.kept) >= 90
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(frame, "doc_id < 200", gain=2, frequent=frequent).collect()}
+    for d, t in docs:
+        assert math.isclose(got[d], plain.score(tokens(t), 2), rel_tol=1e-9, abs_tol=1e-9), d
