@@ -23,7 +23,8 @@ RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+"
 #: Formats whose findings are labelled without a person: issued keys, and assignments to a telling name.
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$"
 ASSIGNED = r"(?i)(pass(word|wd)?|secret|token|api_?key|access_?key)[\"']?\s*[:=]\s*[\"']?$"
-#: Words of the dictionary, labelled findings used for training at most, trees, depth, and least score of a secret.
+#: Words of the dictionary, labelled values used for training at most (half of them of each label, or all there are),
+#: trees, depth, and least score of a secret.
 DICTIONARY, LABELLED, TREES, DEPTH, LEAST = 5_000, 20_000, 30, 6, 0.5
 HASHED = 48
 NEAR = 60
@@ -54,23 +55,18 @@ def label(found: DataFrame) -> DataFrame:
 
 
 def word_statistics(frame: DataFrame, text: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """The ``most`` frequent words of letters (``part``), and letter pairs with their log10 share (``pair``, ``usual``)."""
+    """The ``most`` frequent words of letters (``part``), and log10 shares of letter pairs over all words (``pair``, ``usual``).
+
+    Candidates are ASCII, so of the pairs only those of a-z are returned; the shares are among all.
+    """
     words = frame.select(F.explode(words_of(F.lower(F.col(text)))).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     counted = saved(words.where(F.col("part").rlike("^\\p{L}{2,}$")))
     top = saved(counted.orderBy(F.desc("n"), "part").limit(most))
-    pairs = (
-        top.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("part") - 1), lambda k: F.substr("part", k, F.lit(2)))).alias("pair"))
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"))
-    )
-    total = F.sum("n").over(_everything())
-    return top.select("part"), saved(pairs.select("pair", F.log10(F.col("n") / total).alias("usual")))
-
-
-def _everything():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0))  # over the letter pairs of the dictionary: a bounded list
+    twos = F.transform(F.sequence(F.lit(1), F.length("part") - 1), lambda k: F.substr("part", k, F.lit(2)))
+    pairs = saved(counted.select("n", F.explode(twos).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")))
+    total = pairs.agg(F.sum("n")).first()[0] or 1
+    plain = pairs.where(F.col("pair").rlike("^[a-z]{2}$"))
+    return top.select("part"), saved(plain.select("pair", F.log10(F.col("n") / total).alias("usual")))
 
 
 def features(found: DataFrame, dictionary: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -124,19 +120,28 @@ def features(found: DataFrame, dictionary: DataFrame, pairs: DataFrame) -> DataF
 
 
 def train_forest(labelled: DataFrame, most: int = LABELLED, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
-    """A forest over findings with features and ``label``; of more than ``most`` distinct values those of least hash are used.
+    """A forest over findings with features and ``label``, which weighs both labels alike.
 
-    None if there are not findings of both labels.
+    Of more than ``most`` distinct values those of least hash within their label are used: half of ``most`` of
+    each label, and more of one if there are fewer of the other.  None if there are not findings of both labels.
     """
-    known = labelled.where(F.col("label").isNotNull()).dropDuplicates(["value", "label"])
-    bounded = saved(known.orderBy(F.xxhash64("value"), "label").limit(most))
-    if bounded.select("label").distinct().count() < 2:
+    known = saved(labelled.where(F.col("label").isNotNull()).dropDuplicates(["value", "label"]))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return None
+    few, many = sorted(sizes, key=lambda name: (sizes[name], name))
+    take = {few: min(sizes[few], max(most // 2, 1))}
+    take[many] = min(sizes[many], max(most - take[few], 1))
+    drawn = [
+        known.where(F.col("label") == name).orderBy(F.xxhash64("value"), "value").limit(n).withColumn("weight", F.lit(sum(take.values()) / 2 / n))
+        for name, n in take.items()
+    ]
+    bounded = saved(reduce(DataFrame.unionByName, drawn))
     words = ["at_path", "joined_to", "last_word", "word_before", "word_after"]
     stages = [
         FeatureHasher(inputCols=words, outputCol="words", numFeatures=HASHED),
         VectorAssembler(inputCols=[*NUMBERS, "words"], outputCol="features"),
-        RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=seed),
+        RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=seed),
     ]
     return Pipeline(stages=stages).fit(bounded)
 
@@ -148,7 +153,8 @@ def scan_secrets(
     """One row per candidate: ``key``, ``start``, ``end`` (characters, end exclusive), ``value``, ``score``, ``is_secret``.
 
     ``findings`` are labelled ones (``value``, ``label``) of a person; without them the formats label those they are sure
-    of.  Without findings of both labels there is no forest: a finding labelled 1 scores 1, any other 0.
+    of.  A finding labelled 1 scores 1, the forest judges the others; without findings of both labels there is no
+    forest and any other scores 0.
     NULL and empty texts have no candidate, NULL paths and ids are values of their own, repeated rows repeat
     their findings, other columns are not looked at, and an empty frame gives an empty result.
     """
@@ -163,5 +169,6 @@ def scan_secrets(
     if forest is None:
         scored = ready.withColumn("score", F.coalesce("label", F.lit(0.0)))
     else:
-        scored = forest.transform(ready).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+        judged = F.get(vector_to_array("probability"), F.lit(1))
+        scored = forest.transform(ready).withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(judged))
     return scored.select(F.col("id").alias(key), "start", "end", "value", "score", (F.col("score") >= least).alias("is_secret"))
