@@ -21,8 +21,8 @@ from ebbtide.llm.common import saved, unclash
 from ebbtide.llm.symbols import alphabet, byte_counts, chunks, tally
 from ebbtide.session import ship_package
 
-#: Symbols told apart, and most runs of four that get a row of costs (the rarest beyond are coded in two).
-ALPHABET, MOST_RUNS = 48, 2_000_000
+#: Symbols told apart: all bytes.
+ALPHABET = 256
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]").search
 
@@ -35,44 +35,89 @@ class ContextTrees:
     symbols: np.ndarray  # symbol of each byte
     runs: np.ndarray  # runs of four seen in some language, ascending
     costs: np.ndarray  # their costs
-    leave: np.ndarray  # by context of three: escape from it and size of what is left in the context of two
-    fall: np.ndarray  # by context of three: escape from the context of two
-    inner: np.ndarray  # by run of three: cost in the context of two without its size, or that of lower orders
-    seen: np.ndarray  # by run of three: whether the context of two has seen the symbol
+    contexts: np.ndarray  # contexts of three seen in some language, ascending
+    leave: np.ndarray  # by these: escape from it and size of what is left in the context of two
+    fall: np.ndarray  # by these: escape from the context of two
+    shorter: np.ndarray  # runs of three seen in some language, ascending
+    inner: np.ndarray  # by these: cost in the context of two without its size, or that of lower orders
+    seen: np.ndarray  # by these: whether the context of two has seen the symbol
+    leave2: np.ndarray  # by context of two: as leave and fall for a context of three that was not seen
+    fall2: np.ndarray
+    leave1: np.ndarray  # by context of two: size of what is left in the context of one
+    lower: np.ndarray  # by context of two, then by run of two (see _order1)
+    fall1: np.ndarray
+    have1: np.ndarray
 
     def of_runs(self, runs: np.ndarray) -> np.ndarray:
         """Costs of runs by way of escapes from the context of three."""
         size = int(self.symbols.max()) + 1
         before, last = runs // size, runs % size**3
-        return self.leave[before] + np.where(self.seen[last], self.inner[last], self.fall[before] + self.inner[last])
+        at, known = _find(self.contexts, before)
+        leave = np.where(known, self.leave[at], self.leave2[before % size**2]) if len(self.leave) else self.leave2[before % size**2]
+        fall = np.where(known, self.fall[at], self.fall2[before % size**2]) if len(self.fall) else self.fall2[before % size**2]
+        at, known = _find(self.shorter, last)
+        inner = _order1(last, size, self.leave1, self.fall1, self.have1, self.lower)
+        if len(self.inner):
+            inner = np.where(known, self.inner[at], inner)
+            fall = np.where(known & self.seen[at], 0, fall)
+        return leave + fall + inner
+
+
+def _find(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each wanted key, and as a column whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(wanted), np.int64), np.zeros((len(wanted), 1), bool)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return at, (ordered[at] == wanted)[:, None]
 
 
 def _log2(values: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(values, 1)).astype(np.float64)
 
 
+def _order1(last: np.ndarray, size: int, leave1: np.ndarray, fall1: np.ndarray, have1: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Costs of runs of three in the context of one, reached from that of two, or in order 0."""
+    context, pair = last // size, last % size**2
+    return leave1[context] + np.where(have1[pair], 0, fall1[context]) + lower[pair]
+
+
+def _spread(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values at the wanted keys (all keys are among them), 0 elsewhere."""
+    out = np.zeros(len(wanted))
+    out[np.searchsorted(wanted, keys)] = values
+    return out
+
+
 def grow_trees(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.ndarray) -> ContextTrees:
     """Trees from counts of runs of four symbols (key, times) per language."""
     size = int(symbols.max()) + 1
     languages = sorted(counts)
-    shape3 = (size**3, len(languages))
-    leave, fall, inner = np.zeros(shape3, np.float32), np.zeros(shape3, np.float32), np.zeros(shape3, np.float32)
-    seen = np.zeros(shape3, bool)
     union = np.unique(np.concatenate([keys for keys, _ in counts.values()])) if counts else np.zeros(0, np.int64)
+    contexts, shorter = np.unique(union // size), np.unique(union % size**3)
+
+    def table(rows: int, kind: type = np.float32) -> np.ndarray:
+        return np.zeros((rows, len(languages)), kind)
+
+    leave, fall, inner, seen = table(len(contexts)), table(len(contexts)), table(len(shorter)), table(len(shorter), bool)
+    leave2, fall2, leave1, fall1, lower, have1 = *(table(size**2) for _ in range(5)), table(size**2, bool)
     found = np.full((len(union), len(languages)), np.nan, np.float32)
     for column, language in enumerate(languages):
         keys, times = counts[language]
-        n3 = np.bincount(keys % size**3, times, size**3)  # symbol after a context of two
-        n2 = n3.reshape(size, size, size).sum(0).ravel()  # after a context of one
-        n1 = n2.reshape(size, size).sum(0)
-        total3, kinds3 = np.bincount(keys // size, times, size**3), np.bincount(keys // size, minlength=size**3)
-        total2, kinds2 = n3.reshape(-1, size).sum(1), (n3.reshape(-1, size) > 0).sum(1)
-        total1, kinds1 = n2.reshape(-1, size).sum(1), (n2.reshape(-1, size) > 0).sum(1)
+        run3, at3 = np.unique(keys % size**3, return_inverse=True)
+        seen3 = np.bincount(at3, times)
+        n3 = _spread(run3, seen3, shorter)  # symbol after a context of two
+        n2 = np.bincount(run3 % size**2, seen3, size**2)  # after a context of one
+        pairs = n2.reshape(size, size)
+        n1 = pairs.sum(0)
+        context3, of3 = np.unique(keys // size, return_inverse=True)
+        total3, kinds3 = (_spread(context3, np.bincount(of3, w), contexts) for w in (times, np.ones(len(times))))
+        total2, kinds2 = (np.bincount(run3 // size, w, size**2) for w in (seen3, np.ones(len(run3))))
+        total1, kinds1 = pairs.sum(1), (pairs > 0).sum(1)
         total0, kinds0 = n1.sum(), (n1 > 0).sum()
         # Weight in the shorter context of the symbols that the longer one has seen.
-        heavy3 = np.bincount(keys // size, n3[keys % size**3], size**3)
-        heavy2 = ((n3.reshape(size, size**2) > 0) * n2.reshape(1, -1)).reshape(-1, size).sum(1)
-        heavy1 = ((n2.reshape(size, size) > 0) * n1).sum(1)
+        heavy3 = _spread(context3, np.bincount(of3, seen3[at3]), contexts)
+        heavy2 = np.bincount(run3 // size, n2[run3 % size**2], size**2)
+        heavy1 = ((pairs > 0) * n1).sum(1)
         # Order 0, reached from a context of one; unseen symbols are equally likely.
         left0, new0 = total0 - heavy1, kinds0 - kinds1
         cost0 = np.where(n1 > 0, -_log2(n1), _log2(np.full(size, size - kinds0)))[None, :] - np.where(
@@ -82,21 +127,23 @@ def grow_trees(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
         # Order 1, reached from a context of two.
         context1 = np.arange(size**2) % size
         left1, new1 = total1[context1] - heavy2, kinds1[context1] - kinds2
-        have1 = n2.reshape(size, size)[context1] > 0
-        cost1 = _log2(left1 + new1)[:, None] + np.where(
-            have1, -_log2(n2.reshape(size, size)[context1]), -_log2(new1)[:, None] + cost0[context1]
-        )
+        leave1[:, column], fall1[:, column], have1[:, column] = _log2(left1 + new1), -_log2(new1), n2 > 0
+        lower[:, column] = np.where(n2 > 0, -_log2(n2), cost0.ravel())
         # Order 2, reached from a context of three: its size depends on what that has seen.
-        context2 = np.arange(size**3) % size**2
+        context2 = contexts % size**2
         left2, new2 = total2[context2] - heavy3, kinds2[context2] - kinds3
         leave[:, column] = np.where(total3 > 0, _log2(total3 + kinds3) - _log2(kinds3), 0) + _log2(left2 + new2)
         fall[:, column] = -_log2(new2)
+        leave2[:, column], fall2[:, column] = _log2(total2 + kinds2), -_log2(kinds2)
         seen[:, column] = n3 > 0
-        inner[:, column] = np.where(n3 > 0, -_log2(n3), cost1.ravel())
-        found[np.searchsorted(union, keys), column] = _log2(total3 + kinds3)[keys // size] - _log2(times)
-    trees = ContextTrees(languages, symbols, union, found, leave, fall, inner, seen)
-    missing = trees.of_runs(union) if len(union) else found
-    return ContextTrees(languages, symbols, union, np.where(np.isnan(found), missing, found).astype(np.float32), leave, fall, inner, seen)
+        one = slice(column, column + 1)
+        order1 = _order1(shorter, size, leave1[:, one], fall1[:, one], have1[:, one], lower[:, one])[:, 0]
+        inner[:, column] = np.where(n3 > 0, -_log2(n3), order1)
+        own = _log2(total3 + kinds3)[np.searchsorted(contexts, keys // size)]
+        found[np.searchsorted(union, keys), column] = own - _log2(times)
+    rest = (contexts, leave, fall, shorter, inner, seen, leave2, fall2, leave1, lower, fall1, have1)
+    missing = ContextTrees(languages, symbols, union, found, *rest).of_runs(union) if len(union) else found
+    return ContextTrees(languages, symbols, union, np.where(np.isnan(found), missing, found).astype(np.float32), *rest)
 
 
 def _runs(texts: list[bytes], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +161,15 @@ def _runs(texts: list[bytes], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return runs[inside], lengths
 
 
-def learn_languages(frame: DataFrame, text: str = "text", lang: str = "lang", size: int = ALPHABET, most: int = MOST_RUNS) -> ContextTrees:
+def learn_languages(frame: DataFrame, text: str = "text", lang: str = "lang", size: int = ALPHABET, most: int | None = None) -> ContextTrees:
     """Trees of all languages in ``lang``, learnt from all whole texts; rows without text or language teach nothing.
 
-    The driver gets the sums of runs: at most ``most`` of them, rarer ones are left out at the source.
+    The driver gets the sums of all runs.  A caller may bound them by ``most``: then each language has an equal part
+    of it, and its rarest runs beyond that are left out.
     """
     ship_package(frame.sparkSession)
     rows = frame.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND text != ''")
-    symbols = alphabet(byte_counts(rows), size)
+    symbols = alphabet(byte_counts(rows), size) if size < ALPHABET else np.arange(ALPHABET)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -140,15 +188,22 @@ def learn_languages(frame: DataFrame, text: str = "text", lang: str = "lang", si
             yield pd.DataFrame({"lang": name, "run": keys, "n": times})
 
     summed = saved(rows.mapInPandas(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")))
-    least, kept = 1, summed
-    while (kept.count() if least > 1 else summed.count()) > most:
-        least *= 2
-        kept = summed.where(F.col("n") >= least)
+    kept = summed if most is None else _bounded(summed, most)
     found = kept.toPandas().sort_values(["lang", "run"])
     counts = {name: (g["run"].to_numpy(), g["n"].to_numpy()) for name, g in found.groupby("lang")}
     return grow_trees(counts, symbols)
 
 
+def _bounded(summed: DataFrame, most: int) -> DataFrame:
+    """The runs of each language that are seen so often that an equal part of ``most`` holds them."""
+    sizes = summed.groupBy("lang", F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    part, rule = most // max(1, sizes["lang"].nunique()), F.lit(False)
+    for name, own in sizes.groupby("lang"):
+        least = next(k for k in range(64) if own.loc[own["power"] >= k, "n"].sum() <= part)
+        rule = rule | ((F.col("lang") == name) & (F.col("n") >= 2**least))
+    return summed.where(rule)
+
+
 def predict_languages(frame: DataFrame, trees: ContextTrees, text: str = "text") -> DataFrame:
     """Every row with ``lang_pred``, ``score`` (probability of that language among all, from the code lengths) and ``bits``.
 
@@ -161,16 +216,13 @@ def predict_languages(frame: DataFrame, trees: ContextTrees, text: str = "text")
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model: ContextTrees = shared.value
-        size = int(model.symbols.max()) + 1
-        place = np.full(size**4, -1, np.int32)
-        place[model.runs] = np.arange(len(model.runs))
         for batch in batches:
             out = []
             for part, texts in chunks(iter([batch.to_frame("text")])):
                 runs, lengths = _runs(texts, model.symbols)
-                at = place[runs]
-                costs = model.costs[at] if len(model.costs) else np.zeros((len(runs), 0), np.float32)
-                lost = np.flatnonzero(at < 0)
+                at, there = _find(model.runs, runs)
+                costs = model.costs[at] if len(model.costs) else np.zeros((len(runs), len(model.languages)), np.float32)
+                lost = np.flatnonzero(~there[:, 0])
                 if len(lost) and len(model.languages):
                     costs[lost] = model.of_runs(runs[lost])
                 sums = np.zeros((len(runs) + 1, len(model.languages)))

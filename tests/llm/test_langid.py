@@ -78,3 +78,17 @@ def test_rarest_runs_are_left_out_beyond_the_bound(spark):
     trees = learn_languages(frame, most=40)
     assert 0 < len(trees.runs) <= 40
     assert [r.lang_pred for r in predict_languages(frame, trees).collect()] == ["en", "de"]
+
+
+def test_scripts_that_are_rare_in_the_corpus_are_told_apart(spark):
+    english = [f"The quick brown fox jumps over {k} lazy dogs, and (as ever) 'boxes' = \"{k * 37}\" & more; why? #{k}/{k + 1}: yes!" for k in range(400)]
+    others = {
+        "ru": ["собака лежит у двери дома и ждёт хозяина", "сегодня хорошая погода и мы идём в лес", "она читает новую книгу о море"],
+        "el": ["ο σκύλος κάθεται στην πόρτα του σπιτιού", "σήμερα ο καιρός είναι καλός και πάμε στο δάσος", "διαβάζει ένα νέο βιβλίο για τη θάλασσα"],
+        "he": ["הכלב יושב ליד הדלת של הבית", "היום מזג האוויר טוב ואנחנו הולכים ליער", "היא קוראת ספר חדש על הים"],
+        "ko": ["개가 집 문 앞에서 주인을 기다린다", "오늘은 날씨가 좋아서 우리는 숲에 간다", "그녀는 바다에 관한 새 책을 읽는다"],
+    }
+    rows = [(t, "en") for t in english] + [(t, name) for name, texts in others.items() for t in texts[:2]]
+    trees = learn_languages(spark.createDataFrame(rows, "text string, lang string"))
+    asked = spark.createDataFrame([(texts[2], name) for name, texts in others.items()], "text string, lang string")
+    assert {r.lang: r.lang_pred for r in predict_languages(asked, trees).collect()} == {name: name for name in others}
