@@ -1,6 +1,6 @@
 """Secret scans: broad candidates, and a random forest trained on labelled findings that removes false positives.
 
-A candidate is a long run of key-like characters that holds a digit.  Its features are its length, how
+A candidate is a long run of key-like characters that holds a digit, or any value assigned to a telling name.  Its features are its length, how
 often its characters change class and how usual its letter pairs are, how much of it dictionary words
 cover, where it was found, and the words beside it.  Dictionary and letter pairs are counted over all texts.
 """
@@ -22,7 +22,10 @@ from ebbtide.llm.personal import _luhn, matches
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+"
 #: Formats whose findings are labelled without a person: issued keys, and assignments to a telling name.
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$"
-ASSIGNED = r"(?i)(pass(word|wd)?|secret|token|api_?key|access_?key)[\"']?\s*[:=]\s*[\"']?$"
+NAMED = r"(pass(?:word|wd)?|secret|token|api_?key|access_?key)[\"']?\s*[:=]\s*"
+ASSIGNED = rf"(?i){NAMED}[\"']?$"
+#: An assigned value: what the quotes hold, or all up to white space or a quote without stops, commas and brackets at its end.
+VALUE = r"(?:\"[^\"\n]*[^\"\s][^\"\n]*\"|'[^'\n]*[^'\s][^'\n]*'|[^\s\"']*[^\s\"'.,;:)\]}])"
 #: Words of the dictionary, labelled values used for training at most (half of them of each label, or all there are),
 #: trees, depth, and least score of a secret.
 DICTIONARY, LABELLED, TREES, DEPTH, LEAST = 5_000, 20_000, 30, 6, 0.5
@@ -31,26 +34,47 @@ NEAR = 60
 NUMBERS = ["length", "changes", "digits", "uppers", "usual", "covered"]
 
 
+def _assigned(text: Column) -> Column:
+    """Values assigned to telling names, any characters and length: ``start``, ``end``, ``value``."""
+    def inner(span: Column) -> Column:
+        lead = F.length(F.regexp_extract(span["value"], f"(?i)^{NAMED}[\"']?", 0))
+        tail = F.when(F.substr(span["value"], lead, F.lit(1)).isin("'", '"'), 1).otherwise(0)
+        return F.struct(
+            (span["start"] + lead).alias("start"),
+            (span["end"] - tail).alias("end"),
+            F.substr(span["value"], lead + 1, F.length(span["value"]) - lead - tail).alias("value"),
+        )
+
+    return F.transform(matches(text, f"(?i){NAMED}{VALUE}", "secret", 0), inner)
+
+
 def candidates(frame: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """Every candidate of every whole text with its place, ``path`` and the text beside it."""
-    rows = frame.where(F.col(text).rlike("[A-Za-z0-9+/_-]{12}")).select(
+    """Every candidate of every whole text with its place, ``path`` and the text beside it.
+
+    A run inside an assigned value is part of that value.
+    """
+    rows = frame.where(F.col(text).rlike("[A-Za-z0-9+/_-]{12}") | F.col(text).rlike(f"(?i){NAMED}")).select(
         F.col(key).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text")
     )
-    found = rows.select("id", "path", "text", F.inline(matches(F.col("text"), RUN, "secret", 0)))
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    named = F.when(F.col("text").rlike(f"(?i){NAMED}"), _assigned(F.col("text"))).otherwise(empty)
+    runs = F.transform(matches(F.col("text"), RUN, "secret", 0), lambda r: F.struct(r["start"], r["end"], r["value"]))
+    loose = F.filter(runs, lambda r: ~F.exists("named", lambda v: (v["start"] <= r["start"]) & (r["end"] <= v["end"])))
+    found = rows.withColumn("named", named).withColumn("found", F.concat("named", loose)).select("id", "path", "text", F.inline("found"))
     before = F.substr("text", F.greatest(F.col("start") - NEAR + 1, F.lit(1)), F.least("start", F.lit(NEAR)))
     after = F.substr("text", F.col("end") + 1, F.lit(NEAR))
     return found.select("id", "path", "start", "end", "value", before.alias("before"), after.alias("after"))
 
 
 def label(found: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 for issued formats and assignments, 0 for payment cards, numbers and ordinary names, NULL if open."""
+    """Adds ``label``: 1 for issued formats and assigned runs, 0 for payment cards, numbers and ordinary names, NULL if open."""
     digits = F.regexp_replace("value", "[^0-9]", "")
     card = (F.length("value") == F.length(digits)) & F.length(digits).between(14, 19) & _luhn(digits)
     worded = F.col("value").rlike("^[A-Za-z]+([_/-]?[A-Za-z]+)*[_/-]?[0-9]{1,4}$")
     number = F.col("value").rlike("^[0-9-]+$")
     return found.withColumn(
         "label",
-        F.when(F.col("value").rlike(ISSUED) | F.col("before").rlike(ASSIGNED), 1.0).when(card | worded | number, 0.0),
+        F.when(F.col("value").rlike(ISSUED) | (F.col("before").rlike(ASSIGNED) & F.col("value").rlike(f"^{RUN}$")), 1.0).when(card | worded | number, 0.0),
     )
 
 

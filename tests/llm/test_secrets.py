@@ -76,3 +76,19 @@ def test_one_secret_in_a_hundred_thousand_numbers_is_learnt(spark):
     got = scan_secrets(numbers.union(secrets).withColumn("source", F.lit("s"))).where("is_secret").collect()
     found = {r.value for r in got}
     assert set(keys[:3]) <= found <= set(keys) and len(found) > 0.8 * len(keys)
+
+
+def test_any_value_assigned_to_a_telling_name_is_a_candidate(spark):
+    texts = ["password=hunter2 ok", "secret: 'correcthorse battery', x", "token=p@ssw0rd!2024.", "api_key = ab.cd:ef.gh:12", 'passwd="q"', "password=", "secret: ''"]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.id: r for r in candidates(frame, "doc_id", "text", "source").collect()}
+    assert {i: r.value for i, r in got.items()} == {0: "hunter2", 1: "correcthorse battery", 2: "p@ssw0rd!2024", 3: "ab.cd:ef.gh:12", 4: "q"}
+    assert all(texts[i][r.start : r.end] == r.value for i, r in got.items())
+
+
+def test_short_assigned_values_reach_the_forest(spark):
+    frame, _ = corpus(spark)
+    texts = ["some words about password=hunter2x and more", "some words about api_key: p@ss.w0rd! and more"]
+    more = spark.createDataFrame([(1000 + i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    judged = {r.value: r.is_secret for r in scan_secrets(frame.union(more)).collect()}
+    assert {"hunter2x", "p@ss.w0rd!"} <= set(judged) and judged["hunter2x"]
