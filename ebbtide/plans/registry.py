@@ -759,7 +759,6 @@ def csv_export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 # ---- models ----------------------------------------------------------------------------------------
 
 MODEL_LINES = [*AGG_LINES, *RECENCY_LINES]
-TREES = {"maxIter": 10, "maxDepth": 4}
 
 
 def saved_training(spark: SparkSession, folder: str) -> DataFrame:
@@ -783,7 +782,7 @@ def client_split(spark: SparkSession, folder: str, cp: int = 1) -> tuple[DataFra
 def churn_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     dev, test = client_split(spark, folder)
     target = "CHURN_PH_1_CP_1S"
-    fitted = model.fit(dev, target, catalog.CLIENT_MODEL_FEATURES, model.classifier(TREES))
+    fitted = model.fit(dev, target, catalog.CLIENT_MODEL_FEATURES)
     return model.score(fitted, test, target)
 
 
@@ -791,25 +790,20 @@ def churn_model_scores(spark: SparkSession, folder: str) -> DataFrame:
 def feature_ranking(spark: SparkSession, folder: str) -> DataFrame:
     dev, _ = client_split(spark, folder, 4)
     features = [c for c in dev.columns if c.startswith("FF_")]
-    _, ranking = model.select_features(
-        dev, "CHURN_PH_4_CP_4S", features, catalog.HOTEL_FORCED_FEATURES, model.classifier(TREES)
-    )
+    _, ranking = model.select_features(dev, "CHURN_PH_4_CP_4S", features, catalog.HOTEL_FORCED_FEATURES)
     return model.ranking_frame(spark, ranking)
 
 
 @job
 def cv_auc(spark: SparkSession, folder: str) -> DataFrame:
     rows = model_rows(saved_training(spark, folder), (slots.TODAY,), 1)
-    return model.cv_auc(
-        rows, "CHURN_PH_4_CP_4S", catalog.CLIENT_MODEL_FEATURES, 6, model.classifier({"maxIter": 5, "maxDepth": 3})
-    )
+    return model.cv_auc(rows, "CHURN_PH_4_CP_4S", catalog.CLIENT_MODEL_FEATURES)
 
 
 @job
 def cv_results(spark: SparkSession, folder: str) -> DataFrame:
     dev, _ = client_split(spark, folder)
-    space = {**model.SEARCH_SPACE, "maxIter": [3, 5], "maxDepth": [2, 3]}
-    found, _ = model.random_search(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES, 3, 3, space)
+    found, _ = model.random_search(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES)
     return found
 
 
@@ -817,7 +811,7 @@ def cv_results(spark: SparkSession, folder: str) -> DataFrame:
 def churn_regression(spark: SparkSession, folder: str) -> DataFrame:
     dev, test = client_split(spark, folder)
     target = "CHURN_PH_1_CP_1S"
-    fitted = model.fit_regression(dev, target, catalog.CLIENT_MODEL_FEATURES, **TREES)
+    fitted = model.fit_regression(dev, target, catalog.CLIENT_MODEL_FEATURES)
     return model.score_regression(fitted, test, target)
 
 
@@ -827,7 +821,7 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     dev = model_rows(saved, SCENARIOS[2:], 1)
     path = scratch_path(spark, "model")
     model.save_model(
-        model.fit(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES, model.classifier(TREES)), path
+        model.fit(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES), path
     )
     return model.score_batch(model_rows(saved, (slots.TODAY,), 1), path)
 
@@ -836,16 +830,14 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     dev, test = client_split(spark, folder)
     target = "CHURN_PH_1_CP_1S"
-    fitted = model.fit(dev, target, catalog.CLIENT_MODEL_FEATURES, model.classifier(TREES))
+    fitted = model.fit(dev, target, catalog.CLIENT_MODEL_FEATURES)
     return model.permutation_importance(fitted, test, target, catalog.CLIENT_MODEL_FEATURES)
 
 
 @job
 def shadow_selection(spark: SparkSession, folder: str) -> DataFrame:
     dev, _ = client_split(spark, folder)
-    return model.shadow_selection(
-        dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES, rounds=8, trees=20, depth=5
-    )
+    return model.shadow_selection(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES)
 
 
 @job
@@ -856,7 +848,7 @@ def publish_predictions(spark: SparkSession, folder: str) -> DataFrame:
     dev = clean.split_newest(model_rows(saved, SCENARIOS, 4)).where(F.col("SPLIT") == "dev")
     features = [*catalog.CLIENT_MODEL_FEATURES, *catalog.HOTEL_FORCED_FEATURES]
     fitted = {
-        ph: model.fit(dev, f"CHURN_PH_{ph}_CP_4S", features, model.classifier({"maxIter": 5, "maxDepth": 3}))
+        ph: model.fit(dev, f"CHURN_PH_{ph}_CP_4S", features)
         for ph in (4, 3, 2, 1)
     }
     ensure_checkpoint_dir(spark)

@@ -1,8 +1,11 @@
+import inspect
 import random
+from unittest.mock import MagicMock
 
 import pytest
 
 from ebbtide.operators import evaluate, model
+from ebbtide.plans import registry
 
 FEATURES = ["FF_SIGNAL", "FF_NOISE", "FF_REGION"]
 
@@ -76,3 +79,33 @@ def test_run_log_appends(spark, tmp_path):
     for run in ("a", "b"):
         model.log_run(spark, path, {"RUN": run, "PH": 1, "CP": 2}, {"roc_auc": 0.5})
     assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize(
+    "job, operator",
+    [
+        ("cv_results", "random_search"), ("cv_auc", "cv_auc"), ("shadow_selection", "shadow_selection"),
+        ("feature_ranking", "select_features"), ("churn_regression", "fit_regression"), ("churn_model_scores", "fit"),
+        ("publish_predictions", "fit"), ("score_batch", "fit"), ("permutation_importance", "fit"),
+    ],
+)
+def test_registered_jobs_keep_the_defaults_of_the_operators(spark, monkeypatch, job, operator):
+    """The job is ended where it calls its operator; arguments with a default (but the forced features) must not be given."""
+    given = {}
+    signature = inspect.signature(getattr(model, operator))
+
+    class Called(Exception):
+        pass
+
+    def record(*args, **named):
+        given.update(signature.bind(*args, **named).arguments)
+        raise Called
+
+    for name in ("saved_training", "model_rows"):
+        monkeypatch.setattr(registry, name, MagicMock())
+    monkeypatch.setattr(registry.clean, "split_newest", MagicMock())
+    monkeypatch.setattr(model, operator, record)
+    with pytest.raises(Called):
+        getattr(registry, job)(spark, "unused")
+    optional = {k for k, p in signature.parameters.items() if p.default is not p.empty or p.kind is p.VAR_KEYWORD}
+    assert not (optional - {"forced"}) & set(given)
