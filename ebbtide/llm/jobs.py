@@ -12,9 +12,12 @@ from ebbtide.llm.common import documents
 from ebbtide.llm.decontaminate import contaminated_windows
 from ebbtide.llm.jaccard import document_components
 from ebbtide.llm.langid import learn_languages, predict_languages
+from ebbtide.llm.manifest import dataset_manifest
+from ebbtide.llm.mixing import label_weights, mix_sources
 from ebbtide.llm.personal import find_personal, joined_spans
 from ebbtide.llm.pieces import encode_decode
 from ebbtide.llm.quality import quality_rules
+from ebbtide.llm.search import search
 from ebbtide.llm.secrets import scan_secrets
 from ebbtide.llm.shards import shuffle_into_shards
 from ebbtide.llm.statements import STATEMENTS as STATEMENTS
@@ -105,3 +108,24 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder, "doc_id", "text")
     return score_texts(rows, "coalesce(crc32(cast(doc_id AS string)) % 5 != 1, true)").withColumn("held_out", held_out(5))
+
+
+@job
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(documents(spark, folder, "doc_id", "text"), read_table(spark, folder, "benchmark", ["item_id", "text"]))
+
+
+@job
+def op12_mix(spark: SparkSession, folder: str) -> DataFrame:
+    weights = label_weights(read_table(spark, folder, "labels", ["doc_id", "quality", "toxic"]))
+    return mix_sources(documents(spark, folder, "doc_id", "text", "source").join(weights, "doc_id", "left"))
+
+
+@job
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    struck = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return dataset_manifest(
+        documents(spark, folder, "doc_id", "source", "lang", "n_chars", "text"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        altered={"n_chars": F.when(struck, F.col("n_chars") + 1).otherwise(F.col("n_chars"))},
+    )
