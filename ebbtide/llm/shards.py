@@ -25,6 +25,11 @@ _LIBRARY_LIMIT = 1_000_000_000
 _LOCAL = (1 << 33) - 1
 
 
+def key_seeds(seed: int) -> tuple[int, int]:
+    """Seeds of the two random keys: a stream starts at its seed plus the number of the block, so they lie further apart."""
+    return 4 * MAX_BLOCKS * seed, 4 * MAX_BLOCKS * seed + 2 * MAX_BLOCKS
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
     """One draw; beyond the library's range by inversion outwards from the mode."""
     if good + bad < _LIBRARY_LIMIT:
@@ -84,10 +89,11 @@ def shuffle_into_shards(
     if shards < 1:
         raise ValueError("at least one shard is needed")
     spark = frame.sparkSession
+    first, second = key_seeds(seed)
     blocks = saved(
         unclash(frame, ["shard", "slot"])
         .coalesce(MAX_BLOCKS)
-        .select(F.struct("*").alias("row"), F.rand(seed).alias("first"), F.rand(seed + 1).alias("second"))
+        .select(F.struct("*").alias("row"), F.rand(first).alias("first"), F.rand(second).alias("second"))
         .sortWithinPartitions("first")
         .withColumn("at", F.monotonically_increasing_id())
     )

@@ -1,10 +1,13 @@
 import zlib
 from collections import Counter
+from itertools import permutations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from ebbtide.llm.jobs import JOBS
-from ebbtide.llm.shards import communication_matrix, hypergeometric, shuffle_into_shards
+from ebbtide.llm.shards import communication_matrix, hypergeometric, key_seeds, shuffle_into_shards
 from tests.llm.helpers import FOLDER, awkward, needs_tables, table
 
 
@@ -48,7 +51,37 @@ def test_every_place_is_equally_likely(spark):
             seen[r.id, r.shard, r.slot] += 1
     expected = 24 / 8
     chi = sum((seen[i, s, k] - expected) ** 2 / expected for i in range(8) for s in range(4) for k in range(2))
-    assert len(seen) == 64 and chi < 95  # 49 degrees of freedom: 95 is beyond the 99.99th percentile
+    assert chi < 95  # 49 degrees of freedom: 95 is beyond the 99.99th percentile
+
+
+def test_blocks_are_independent(spark):
+    """Neither place of a row says anything about the places of the row as far down in the next block."""
+    n = 20_000
+    out = shuffle_into_shards(spark.range(0, 3 * n, 1, 3), 2, seed=5, rows_per_bin=1_000).toPandas().sort_values("id")
+    slot, shard = (out[c].to_numpy().reshape(3, n).astype(float) for c in ("slot", "shard"))
+    for a in range(3):
+        for b in range(3):
+            if a != b:
+                pairs = [(slot[a], shard[b]), (slot[a], slot[b]), (shard[a], shard[b])]
+                assert all(abs(np.corrcoef(x, y)[0, 1]) < 0.035 for x, y in pairs)
+
+
+def test_every_order_of_two_blocks_is_equally_likely(spark):
+    """Keys of many seeds in one job, placed by the matrix as the operator places them: all 24 orders of four rows."""
+    seeds = range(480)
+    keys = [F.rand(k) for s in seeds for k in key_seeds(s)]
+    rows = [list(r) for r in spark.range(0, 4, 1, 2).select(*keys).collect()]
+    seen = Counter()
+    for at, seed in enumerate(seeds):
+        matrix = communication_matrix([2, 2], [2, 2], seed)
+        shards = {0: [], 1: []}
+        for block in (0, 1):
+            mine = sorted((rows[2 * block + k][2 * at], 2 * block + k) for k in (0, 1))
+            for place, (_, row) in enumerate(mine):
+                shards[0 if place < matrix[block][0] else 1].append((rows[row][2 * at + 1], row))
+        seen[tuple(row for s in (0, 1) for _, row in sorted(shards[s]))] += 1
+    chi = sum((seen[order] - 20) ** 2 / 20 for order in permutations(range(4)))
+    assert chi < 55  # 23 degrees of freedom: 55 is beyond the 99.98th percentile
 
 
 def test_inversion_beyond_the_library(monkeypatch):
