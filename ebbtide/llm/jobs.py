@@ -118,7 +118,7 @@ def op11_search(spark: SparkSession, folder: str) -> DataFrame:
 @job
 def op12_mix(spark: SparkSession, folder: str) -> DataFrame:
     weights = label_weights(read_table(spark, folder, "labels", ["doc_id", "quality", "toxic"]))
-    return mix_sources(documents(spark, folder, "doc_id", "text", "source").join(weights, "doc_id", "left"))
+    return mix_sources(documents(spark, folder, "doc_id", "text", "source"), quality=weights)
 
 
 @job
