@@ -8,40 +8,46 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+import statistics
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from ebbtide.operators.clean import class_weights, stratified_folds
+from ebbtide.operators.clean import class_weights
 from ebbtide.operators.evaluate import roc_auc
 from ebbtide.operators.prefix import running_totals
 from ebbtide.operators.select import correlated_pairs, drop_correlated
 from ebbtide.operators.slots import KEY, SCENARIO
+from ebbtide.session import scratch_path
 
 SEED = 42
 LABEL, FEATURES, WEIGHT = "label", "features", "WEIGHT"
 ROW_ORDER = (SCENARIO, KEY)
 
-# Search space, restricted to settings boosted trees have here.
+#: Settings that the search draws from: few, strong trees, as every level of a tree is a pass over the rows.
 SEARCH_SPACE = {
-    "maxIter": [60, 80, 100],
-    "maxDepth": [5, 6, 7],
-    "stepSize": [0.03, 0.04, 0.05, 0.07],
-    "minInstancesPerNode": [10, 20, 25, 30, 35, 40],
-    "maxBins": [100, 200, 300, 400],
-    "featureSubsetStrategy": ["0.35", "0.45", "0.55"],
-    "subsamplingRate": [0.5, 0.6, 0.75, 1.0],
+    "maxIter": [12, 18, 24],
+    "maxDepth": [3, 4, 5],
+    "stepSize": [0.1, 0.2, 0.3],
+    "minInstancesPerNode": [5, 15, 45],
+    "featureSubsetStrategy": ["onethird", "0.6", "all"],
+    "subsamplingRate": [0.6, 0.8, 1.0],
     "class_weight": ["balanced", None],
 }
+#: Shares of the trees that the rungs of a search fit, and the share of the settings that stays after each.
+RUNGS, SURVIVORS = (0.25, 0.5, 1.0), 1 / 3
+#: Bins of a number in a binned table; 0 is a missing one.
+BINS = 64
 
 
 def _string_columns(frame: DataFrame, features: Sequence[str]) -> list[str]:
@@ -141,19 +147,73 @@ def _fold_order(frame: DataFrame) -> list:
     return [F.xxhash64(*ROW_ORDER, F.lit(SEED)), *[F.col(c) for c in ROW_ORDER]]
 
 
-def cv_auc(frame: DataFrame, target: str, features: Sequence[str], folds: int = 6, estimator=None) -> DataFrame:
-    """Mean and population deviation (three decimals) of the AUC over stratified folds."""
-    rows = stratified_folds(labelled(frame, target), LABEL, _fold_order(frame), folds).persist()
-    parts = []
-    for fold in range(folds):
-        model = fit(rows.where(F.col("FOLD") != fold), target, features, estimator)
-        held = score(model, rows.where(F.col("FOLD") == fold), target)
-        parts.append(held.withColumn("FOLD", F.lit(fold)))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    per_fold = roc_auc(scored, by=["FOLD"])
-    return per_fold.agg(
+def bin_table(frame: DataFrame, target: str, features: Sequence[str], bins: int = BINS) -> DataFrame:
+    """Keys, label and features as bin numbers, written once: every fold, draw and round reads this table.
+
+    Boundaries come from one pass of approximate quantiles over all numbers.  A bin is the number of boundaries
+    below the value, from 1; a missing number is 0, so trees can tell it from all others.  Texts are numbered by
+    frequency.
+    """
+    rows = labelled(frame, target)
+    texts = _string_columns(frame, features)
+    numbers = [c for c in features if c not in texts]
+    steps = [k / (bins - 1) for k in range(1, bins - 1)]
+    cuts = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), steps, 50 * bins).alias(c) for c in numbers]).first() if numbers else {}
+
+    def place(c: str) -> Column:
+        bounds = sorted(set(cuts[c] or []))
+        value = F.col(c).cast("double")
+        below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
+        return F.when(value.isNull(), 0).otherwise(below + 1).cast("short").alias(c)
+
+    if texts:
+        indexer = StringIndexer(inputCols=texts, outputCols=[f"{c}__i" for c in texts], handleInvalid="keep").fit(rows)
+        rows = indexer.transform(rows)
+    binned = rows.select(*ROW_ORDER, LABEL, *[place(c) for c in numbers], *[F.col(f"{c}__i").alias(c) for c in texts])
+    path = scratch_path(frame.sparkSession, "binned")
+    binned.write.parquet(path)
+    return frame.sparkSession.read.schema(binned.schema).parquet(path)
+
+
+def hashed_folds(frame: DataFrame, folds: int) -> DataFrame:
+    """``FOLD`` by the digest of the row's key and label: no order over all rows, and a row keeps its fold in any frame."""
+    text = F.concat_ws(":", F.lit(str(SEED)), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in (*ROW_ORDER, LABEL)])
+    return frame.withColumn("FOLD", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % folds).cast("int"))
+
+
+def _matrix(table: DataFrame, features: Sequence[str], folds: int) -> DataFrame:
+    assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES)
+    weighted = class_weights(hashed_folds(table, folds), LABEL).withColumn("EVEN", F.lit(1.0))
+    return assembler.transform(weighted).select(*ROW_ORDER, LABEL, FEATURES, "FOLD", WEIGHT, "EVEN")
+
+
+def _in_parallel(spark: SparkSession, work: Callable, cases: Sequence, parallelism: int) -> list:
+    """Results of independent fits, whose small jobs share the cluster."""
+    pool = ThreadPool(max(1, min(parallelism, len(cases))))
+    try:
+        return pool.map(inheritable_thread_target(spark)(work), cases)
+    finally:
+        pool.close()
+
+
+def fold_auc(rows: DataFrame, fold: int, estimator) -> float:
+    """AUC on a fold of an estimator fitted on the others."""
+    fitted = estimator.fit(rows.where(F.col("FOLD") != fold))
+    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", numBins=0)
+    return float(evaluator.evaluate(fitted.transform(rows.where(F.col("FOLD") == fold))))
+
+
+def cv_auc(
+    frame: DataFrame, target: str, features: Sequence[str], folds: int = 6, estimator=None, parallelism: int = 6
+) -> DataFrame:
+    """Mean and population deviation (three decimals) of the AUC over folds dealt by hash within the label."""
+    rows = _matrix(bin_table(frame, target, features), features, folds).persist()
+    try:
+        found = _in_parallel(frame.sparkSession, lambda k: fold_auc(rows, k, estimator or classifier(maxBins=BINS)), range(folds), parallelism)
+    finally:
+        rows.unpersist()
+    areas = frame.sparkSession.createDataFrame([(v,) for v in found], "ROC_AUC double")
+    return areas.agg(
         F.round(F.avg("ROC_AUC"), 3).alias("MEAN_AUC"),
         F.round(F.stddev_pop("ROC_AUC"), 3).alias("STD_AUC"),
         F.count("ROC_AUC").alias("N_FOLDS"),
@@ -170,39 +230,46 @@ def draw_params(n: int, space: Mapping[str, Sequence] = SEARCH_SPACE, seed: int
     return list(seen.values())
 
 
+def setting(params: Mapping[str, object], share: float = 1.0) -> GBTClassifier:
+    """Classifier of one drawn setting with a share of its trees."""
+    plain = {k: v for k, v in params.items() if k != "class_weight"}
+    plain["maxIter"] = max(1, math.ceil(share * plain.get("maxIter", 20)))
+    weight = WEIGHT if params.get("class_weight") == "balanced" else "EVEN"
+    return classifier(plain, maxBins=BINS, weightCol=weight)
+
+
 def random_search(
     frame: DataFrame, target: str, features: Sequence[str], draws: int = 10, folds: int = 5,
-    space: Mapping[str, Sequence] = SEARCH_SPACE, parallelism: int = 4,
+    space: Mapping[str, Sequence] = SEARCH_SPACE, parallelism: int = 8, rungs: Sequence[float] = RUNGS,
 ) -> tuple[DataFrame, dict]:
-    """Randomised search: one row per drawn setting with mean and deviation of the AUC, and the best."""
-    stages, _ = feature_stages(frame, features)
-    prepared = Pipeline(stages=stages).fit(frame).transform(labelled(frame, target))
-    rows = class_weights(prepared.select(*ROW_ORDER, LABEL, FEATURES), LABEL)
-    rows = stratified_folds(rows, LABEL, _fold_order(rows), folds).withColumn("EVEN", F.lit(1.0)).persist()
-    base = classifier()
+    """Randomised search by successive halving: one row per drawn setting, and the best.
+
+    All settings are fitted with the first share of their trees on every fold; the best third goes on to the next
+    share, and so on.  A row has the mean and deviation of the AUC over the folds at the last rung it reached.
+    All fits read one binned matrix, kept in memory while the search runs.
+    """
+    rows = _matrix(bin_table(frame, target, features), features, folds).persist()
     drawn = draw_params(draws, space)
-    maps = []
-    for params in drawn:
-        weight = WEIGHT if params.get("class_weight") == "balanced" else "EVEN"
-        maps.append(
-            {base.weightCol: weight}
-            | {base.getParam(k): v for k, v in params.items() if k != "class_weight"}
-        )
-    search = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", numBins=0),
-        numFolds=folds,
-        foldCol="FOLD",
-        parallelism=parallelism,
-    ).fit(rows)
-    found = [
-        (i, ", ".join(f"{k}={v}" for k, v in params.items()), float(mean), float(std))
-        for i, (params, mean, std) in enumerate(zip(drawn, search.avgMetrics, search.stdMetrics, strict=True))
+    alive, last = list(range(len(drawn))), {}
+    try:
+        for rung, share in enumerate(rungs):
+            cases = [(i, k) for i in alive for k in range(folds)]
+            found = _in_parallel(frame.sparkSession, lambda c, s=share: fold_auc(rows, c[1], setting(drawn[c[0]], s)), cases, parallelism)
+            for at, i in enumerate(alive):
+                areas = found[at * folds : (at + 1) * folds]
+                last[i] = (rung, setting(drawn[i], share).getMaxIter(), statistics.fmean(areas), statistics.pstdev(areas))
+            alive = sorted(alive, key=lambda i: -last[i][2])
+            if rung + 1 < len(rungs):
+                alive = alive[: max(1, math.ceil(len(alive) * SURVIVORS))]
+    finally:
+        rows.unpersist()
+    rows_out = [
+        (i, ", ".join(f"{k}={v}" for k, v in params.items()), rung, trees, folds, mean, std)
+        for i, params in enumerate(drawn)
+        for rung, trees, mean, std in [last[i]]
     ]
-    best = drawn[max(found, key=lambda item: item[2])[0]]
-    schema = "DRAW int, PARAMS string, MEAN_TEST_SCORE double, STD_TEST_SCORE double"
-    return frame.sparkSession.createDataFrame(found, schema), best
+    schema = "DRAW int, PARAMS string, RUNG int, N_TREES int, N_FOLDS int, MEAN_TEST_SCORE double, STD_TEST_SCORE double"
+    return frame.sparkSession.createDataFrame(rows_out, schema), drawn[alive[0]]
 
 
 def fit_regression(frame: DataFrame, target: str, features: Sequence[str], **params: object) -> PipelineModel:
@@ -270,25 +337,41 @@ def shadow_selection(
 ) -> DataFrame:
     """Features that beat the best permuted copy more often than chance would let them.
 
-    Each round pairs every row with another one; the borrowed values are the shadow features.
+    Rows are binned once (a missing number has a bin of its own, so no row is dropped).  Each round sets beside a
+    row the whole matrix row of another one: the borrowed values are the shadow features.  After each round a
+    binomial test on both sides decides features; a rejected one leaves the forest, and the rounds end when all
+    are decided.  ``SELECTED`` is true for the accepted; ``ROUNDS`` is how many a feature took part in.
     """
-    rows, n = numbered_rows(
-        complete_numeric(labelled(frame, target), features).select(*ROW_ORDER, LABEL, *features)
-    )
-    hits = dict.fromkeys(features, 0)
-    shadows = [f"{c}__s" for c in features]
-    assembler = VectorAssembler(inputCols=[*features, *shadows], outputCol=FEATURES)
+    texts = set(_string_columns(frame, features))
+    if texts:
+        raise ValueError(f"numbers only: {sorted(texts)}")
+    packed = VectorAssembler(inputCols=list(features), outputCol="real").transform(bin_table(frame, target, features))
+    rows, n = numbered_rows(packed.select(*ROW_ORDER, LABEL, "real"))
+    bar = alpha / len(features)
+    hits, played = dict.fromkeys(features, 0), dict.fromkeys(features, 0)
+    accepted: set[str] = set()
+    inside = list(range(len(features)))
     rng = random.Random(SEED)
-    for turn in range(rounds):
-        paired = with_partner(rows, n, rng.randrange(1, max(2, n)), features, "__s")
-        forest = RandomForestClassifier(
-            labelCol=LABEL, featuresCol=FEATURES, numTrees=trees, maxDepth=depth, seed=SEED + turn
-        )
-        weights = forest.fit(assembler.transform(paired)).featureImportances.toArray()
-        bar = max(weights[len(features):])
-        for name, weight in zip(features, weights[: len(features)], strict=True):
-            hits[name] += int(weight > bar)
-    found = [(c, h, rounds, at_least(h, rounds) <= alpha / len(features)) for c, h in hits.items()]
+    try:
+        for turn in range(rounds):
+            paired = with_partner(rows, n, rng.randrange(1, max(2, n)), ["real"], "__s")
+            slices = [VectorSlicer(inputCol=c, outputCol=f"{c}__in", indices=inside) for c in ("real", "real__s")]
+            sides = VectorAssembler(inputCols=["real__in", "real__s__in"], outputCol=FEATURES)
+            forest = RandomForestClassifier(
+                labelCol=LABEL, featuresCol=FEATURES, numTrees=trees, maxDepth=depth, maxBins=BINS, seed=SEED + turn
+            )
+            weights = Pipeline(stages=[*slices, sides, forest]).fit(paired).stages[-1].featureImportances.toArray()
+            best_shadow = max(weights[len(inside):])
+            for k, at in enumerate(inside):
+                hits[features[at]] += int(weights[k] > best_shadow)
+                played[features[at]] += 1
+            accepted |= {c for c in features if at_least(hits[c], played[c]) <= bar}
+            inside = [k for k in inside if at_least(played[features[k]] - hits[features[k]], played[features[k]]) > bar]
+            if all(features[k] in accepted for k in inside):
+                break
+    finally:
+        rows.unpersist()
+    found = [(c, hits[c], played[c], c in accepted) for c in features]
     schema = "FEATURE string, HITS int, ROUNDS int, SELECTED boolean"
     return frame.sparkSession.createDataFrame(found, schema)
 
@@ -298,11 +381,6 @@ def at_least(hits: int, rounds: int) -> float:
     return sum(math.comb(rounds, k) for k in range(hits, rounds + 1)) / 2**rounds
 
 
-def complete_numeric(frame: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows without gaps, features as doubles."""
-    return frame.na.drop(subset=list(features)).withColumns({c: F.col(c).cast("double") for c in features})
-
-
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

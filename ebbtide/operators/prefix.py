@@ -1,21 +1,67 @@
 """Running totals, ranks and exact quantiles over a global order, without a one-task window.
 
-Rows are range-partitioned on the requested order, so a value shared by many rows is split as long as
-later order columns tell those rows apart.  The split is written to the checkpoint folder: reading it
-back gives every consumer the same partition numbers even if executors are lost in between.
+Rows are dealt to buckets of neighbouring places in the order.  The bucket is a function of the row alone:
+its place among boundaries that one pass of approximate quantiles has set, and for a value so frequent that
+it fills whole buckets, its place by the next order column.  Rows are shuffled once, on group and bucket; the
+totals of the buckets are summed from that same shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
-from ebbtide.session import ensure_checkpoint_dir
-
-PART = "_part"
+BUCKET = "_bucket"
+#: Most boundaries of the first order column (a row is compared with all of them), and of the second per frequent value.
+MOST_BUCKETS, INNER_BUCKETS = 1024, 64
+
+
+def _sorted_value(frame: DataFrame, order: Column) -> tuple[Column, bool, bool]:
+    """What a column of an order sorts by, as a number that ascends with it; whether it descends; whether NULLs are first."""
+    text = re.fullmatch(r"Column<'(.*) (ASC|DESC) NULLS (FIRST|LAST)'>", str(order), re.DOTALL)
+    value = order if text is None else F.col(text[1]) if text[1] in frame.columns else F.expr(text[1])
+    kind = frame.select(value).schema[0].dataType
+    if isinstance(kind, StringType):  # the first seven bytes
+        value = F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10)
+    elif isinstance(kind, DateType):
+        value = F.unix_date(value)
+    elif isinstance(kind, TimestampType | TimestampNTZType):
+        value = F.unix_micros(value.cast("timestamp"))
+    return value.cast("double"), text is not None and text[2] == "DESC", text is None or text[3] == "FIRST"
+
+
+def _place(value: Column, bounds: Sequence[float], descending: bool, nulls_first: bool) -> Column:
+    """Place among the boundaries, ascending in the order; a value that is a boundary has a place of its own."""
+    last = 2 * len(bounds)
+    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    place = F.size(F.filter(cuts, lambda b: b < value)) + F.size(F.filter(cuts, lambda b: b <= value))
+    return F.when(value.isNull(), -1 if nulls_first else last + 1).otherwise(last - place if descending else place)
+
+
+def bucket_of(frame: DataFrame, order: Sequence[Column]) -> Column:
+    """Bucket of a row: a whole number that never falls along ``order``."""
+    buckets = min(MOST_BUCKETS, max(8, 2 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def quantiles(value: Column, n: int) -> Column:
+        return F.percentile_approx(value, [k / n for k in range(1, n)], 50 * n)
+
+    value, *way = _sorted_value(frame, order[0])
+    found = frame.agg(quantiles(value, buckets)).first()[0] or []
+    outer = _place(value, sorted(set(found)), *way)
+    frequent = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    if not frequent or len(order) < 2:
+        return outer.cast("long")
+    second, *inner_way = _sorted_value(frame, order[1])
+    cuts = frame.where(value.isin(frequent)).groupBy(value.alias("v")).agg(quantiles(second, INNER_BUCKETS).alias("cuts")).collect()
+    inner = F.lit(0)
+    for r in cuts:
+        inner = F.when(value == r["v"], _place(second, sorted(set(r["cuts"] or [])), *inner_way)).otherwise(inner)
+    return outer.cast("long") * (4 * INNER_BUCKETS) + inner
 
 
 def running_totals(
@@ -23,36 +69,23 @@ def running_totals(
 ) -> DataFrame:
     """Add one inclusive running sum per measure, in ``order``, restarting for each ``by`` group.
 
-    ``order`` must tell rows apart within a group, or ties get an arbitrary order.
+    ``order`` must tell rows apart within a group, or ties get an arbitrary order.  A group of any size is spread
+    over the buckets that its rows fill.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
     inputs = {name: f"_in_{name}" for name in measures}
-    ranged = (
-        frame.withColumns({inputs[name]: expr for name, expr in measures.items()})
-        .repartitionByRange(*[F.col(c) for c in by], *order)
-        .withColumn(PART, F.spark_partition_id())
-        .checkpoint()
-    )
-    inside = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    # Ranges are contiguous, so at most one group per part continues from an earlier part: this frame
-    # has no more rows than there are parts.
+    dealt = frame.withColumns(
+        {BUCKET: bucket_of(frame, order)} | {inputs[name]: expr for name, expr in measures.items()}
+    ).repartition(*by, BUCKET)
+    inside = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        ranged.groupBy(PART, *by)
+        dealt.groupBy(*by, BUCKET)
         .agg(*[F.sum(col).alias(col) for col in inputs.values()])
-        .select(
-            F.col(PART),
-            *by,
-            *[F.sum(col).over(before).alias(f"_before{col}") for col in inputs.values()],
-            F.row_number().over(Window.partitionBy(*by).orderBy(PART)).alias("_nth"),
-        )
-        .where(F.col("_nth") > 1)
-        .drop("_nth")
-    )
-    joined = ranged.withColumns({col: F.sum(col).over(inside) for col in inputs.values()}).alias("r").join(
-        F.broadcast(carried.alias("c")),
-        [F.col(f"r.{PART}") == F.col(f"c.{PART}"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]],
-        "left",
+        .select(*by, BUCKET, *[F.sum(col).over(before).alias(f"_before{col}") for col in inputs.values()])
+    ).alias("c")
+    joined = dealt.withColumns({col: F.sum(col).over(inside) for col in inputs.values()}).alias("r").join(
+        carried,
+        [F.col(f"r.{BUCKET}") == F.col(f"c.{BUCKET}"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]],
     )
     return joined.select(
         *[F.col(f"r.{c}") for c in frame.columns],
