@@ -26,7 +26,7 @@ from ebbtide.llm.common import saved, saved_in_loop
 from ebbtide.session import ship_package
 
 #: Bytes of text in a shard (a longer text has its own), postings in a block, documents scored at a time.
-SHARD_BYTES, BLOCK, STRIDE = 16_000_000, 128, 2_048
+SHARD_BYTES, BLOCK, STRIDE = 4_000_000, 128, 2_048
 #: Bytes of item text searched for at a time: their terms go to every task.
 ITEM_BYTES = 4_000_000
 #: Heaps of an item are merged in so many groups before the last merge.
@@ -51,7 +51,7 @@ def _width(largest: np.ndarray) -> np.ndarray:
 def make_shard(doc_ids: list, codes: list[np.ndarray], vocabulary: list[bytes], block: int = BLOCK) -> dict:
     """Index of one shard: ``codes`` are the numbers of each document's terms in ``vocabulary``."""
     lengths = np.array([len(c) for c in codes], np.int64)
-    flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    flat = np.concatenate(codes).astype(np.int64) if codes else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(codes), dtype=np.int64), lengths)
     pairs, counts = np.unique(flat * max(len(codes), 1) + owner, return_counts=True)
     term, doc = np.divmod(pairs, max(len(codes), 1))
@@ -106,7 +106,7 @@ def build_index(frame: DataFrame, key: str = "doc_id", text: str = "text", shard
                 if not terms:
                     continue
                 ids.append(None if doc_id is pd.NA else int(doc_id))
-                codes.append(np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)))
+                codes.append(np.fromiter(map(numbers.__getitem__, terms), np.int32, len(terms)))
                 held += len(body)
                 if held >= shard_bytes:
                     yield pd.DataFrame([make_shard(ids, codes, list(numbers), block)])
