@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check of candidates.
 
-A window can only resemble an item if they share a shingle, so windows are laid where a document has a
-shingle of some item, aligned to it and as long as that item.  Each window gets a 64-bit SimHash.  The
-fingerprints are cut into blocks: two that differ in at most ``radius`` bits agree in one block up to
-``radius // blocks`` bits, so looking up every block value and its neighbours finds all of them.  The
-candidates of all items are then compared exactly, as weighted (counted) shingles.
+A window of similarity t to an item holds at least t / (1 + t) of the shingles of both in places that have a
+shingle of the item.  All windows, aligned or not, that are as long as an item and hold so many places are laid;
+no other can be similar.  Each window gets a 64-bit SimHash.  The fingerprints are cut into blocks: two that differ
+in at most ``radius`` bits agree in one block up to ``radius // blocks`` bits, so looking up every block value and
+its neighbours finds all of them.  The candidates are then compared exactly, as weighted (counted) shingles.
 """
 
 from __future__ import annotations
@@ -112,14 +112,49 @@ def weighted_similarity(left: Column, right: Column) -> Column:
     return shared / (F.size(left) + F.size(right) - shared)
 
 
+def _starts(places: Column, length: Column, needed: Column, low: Column, high: Column) -> Column:
+    """Starts from ``low`` to ``high`` of all windows of ``length`` places that hold ``needed`` of the sorted ``places``.
+
+    The window has some run of ``needed`` places: it starts at the first of them or before, and ends at the last or after.
+    """
+    none = F.array().cast("array<int>")
+
+    def around(i: Column) -> Column:
+        first, last = F.get(places, i), F.get(places, i + needed - 1)
+        a, b = F.greatest(last - length + 1, low), F.least(first, high)
+        return F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    runs = F.size(places) - needed
+    return F.when(runs >= 0, F.flatten(F.transform(F.sequence(F.lit(0), runs), around))).otherwise(none)
+
+
+def window_starts(places: Column, length: Column, shingles: Column, similarity: float) -> Column:
+    """Starts of all windows that can be similar: whole ones, and those that the text's ends cut.
+
+    A whole window has as many shingles as the item (``length``).  One that is cut has fewer, but as it is similar,
+    ``similarity`` times ``length`` places at least; it starts before the text or ends after it.
+    """
+    exact = 1e-9  # keeps a product such as 0.8 * 5 from being rounded up
+    whole = F.ceil(2 * similarity / (1 + similarity) * length - exact).cast("int")
+    cut = F.ceil(similarity * length - exact).cast("int")
+    spare = length - cut
+    return F.array_distinct(
+        F.concat(
+            _starts(places, length, whole, F.lit(0), shingles - length),
+            _starts(places, length, cut, -spare, F.lit(-1)),
+            _starts(places, length, cut, F.greatest(shingles - length + 1, F.lit(0)), shingles - 1),
+        )
+    )
+
+
 def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``item``, word count, shingle width, shingles and fingerprint of every item that has a word."""
     hashed = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(text)).alias("words"))
     shingled = hashed.where(F.size("words") > 0).select(
         "item", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(shingle)).alias("width"), "words"
     )
-    return shingled.select("item", "n_words", "width", grams(F.col("words"), F.col("width")).alias("shingles")).withColumn(
-        "other", simhash(F.col("shingles"))
+    return shingled.select("item", "n_words", "width", grams(F.col("words"), F.col("width")).alias("shingles")).withColumns(
+        {"other": simhash(F.col("shingles")), "number": F.monotonically_increasing_id()}
     )
 
 
@@ -140,11 +175,11 @@ def contaminated_windows(
     Words are split at ASCII white space and compared in lower case.  An item of fewer than ``shingle`` words is
     one shingle.  Windows end with the document.  NULL and empty texts or items match nothing; equal rows give one result; documents with the same id
     and different texts are told apart by a hash; a NULL id is an id; other columns are not looked at.
-    The items are sent to every task while they are few (``BROADCAST_ROWS``), else everything is shuffled.
+    The items are sent to every task while they have few shingles (``BROADCAST_ROWS``), else everything is shuffled.
     """
     items = saved(benchmark_items(benchmark, item, item_text, shingle))
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    gate = items.select("n_words", "width", F.posexplode("shingles").alias("offset", "gram")).distinct()
+    gate = items.select("n_words", "width", F.explode("shingles").alias("gram")).distinct()
     few = gate.count() <= BROADCAST_ROWS
     docs = frame.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
 
@@ -157,10 +192,14 @@ def contaminated_windows(
     listed = F.concat(*[listing(width) for width in widths or [shingle]])
     hits = (
         docs.select("id", "body", word_hashes(F.col("text")).alias("words"))
-        .select("id", "body", F.inline(listed))
+        .select("id", "body", F.size("words").alias("size"), F.inline(listed))
         .join(F.broadcast(gate) if few else gate, ["width", "gram"])
-        .select("id", "body", "n_words", "width", (F.col("at") - F.col("offset")).alias("start"))
+        .groupBy("id", "body", "n_words", "width", "size")
+        .agg(F.sort_array(F.collect_set("at")).alias("places"))  # no more than the text has words
     )
+    length, within = F.col("n_words") - F.col("width") + 1, F.col("size") - F.col("width") + 1
+    starts = window_starts(F.col("places"), length, within, similarity)
+    hits = hits.select("id", "body", "n_words", "width", F.explode(starts).alias("start"))
     windows = saved(hits.distinct())
     slim = windows.count() <= BROADCAST_ROWS
     laid = windows.withColumnsRenamed({"id": "of", "body": "of_body"})
@@ -177,11 +216,16 @@ def contaminated_windows(
         .dropDuplicates(["id", "body", "start", "n_words", "shingles"])
         .withColumn("fingerprint", simhash(F.col("shingles")))
     )
-    others = items.select("item", F.col("n_words").alias("item_words"), F.col("width").alias("item_width"), F.col("shingles").alias("item_shingles"), "other")
-    pairs = within_radius(shingled, others, radius, blocks, few).where(
+    others = items.select("number", F.col("n_words").alias("item_words"), F.col("width").alias("item_width"), "other")
+    copies = sum((64 * (k + 1) // blocks - 64 * k // blocks) ** (radius // blocks) + 1 for k in range(blocks))
+    pairs = within_radius(shingled, others, radius, blocks, items.count() * copies <= BROADCAST_ROWS).where(
         (F.col("n_words") == F.col("item_words")) & (F.col("width") == F.col("item_width"))
     )
-    scored = pairs.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
+    # The shingles of the items are joined to the pairs left, not sent along with every block value.
+    full = items.select("number", "item", F.col("shingles").alias("item_shingles"))
+    scored = pairs.join(F.broadcast(full) if few else full, "number").withColumn(
+        "similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))
+    )
     best = F.min_by(F.struct("start", F.col("item_words").alias("n_words"), "similarity"), F.struct(-F.col("similarity"), F.col("start")))
     return (
         scored.where(F.col("similarity") >= similarity)

@@ -57,6 +57,44 @@ def test_edited_passages(spark):
     assert len(got) > 20 and got == brute(docs, items)
 
 
+def test_moved_blocks_and_repeats(spark):
+    """Halves in the other order, moved sentences, items that repeat themselves, and passages that the text's ends cut."""
+    rng = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, rng.choices(vocabulary, k=rng.choice([12, 30, 60, 90]))) for k in range(10)]
+    items += [(20, ["a", "b", "c"] * 15), (21, (rng.choices(vocabulary, k=12) * 4)[:45])]
+    docs = []
+    for d in range(90):
+        passage = list(rng.choice(items)[1])
+        kind = d % 6
+        if kind == 0:
+            half = rng.randrange(1, len(passage))
+            passage = passage[half:] + passage[:half]
+        elif kind == 1:
+            a, b = sorted(rng.sample(range(len(passage) + 1), 2))
+            cut = passage[a:b]
+            del passage[a:b]
+            at = rng.randrange(len(passage) + 1)
+            passage[at:at] = cut
+        elif kind == 2:
+            passage = passage + passage[: rng.randrange(len(passage))]
+        elif kind == 3:
+            passage = passage[len(passage) // rng.choice([5, 8, 12]) :]
+        elif kind == 4:
+            passage = passage[: -max(1, len(passage) // rng.choice([5, 8, 12]))]
+        else:
+            at = rng.randrange(len(passage))
+            passage[at:at] = rng.choices(vocabulary, k=rng.choice([1, 3]))
+        front, back = (rng.choices(vocabulary, k=rng.choice([0, 0, 1, 25])) for _ in range(2))
+        docs.append((d, " ".join(front + passage + back)))
+    texts = [(k, " ".join(words_)) for k, words_ in items]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(texts, "item_id long, text string")
+    rows = contaminated_windows(frame, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == brute(docs, texts)
+    assert sum(r.doc_id % 6 < 2 for r in rows) > 10
+
+
 def test_awkward_rows(spark):
     frame = awkward(spark)
     benchmark = spark.createDataFrame(
