@@ -35,8 +35,8 @@ MERGE = 32
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 _WIDTHS = (np.uint8, np.uint16, np.uint32)
 INDEX = (
-    "doc_ids array<long>, lengths binary, terms binary, sizes binary, first_block binary, last_doc binary, "
-    "n_docs binary, most binary, shortest binary, doc_width binary, count_width binary, place binary, postings binary"
+    "doc_ids array<long>, lengths binary, terms binary, sizes binary, last_doc binary, most binary, shortest binary, "
+    "doc_width binary, count_width binary, postings binary"
 )
 
 
@@ -44,6 +44,25 @@ def terms_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if isinstance(text, str) else []
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 at the least width that holds them all, which is the first byte."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
+
+
+def _blocks(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First block of each list (and the end of the last), its postings per block, and where each block's begin."""
+    counts = -(-sizes // block)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    inside = np.arange(first[-1]) - np.repeat(first[:-1], counts)
+    in_block = np.minimum(np.repeat(sizes, counts) - inside * block, block)
+    return first, in_block, np.concatenate([[0], np.cumsum(in_block)])[:-1]
+
+
 def _width(largest: np.ndarray) -> np.ndarray:
     return (largest > 0xFF).astype(np.uint8) + (largest > 0xFFFF)
 
@@ -56,33 +75,28 @@ def make_shard(doc_ids: list, codes: list[np.ndarray], vocabulary: list[bytes],
     pairs, counts = np.unique(flat * max(len(codes), 1) + owner, return_counts=True)
     term, doc = np.divmod(pairs, max(len(codes), 1))
     sizes = np.bincount(term, minlength=len(vocabulary))
-    blocks = -(-sizes // block)
-    first_block = np.concatenate([[0], np.cumsum(blocks)])
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    inside = np.arange(first_block[-1]) - np.repeat(first_block[:-1], blocks)
-    low = np.repeat(starts, blocks) + inside * block
-    high = np.append(low[1:], len(pairs))
+    _, in_block, low = _blocks(sizes, block)
     gaps = np.diff(doc, prepend=0)
     gaps[low] = doc[low]  # the first document of a block is written whole
-    most = np.maximum.reduceat(counts, low) if len(low) else low
-    doc_width, count_width = _width(np.maximum.reduceat(gaps, low) if len(low) else low), _width(most)
-    packed, place = [], [0]
-    for a, b, dw, cw in zip(low.tolist(), high.tolist(), doc_width.tolist(), count_width.tolist(), strict=True):
+
+    def over_blocks(fold: np.ufunc, values: np.ndarray) -> np.ndarray:
+        return fold.reduceat(values, low) if len(low) else low
+
+    most = over_blocks(np.maximum, counts)
+    doc_width, count_width = _width(over_blocks(np.maximum, gaps)), _width(most)
+    packed = []
+    for a, b, dw, cw in zip(low.tolist(), (low + in_block).tolist(), doc_width.tolist(), count_width.tolist(), strict=True):
         packed.append(gaps[a:b].astype(_WIDTHS[dw]).tobytes() + counts[a:b].astype(_WIDTHS[cw]).tobytes())
-        place.append(place[-1] + len(packed[-1]))
     return {
         "doc_ids": doc_ids,
-        "lengths": lengths.tobytes(),
+        "lengths": _pack(lengths),
         "terms": b" ".join(vocabulary),
-        "sizes": sizes.astype(np.int64).tobytes(),
-        "first_block": first_block.astype(np.int64).tobytes(),
-        "last_doc": doc[high - 1].astype(np.int64).tobytes() if len(low) else b"",
-        "n_docs": (high - low).astype(np.int64).tobytes(),
-        "most": most.astype(np.int64).tobytes(),
-        "shortest": np.minimum.reduceat(lengths[doc], low).astype(np.int64).tobytes() if len(low) else b"",
+        "sizes": _pack(sizes),
+        "last_doc": _pack(over_blocks(np.maximum, doc)),
+        "most": _pack(most),
+        "shortest": _pack(over_blocks(np.minimum, lengths[doc])),
         "doc_width": doc_width.tobytes(),
         "count_width": count_width.tobytes(),
-        "place": np.array(place, np.int64).tobytes(),
         "postings": b"".join(packed),
     }
 
@@ -125,19 +139,19 @@ def _impact(counts: np.ndarray, measure: np.ndarray) -> np.ndarray:
 class Shard:
     """A shard as a search reads it: block bounds for all lists, postings unpacked one block at a time."""
 
-    def __init__(self, row: dict, documents: int, tokens: int):
-        def whole(name: str) -> np.ndarray:
-            return np.frombuffer(row[name], np.int64)
-
-        self.lengths = whole("lengths")
+    def __init__(self, row: dict, documents: int, tokens: int, block: int = BLOCK):
+        self.lengths = _unpack(row["lengths"])
         self.measure = 50 + (50 * self.lengths * documents) // tokens
         self.ids = pd.array(row["doc_ids"], dtype="Int64")
         self.number = {t: k for k, t in enumerate(row["terms"].split(b" "))}
-        self.first_block, self.last_doc, self.n_docs = whole("first_block"), whole("last_doc"), whole("n_docs")
-        self.place, self.postings = whole("place"), row["postings"]
-        self.widths = np.frombuffer(row["doc_width"], np.uint8), np.frombuffer(row["count_width"], np.uint8)
-        shortest = 50 + (50 * whole("shortest") * documents) // tokens
-        self.bound = _impact(whole("most"), shortest)
+        self.first_block, self.n_docs, _ = _blocks(_unpack(row["sizes"]), block)
+        self.last_doc = _unpack(row["last_doc"])
+        widths = [np.frombuffer(row[c], np.uint8) for c in ("doc_width", "count_width")]
+        taken = self.n_docs * sum(np.array([np.dtype(t).itemsize for t in _WIDTHS])[w] for w in widths)
+        self.place = np.concatenate([[0], np.cumsum(taken)])
+        self.widths, self.postings = widths, row["postings"]
+        shortest = 50 + (50 * _unpack(row["shortest"]) * documents) // tokens
+        self.bound = _impact(_unpack(row["most"]), shortest)
         self.unpacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +247,7 @@ def document_frequencies(index: DataFrame, terms: Broadcast) -> dict[bytes, int]
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = terms.value
         for row in _rows(batches):
-            sizes = np.frombuffer(row["sizes"], np.int64)
+            sizes = _unpack(row["sizes"])
             found = [(wanted[t], sizes[k]) for k, t in enumerate(row["terms"].split(b" ")) if t in wanted]
             yield pd.DataFrame(found, columns=["term", "n"])
 
@@ -255,9 +269,11 @@ def item_blocks(items: DataFrame, item_bytes: int) -> Iterator[list[tuple[int, s
         yield block
 
 
-def _search_block(index: DataFrame, block: list[tuple[int, str]], documents: int, tokens: int, most: int, stride: int) -> DataFrame:
+def _search_items(
+    index: DataFrame, part: list[tuple[int, str]], documents: int, tokens: int, most: int, block: int, stride: int
+) -> DataFrame:
     context = index.sparkSession.sparkContext
-    queries = [(row, list(dict.fromkeys(terms_of(text)))) for row, text in block]
+    queries = [(row, list(dict.fromkeys(terms_of(text)))) for row, text in part]
     terms = {t: k for k, t in enumerate(dict.fromkeys(t for _, ts in queries for t in ts))}
     frequencies = document_frequencies(index, context.broadcast(terms))
     weight = {t: int(np.floor(1000 * np.log((2 * documents + 2) / (2 * n + 1)))) for t, n in frequencies.items()}
@@ -266,7 +282,7 @@ def _search_block(index: DataFrame, block: list[tuple[int, str]], documents: int
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heaps = [Heap(most) for _ in shared.value]
         for row in _rows(batches):
-            shard = Shard(row, documents, tokens)
+            shard = Shard(row, documents, tokens, block)
             for (_, ts, weights), heap in zip(shared.value, heaps, strict=True):
                 search_shard(shard, ts, weights, heap, stride)
         for (item, _, _), heap in zip(shared.value, heaps, strict=True):
@@ -307,7 +323,7 @@ def search(
     found = items.sparkSession.createDataFrame([], "row long, doc_id long, score long")
     if number:
         for part in item_blocks(numbered, item_bytes):
-            found = found.unionAll(saved_in_loop(_search_block(index, part, number, tokens, most, stride)))
+            found = found.unionAll(saved_in_loop(_search_items(index, part, number, tokens, most, block, stride)))
     best = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     first = Window.partitionBy("row", "group").orderBy(*best)
     last = Window.partitionBy("row").orderBy(*best)
@@ -323,4 +339,4 @@ def search(
 
 def _shard_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row in _rows(batches):
-        yield pd.DataFrame({"n": [row["n"]], "tokens": [int(np.frombuffer(row["lengths"], np.int64).sum())]})
+        yield pd.DataFrame({"n": [row["n"]], "tokens": [int(_unpack(row["lengths"]).sum())]})

@@ -66,7 +66,7 @@ def test_blocks_are_skipped():
     texts = [("common " * (1 + k % 5)) + ("rare rare" if k % 400 == 7 else "filler") for k in range(4_000)]
     vocabulary = {b"common": 0, b"rare": 1, b"filler": 2}
     codes = [np.array([vocabulary[t] for t in terms_of(t)], np.int64) for t in texts]
-    shard = Shard(make_shard(list(range(4_000)), codes, list(vocabulary), 16), 4_000, sum(map(len, codes)))
+    shard = Shard(make_shard(list(range(4_000)), codes, list(vocabulary), 16), 4_000, sum(map(len, codes)), 16)
     heap = Heap(5)
     search_shard(shard, [b"common", b"rare"], np.array([5, 5_000]), heap, 256)
     assert len(heap.scores) == 5 and all(i % 400 == 7 for i in heap.ids)
