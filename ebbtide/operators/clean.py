@@ -116,6 +116,7 @@ def column_profile(frame: DataFrame, columns: Sequence[str], bins: int = 10) ->
         [F.col("_value")],
         {"_upto": F.when(present, F.col("_n")).otherwise(0)},
         ["COLUMN"],
+        {"_size": "_upto"},
     )
     weighted = F.when(present, F.col("_n"))
     basics = counts.groupBy("COLUMN").agg(

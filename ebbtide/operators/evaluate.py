@@ -22,7 +22,8 @@ def score_counts(scored: DataFrame, score: str, label: str, by: Sequence[str] =
         F.count_if(F.col(label)).alias("_pos"), F.count_if(~F.col(label)).alias("_neg")
     )
     measures = {"TP": F.col("_pos"), "FP": F.col("_neg"), "_nth": F.lit(1)}
-    return running_totals(counts, [F.col("THRESHOLD").desc()], measures, by)
+    totals = {"_all_pos": "TP", "_all_neg": "FP", "_last": "_nth"}
+    return running_totals(counts, [F.col("THRESHOLD").desc()], measures, by, totals)
 
 
 def roc_curve(scored: DataFrame, score: str = "PROBA", label: str = "TARGET", thin: bool = True) -> DataFrame:
@@ -31,19 +32,17 @@ def roc_curve(scored: DataFrame, score: str = "PROBA", label: str = "TARGET", th
     ``thin`` leaves out points that continue the line through their neighbours.
     """
     counts = score_counts(scored, score, label)
-    totals = counts.agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"), F.max("_nth").alias("last"))
-    positives, negatives, last = (totals.select(c).scalar() for c in ("p", "n", "last"))
     points = counts
     if thin:
         following = counts.select(
             (F.col("_nth") - 1).alias("_nth"), F.col("_pos").alias("_pos2"), F.col("_neg").alias("_neg2")
         )
         bends = (F.col("_pos") != F.col("_pos2")) | (F.col("_neg") != F.col("_neg2"))
-        points = counts.join(following, "_nth", "left").where((F.col("_nth") == last) | bends)
+        points = counts.join(following, "_nth", "left").where((F.col("_nth") == F.col("_last")) | bends)
     curve = points.select(
         "THRESHOLD",
-        (F.col("FP") / F.nullif(negatives, F.lit(0))).alias("FPR"),
-        (F.col("TP") / F.nullif(positives, F.lit(0))).alias("TPR"),
+        (F.col("FP") / F.nullif("_all_neg", F.lit(0))).alias("FPR"),
+        (F.col("TP") / F.nullif("_all_pos", F.lit(0))).alias("TPR"),
     )
     origin = scored.sparkSession.sql("SELECT CAST(NULL AS DOUBLE) THRESHOLD, 0.0D FPR, 0.0D TPR")
     return curve.unionByName(origin)

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DecimalType, FractionalType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 BUCKET = "_bucket"
@@ -21,8 +21,9 @@ BUCKET = "_bucket"
 MOST_BUCKETS, INNER_BUCKETS = 1024, 64
 
 
-def _sorted_value(frame: DataFrame, order: Column) -> tuple[Column, bool, bool]:
-    """What a column of an order sorts by, as a number that ascends with it; whether it descends; whether NULLs are first."""
+def _sorted_value(frame: DataFrame, order: Column) -> tuple[Column, Column, bool, bool]:
+    """What a column of an order sorts by, as a number that never falls as it ascends; whether equal numbers mean equal
+    values; whether it descends; whether NULLs are first."""
     text = re.fullmatch(r"Column<'(.*) (ASC|DESC) NULLS (FIRST|LAST)'>", str(order), re.DOTALL)
     value = order if text is None else F.col(text[1]) if text[1] in frame.columns else F.expr(text[1])
     kind = frame.select(value).schema[0].dataType
@@ -32,7 +33,9 @@ def _sorted_value(frame: DataFrame, order: Column) -> tuple[Column, bool, bool]:
         value = F.unix_date(value)
     elif isinstance(kind, TimestampType | TimestampNTZType):
         value = F.unix_micros(value.cast("timestamp"))
-    return value.cast("double"), text is not None and text[2] == "DESC", text is None or text[3] == "FIRST"
+    number = value.cast("double")
+    exact = F.lit(not isinstance(kind, StringType | DecimalType)) & ((F.abs(number) < 2.0**53) | F.lit(isinstance(kind, FractionalType)))
+    return number, exact, text is not None and text[2] == "DESC", text is None or text[3] == "FIRST"
 
 
 def _place(value: Column, bounds: Sequence[float], descending: bool, nulls_first: bool) -> Column:
@@ -50,38 +53,49 @@ def bucket_of(frame: DataFrame, order: Sequence[Column]) -> Column:
     def quantiles(value: Column, n: int) -> Column:
         return F.percentile_approx(value, [k / n for k in range(1, n)], 50 * n)
 
-    value, *way = _sorted_value(frame, order[0])
+    value, exact, *way = _sorted_value(frame, order[0])
     found = frame.agg(quantiles(value, buckets)).first()[0] or []
     outer = _place(value, sorted(set(found)), *way)
     frequent = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
     if not frequent or len(order) < 2:
         return outer.cast("long")
-    second, *inner_way = _sorted_value(frame, order[1])
-    cuts = frame.where(value.isin(frequent)).groupBy(value.alias("v")).agg(quantiles(second, INNER_BUCKETS).alias("cuts")).collect()
+    second, _, *inner_way = _sorted_value(frame, order[1])
+    cuts = frame.where(exact & value.isin(frequent)).groupBy(value.alias("v")).agg(quantiles(second, INNER_BUCKETS).alias("cuts")).collect()
     inner = F.lit(0)
     for r in cuts:
-        inner = F.when(value == r["v"], _place(second, sorted(set(r["cuts"] or [])), *inner_way)).otherwise(inner)
+        inner = F.when(exact & (value == r["v"]), _place(second, sorted(set(r["cuts"] or [])), *inner_way)).otherwise(inner)
     return outer.cast("long") * (4 * INNER_BUCKETS) + inner
 
 
 def running_totals(
-    frame: DataFrame, order: Sequence[Column], measures: Mapping[str, Column], by: Sequence[str] = ()
+    frame: DataFrame, order: Sequence[Column], measures: Mapping[str, Column], by: Sequence[str] = (),
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add one inclusive running sum per measure, in ``order``, restarting for each ``by`` group.
 
     ``order`` must tell rows apart within a group, or ties get an arbitrary order.  A group of any size is spread
-    over the buckets that its rows fill.
+    over the buckets that its rows fill.  ``totals`` names further columns: the sum of a measure over the group.
     """
+    totals = totals or {}
     inputs = {name: f"_in_{name}" for name in measures}
     dealt = frame.withColumns(
         {BUCKET: bucket_of(frame, order)} | {inputs[name]: expr for name, expr in measures.items()}
     ).repartition(*by, BUCKET)
     inside = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         dealt.groupBy(*by, BUCKET)
-        .agg(*[F.sum(col).alias(col) for col in inputs.values()])
-        .select(*by, BUCKET, *[F.sum(col).over(before).alias(f"_before{col}") for col in inputs.values()])
+        # The digest needs every column, so that this branch reads the very exchange of the rows instead of one of
+        # its own with fewer columns, for which the input would be computed again.
+        .agg(*[F.sum(col).alias(col) for col in inputs.values()], F.max(F.hash(*dealt.columns)).alias("_digest"))
+        .where(F.col("_digest").isNotNull())
+        .select(
+            *by,
+            BUCKET,
+            *[F.sum(col).over(before).alias(f"_before{col}") for col in inputs.values()],
+            *[F.sum(inputs[measure]).over(whole).alias(name) for name, measure in totals.items()],
+        )
     ).alias("c")
     joined = dealt.withColumns({col: F.sum(col).over(inside) for col in inputs.values()}).alias("r").join(
         carried,
@@ -93,6 +107,7 @@ def running_totals(
             (F.col(col) + F.coalesce(F.col(f"_before{col}"), F.lit(0))).alias(name)
             for name, col in inputs.items()
         ],
+        *totals,
     )
 
 
@@ -109,27 +124,20 @@ def exact_quantiles(
     Works on value counts, so a value that fills most of a group costs one row.
     """
     counts = value_counts(frame, value, by)
-    return ranked_quantiles(running_totals(counts, [F.col(value)], {"_upto": F.col("_n")}, by), value, quantiles, by)
+    ranked = running_totals(counts, [F.col(value)], {"_upto": F.col("_n")}, by, {"_size": "_upto"})
+    return ranked_quantiles(ranked, value, quantiles, by)
 
 
 def ranked_quantiles(
     ranked: DataFrame, value: str, quantiles: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Quantiles from value counts ``_n`` with running counts ``_upto``."""
-    sizes = ranked.groupBy(*by).agg(F.max("_upto").alias("_size"))
-    if by:
-        on = [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-        sized = ranked.alias("v").join(sizes.alias("s"), on).select(
-            *[F.col(f"v.{c}") for c in by], value, "_upto", "_size"
-        )
-    else:
-        sized = ranked.withColumn("_size", sizes.scalar())
+    """Quantiles from running counts ``_upto`` of the values and the count ``_size`` of their group."""
     picks = []
     for name, q in quantiles.items():
         position = (F.col("_size") - 1) * F.lit(float(q))
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             picks.append(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(f"_{name}_{side}"))
-    found = sized.groupBy(*by).agg(F.max("_size").alias("_size"), *picks)
+    found = ranked.groupBy(*by).agg(F.max("_size").alias("_size"), *picks)
 
     def between(name: str, q: float) -> Column:
         position = (F.col("_size") - 1) * F.lit(float(q))
@@ -150,8 +158,6 @@ def rank_by(frame: DataFrame, value: str, name: str, method: str = "max") -> Dat
 def top_share(frame: DataFrame, value: str, key: str, floor: float = 0.005) -> DataFrame:
     """Cumulative amount and share of the total, largest first (ties by key): the contribution curve."""
     kept = frame.where(F.col(value) > floor).select(key, value)
-    ranked = running_totals(
-        kept, [F.col(value).desc(), F.col(key)], {"POSITION": F.lit(1), "CUMULATIVE": F.col(value)}
-    )
-    total = ranked.agg(F.sum(value)).scalar()
-    return ranked.select(key, value, "POSITION", "CUMULATIVE", (F.col("CUMULATIVE") / total).alias("SHARE"))
+    measures = {"POSITION": F.lit(1), "CUMULATIVE": F.col(value)}
+    ranked = running_totals(kept, [F.col(value).desc(), F.col(key)], measures, totals={"_total": "CUMULATIVE"})
+    return ranked.select(key, value, "POSITION", "CUMULATIVE", (F.col("CUMULATIVE") / F.col("_total")).alias("SHARE"))

@@ -2,10 +2,10 @@
 
 A scenario that pretends "today" is slot ``m`` sees the same facts with every slot number moved by a
 constant, so the window of length ``n`` for that scenario is the range ``m .. m+n-1`` of the unshifted
-slots, and the label window of a horizon is the range ``m-ph .. m-ph+cp-1``.  Sliding range frames over
-one ``(key, slot)`` ordering therefore give every scenario at once: the row at slot ``m`` carries the
-complete training row of scenario ``m``.  The facts are shuffled once on the key and never replicated
-per scenario, window or label, and the cost does not grow with the number of scenarios.
+slots, and the label window of a horizon is the range ``m-ph .. m-ph+cp-1``.  Facts are shuffled once on
+the key and packed into one row per key: an array per metric, indexed by slot.  A scenario's windows are
+slices of those arrays, so only the scenario slots are ever expanded to rows, and no fact is copied per
+scenario, window or label on its way to the key.
 
 The windows overlap, so the slot axis is cut at every window edge into disjoint bands; each band is
 aggregated once and a window is put together from its bands.
@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType, NumericType
 
 from ebbtide.plans.catalog import INACTIVE_BELOW, TARGET_METRIC
 from ebbtide.plans.spec import DATE_DIFFS, Fn, Horizon, Line, column_name, expand
 
 KEY, SLOT, SLOT_DATE, SCENARIO = "PK", "TIME_SLOT", "DATE_TIME_SLOT", "SCENARIO_DATE"
-REAL = "_real"
+ARRAYS, PLACE = "_arrays", "_place"
 TODAY = 4  # slot that plays "today": slots 0..3 are only known to the labels
 
 
@@ -90,15 +91,14 @@ def cut_bands(windows: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class _Bands:
-    """Hands out one named window column per (aggregate, band) and combines them into windows.
+    """Hands out one named column per (aggregate, band) and combines them into windows.
 
     Columns are SQL text: a wide spec has thousands of them, and text costs one call each to build.
     """
 
-    def __init__(self, windows: Iterable[tuple[int, int]], merged: bool, real: str = ""):
+    def __init__(self, windows: Iterable[tuple[int, int]], packed: dict[str, str]):
         self.bands = cut_bands(windows)
-        self.merged = merged
-        self.real = real  # column that is NULL on rows that were only added
+        self.packed = packed  # arrays by slot and the type their sums have
         self.columns: dict[str, str] = {}
 
     def _cells(self, kind: str, metric: str, low: int, high: int) -> list[str]:
@@ -112,19 +112,19 @@ class _Bands:
         return cells
 
     def _aggregate(self, kind: str, metric: str, band: tuple[int, int]) -> str:
-        here = band == (0, 0)  # the current row alone: no window needed
-        over = f"OVER (PARTITION BY {KEY} ORDER BY {SLOT} RANGE BETWEEN {_bound(band[0])} AND {_bound(band[1])})"
-        if kind == "rows":
-            if self.real:
-                return f"int({self.real} IS NOT NULL)" if here else f"count({self.real}) {over}"
-            return "1" if here else f"count(1) {over}"
-        source = f"`{metric}__{kind}`" if self.merged else f"`{metric}`"
-        if kind == "cnt" and not self.merged:
-            return f"int({source} IS NOT NULL)" if here else f"count({source}) {over}"
-        if here:
-            return source
-        fold = "sum" if kind == "cnt" else kind
-        return f"{fold}({source}) {over}"
+        merged = f"{metric}__{kind}" in self.packed
+        name = SLOT if kind == "rows" else f"{metric}__{kind}" if merged else metric
+        source, first, length = f"{ARRAYS}.`{name}`", f"{PLACE} + {band[0]}", band[1] - band[0] + 1
+        counted = kind == "rows" or (kind == "cnt" and not merged)
+        if length == 1:
+            value = f"get({source}, {first})"
+            return f"int({value} IS NOT NULL)" if counted else value
+        part = f"slice({source}, {first} + 1, {length})"
+        if counted:
+            return f"size(filter({part}, x -> x IS NOT NULL))"
+        if kind in ("min", "max"):
+            return f"array_{kind}({part})"
+        return f"aggregate({part}, CAST(NULL AS {self.packed[name]}), (a, x) -> coalesce(a + x, a, x))"
 
     def rows(self, low: int, high: int) -> str:
         return _added(self._cells("rows", "", low, high))
@@ -202,22 +202,21 @@ def sliding_rows(
     oldest = max([length - 1 for length, _ in windows] + [label.high for label in labels] + [0])
     newest = min([label.low for label in labels] + [0])
 
-    rows = facts.where(
-        F.col(KEY).isNotNull() & F.col(SLOT).between(min(scenarios) + newest, max(scenarios) + oldest)
-    ).select(KEY, SLOT, SLOT_DATE, *sorted(names))
-    merged = not one_row_per_slot
-    if merged:
+    first_slot, last_slot = min(scenarios) + newest, max(scenarios) + oldest
+    rows = facts.where(F.col(KEY).isNotNull() & F.col(SLOT).between(first_slot, last_slot)).select(
+        KEY, SLOT, SLOT_DATE, *sorted(names)
+    )
+    if not one_row_per_slot:
         rows = merge_slot_rows(rows, lines, metric if labels else None)
 
     spans = {key: (0 if key[1] == "agg" else key[0] - 1, key[0] - 1) for key in windows}
     label_spans = [(label.low, label.high) for label in labels]
     asked = [*spans.values(), *label_spans]
-    # Windows are evaluated on the row at the scenario's own slot.  If no window asks for that row, a key may
-    # lack it and still be present in all windows.
+    # Windows are read at the scenario's own slot.  If no window asks for a row there, a key may lack it and
+    # still be present in all windows.
     filled = presence and (0, 0) not in asked
-    if filled:
-        rows = _with_own_slots(rows, scenarios)
-    bands = _Bands([*asked, (0, 0)], merged, REAL if filled else "")
+    packed = {c: _sum_type(rows.schema[c].dataType) for c in rows.columns if c != KEY}
+    bands = _Bands([*asked, (0, 0)], packed)
 
     columns: list[str] = []
     for key, items in windows.items():
@@ -229,21 +228,54 @@ def sliding_rows(
     for label in labels:
         amount = bands.total(metric, label.low, label.high)
         columns += [f"{amount} AS `{label.amount}`", f"{amount} < {INACTIVE_BELOW} AS `{label.flag}`"]
-    keep = [f"{SLOT} IN ({', '.join(map(str, scenarios))})"]
     # with a row at the scenario's own slot, a cumulative window is never empty
-    tested = asked if filled else [spans[key] for key in windows if key[1] == "only"] + label_spans
-    keep += [f"{bands.rows(*span)} > 0" for span in dict.fromkeys(tested) if presence]
-    banded = rows.selectExpr(KEY, SLOT, SLOT_DATE, *bands.columns.values())
-    return banded.where(" AND ".join(keep)).selectExpr(KEY, f"{SLOT} AS {SCENARIO}", *columns)
-
-
-def _with_own_slots(rows: DataFrame, scenarios: Sequence[int]) -> DataFrame:
-    """``rows`` and, for keys that lack one, a row at each scenario's slot; ``REAL`` tells them apart."""
-    dates = rows.groupBy(SLOT).agg(F.min(SLOT_DATE).alias(SLOT_DATE))  # one row per slot
-    wanted = rows.select(KEY).distinct().select(KEY, F.explode(F.array(*[F.lit(s) for s in scenarios])).alias(SLOT))
-    missing = wanted.join(rows.select(KEY, SLOT).distinct(), [KEY, SLOT], "left_anti")
-    added = missing.join(F.broadcast(dates), SLOT, "left").select(KEY, F.col(SLOT).cast(rows.schema[SLOT].dataType), SLOT_DATE)
-    return rows.withColumn(REAL, F.lit(1)).unionByName(added, allowMissingColumns=True)
+    tested = asked if filled else [(0, 0), *(spans[key] for key in windows if key[1] == "only"), *label_spans]
+    keep = [f"{bands.rows(*span)} > 0" for span in dict.fromkeys(tested if presence else [(0, 0)])]
+    placed = _by_key(rows, first_slot, last_slot, scenarios)
+    if filled:  # the date of a slot where the key has no row is that of other keys
+        dates = rows.groupBy(F.col(SLOT).alias(SCENARIO)).agg(F.min(SLOT_DATE).alias(SLOT_DATE))  # one row per slot
+        placed = placed.drop(SLOT_DATE).join(F.broadcast(dates), SCENARIO, "left")
+    present = placed.where(" AND ".join(_inlined(bands, c) for c in keep))
+    return present.selectExpr(KEY, SCENARIO, SLOT_DATE, *bands.columns.values()).selectExpr(KEY, SCENARIO, *columns)
+
+
+def _inlined(bands: _Bands, condition: str) -> str:
+    """A condition on band columns as one on the packed arrays, so that rows leave before their bands are computed."""
+    for name, text in bands.columns.items():
+        if name in condition:
+            condition = condition.replace(name, text.removesuffix(f" AS {name}"))
+    return condition
+
+
+def _sum_type(kind: DataType) -> str:
+    if isinstance(kind, DecimalType):
+        return f"decimal(38, {kind.scale})"
+    return "bigint" if isinstance(kind, IntegralType) else "double"
+
+
+def _by_key(rows: DataFrame, first_slot: int, last_slot: int, scenarios: Sequence[int]) -> DataFrame:
+    """One row per key and scenario: ``ARRAYS`` holds an array per column, by slot from ``first_slot``, NULL where the
+    key has no row; ``PLACE`` is the scenario's own slot in it.
+
+    A key has at most one row per slot here, so a packed row is bounded by the slots in reach.
+    """
+    columns = [c for c in rows.columns if c != KEY]
+    by_key = rows.groupBy(KEY).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    at = f"transform(sequence({first_slot}, {last_slot}), s -> get(filter(_rows, r -> r.{SLOT} = s), 0))"
+    aligned = by_key.selectExpr(KEY, f"{at} AS _at")
+    summed = ", ".join(f"'{c}', " + (f"transform(_at.`{c}`, x -> CAST(x AS {_sum_type(rows.schema[c].dataType)}))" if _summed(rows.schema[c].dataType) else f"_at.`{c}`") for c in columns)
+    spread = aligned.selectExpr(KEY, f"named_struct({summed}) AS {ARRAYS}").withColumn(
+        SCENARIO, F.explode(F.array(*[F.lit(s) for s in scenarios]))
+    )
+    return spread.selectExpr(
+        KEY, ARRAYS, f"CAST({SCENARIO} AS {rows.schema[SLOT].dataType.simpleString()}) AS {SCENARIO}",
+        f"{SCENARIO} - {first_slot} AS {PLACE}", f"get({ARRAYS}.{SLOT_DATE}, {SCENARIO} - {first_slot}) AS {SLOT_DATE}",
+    )
+
+
+def _summed(kind: DataType) -> bool:
+    """Numbers narrower than their sums."""
+    return isinstance(kind, NumericType) and _sum_type(kind) != kind.simpleString()
 
 
 def labels_long(labels: DataFrame, horizons: Sequence[Horizon], metric: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators.prefix import exact_quantiles, rank_by, running_totals, top_share
+from ebbtide.operators.prefix import bucket_of, exact_quantiles, rank_by, running_totals, top_share
 
 
 def rows_with_hot_value(n=3000, seed=1):
@@ -66,3 +66,43 @@ def test_contribution_curve_ends_at_one(spark):
     assert [r.PK for r in out] == ["a", "b", "e", "d"]
     assert [r.CUMULATIVE for r in out] == [5.0, 8.0, 11.0, 13.0]
     assert out[-1].SHARE == pytest.approx(1.0)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_shuffled_once(spark, tmp_path):
+    written = spark.createDataFrame(rows_with_hot_value(), "id long, v double, g string")
+    written.write.parquet(f"{tmp_path}/rows")
+    frame = spark.read.parquet(f"{tmp_path}/rows")
+    out = running_totals(frame, [F.col("v").desc(), F.col("id")], {"n": F.lit(1)}, ["g"], {"all": "n"})
+    out.collect()
+    plan = plan_of(out).split("Initial Plan")[0]
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "REPARTITION" in line and "Reused" not in line]
+    assert len(moved) == 1 and "ReusedExchange" in plan
+    sizes = {g: sum(r[2] == g for r in rows_with_hot_value()) for g in "xyz"}
+    assert {(r.g, r.all) for r in out.collect()} == set(sizes.items())
+
+
+def test_a_frequent_value_fills_many_buckets(spark):
+    """Nine rows in ten share one value: they are dealt by the next column, and no bucket holds a tenth of the rows."""
+    frame = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.rand(3)).otherwise(0.5).alias("v"), F.lit("t").alias("s"))
+    for order in ([F.col("v"), F.col("id")], [F.col("v").desc(), F.col("id").desc()]):
+        dealt = frame.withColumn("b", bucket_of(frame, order))
+        assert max(r["count"] for r in dealt.groupBy("b").count().collect()) < 2_000
+        ranked = running_totals(frame, order, {"n": F.lit(1)}).orderBy("n").collect()
+        rows = sorted(frame.collect(), key=lambda r: (r.v, r.id), reverse=order[0] is not None and "DESC" in str(order[0]))
+        assert [r.id for r in ranked] == [r.id for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(9,2)", "long", "timestamp"])
+def test_every_kind_of_order_column(spark, kind):
+    texts = {
+        "string": ["", "a", "ab", "b", "é", "zz", "aaaaaaaab", "aaaaaaaaa"], "date": ["1960-01-01", "2024-02-29", "1970-01-01"],
+        "decimal(9,2)": ["-3.25", "0", "7.10"], "long": [str(2**60), str(2**60 + 1), "-5"], "timestamp": ["1969-12-31 23:00:00", "2024-01-01"],
+    }[kind]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "id long, t string").select("id", F.col("t").cast(kind).alias("v"))
+    for order in (F.col("v"), F.col("v").desc(), F.col("v").asc_nulls_last(), F.col("v").desc_nulls_first()):
+        got = [r.id for r in running_totals(frame, [order, F.col("id")], {"n": F.lit(1)}).orderBy("n").collect()]
+        assert got == [r.id for r in frame.orderBy(order, "id").collect()]
