@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window, WindowSpec
 
 from ebbtide.functions.distributions import nbinom_cdf, nbinom_pmf
@@ -57,20 +58,43 @@ def zero_trading_runs(daily: DataFrame) -> DataFrame:
     ).drop("_day", "_so_far")
 
 
-def rolling_stats(daily: DataFrame, require_history: bool = True) -> DataFrame:
-    """Mean and deviation of the last 84 days and of the last 12 same weekdays, current day excluded."""
-    recent = _days().rowsBetween(-84, -1)
-    weekday = Window.partitionBy(LEVEL, F.dayofweek(DAY)).orderBy(DAY).rowsBetween(-12, -1)
-    rows = daily.select(
-        "*",
-        F.avg("RN").over(recent).alias("AVG_RN_12W"),
-        F.stddev_samp("RN").over(recent).alias("STD_RN_12W"),
-        F.avg("RN").over(weekday).alias("AVG_RN_WEEKDAY12W"),
-        F.stddev_samp("RN").over(weekday).alias("STD_RN_WEEKDAY12W"),
+def moving_stats(rows: DataFrame, value: str, keys: Sequence[str], size: int, mean: str, deviation: str) -> DataFrame:
+    """Mean and sample deviation of the ``size`` rows before each, from running sums of a whole number.
+
+    Count, sum and sum of squares run from the first day of the key; a window is the difference of two of them, so
+    a row costs the same at any window length.  The sums are whole numbers, so nothing is lost in the difference.
+    """
+    days = Window.partitionBy(*keys).orderBy(DAY)
+    before = days.rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col(value).cast("decimal(19,0)")
+    running = {"_n": F.count(value), "_s": F.sum(whole), "_q": F.sum(whole * whole)}
+    kept = rows.columns
+    rows = rows.withColumns({c: F.coalesce(e.over(before).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) for c, e in running.items()})
+    rows = rows.withColumns({c: F.col(c) - F.coalesce(F.lag(c, size).over(days), F.lit(0).cast("decimal(38,0)")) for c in running})
+    n, s, q = (F.col(c).cast("decimal(38,0)") for c in running)
+    spread = (n * q - s * s).cast("double")
+    return rows.select(
+        *kept,
+        F.when(n > 0, s.cast("double") / n.cast("double")).alias(mean),
+        F.when(n > 1, F.sqrt(spread / (n * (n - 1)).cast("double"))).alias(deviation),
     )
-    if not require_history:
-        return rows
-    return rows.na.drop(subset=["AVG_RN_12W", "STD_RN_12W", "AVG_RN_WEEKDAY12W", "STD_RN_WEEKDAY12W"])
+
+
+def rolling_stats(daily: DataFrame, require_history: bool = True) -> DataFrame:
+    """Mean and deviation of the last 84 days and of the last 12 same weekdays, current day excluded.
+
+    ``RN`` must be a whole number, else the frames are summed row by row, as differences would round.
+    """
+    names = ["AVG_RN_12W", "STD_RN_12W", "AVG_RN_WEEKDAY12W", "STD_RN_WEEKDAY12W"]
+    if isinstance(daily.schema["RN"].dataType, IntegralType):
+        rows = moving_stats(daily, "RN", [LEVEL], 84, *names[:2]).withColumn("_weekday", F.dayofweek(DAY))
+        rows = moving_stats(rows, "RN", [LEVEL, "_weekday"], 12, *names[2:]).drop("_weekday")
+    else:
+        recent = _days().rowsBetween(-84, -1)
+        weekday = Window.partitionBy(LEVEL, F.dayofweek(DAY)).orderBy(DAY).rowsBetween(-12, -1)
+        frames = [(f, w) for w in (recent, weekday) for f in (F.avg, F.stddev_samp)]
+        rows = daily.select("*", *[f("RN").over(w).alias(name) for (f, w), name in zip(frames, names, strict=True)])
+    return rows.na.drop(subset=names) if require_history else rows
 
 
 def country_p80(daily: DataFrame, by: Sequence[str] = SEGMENT, approximate: bool = False) -> DataFrame:
@@ -130,13 +154,14 @@ def anomaly_flags(scored: DataFrame) -> DataFrame:
 
 
 def daily_typed(rows: DataFrame) -> DataFrame:
-    """Column types of the exported report."""
+    """Column types of the exported report, sorted by customer and day."""
     types = {LEVEL: "string", "CUSTOMER_RL_NAME": "string", COUNTRY: "string", DAY: "date", "RN": "int"}
     types |= {
         name: "float"
         for name in ("AVG_RN_12W", "STD_RN_12W", "AVG_RN_WEEKDAY12W", "STD_RN_WEEKDAY12W", "P80_RN_COUNTRY")
     }
-    return rows.withColumns({name: F.col(name).cast(t) for name, t in types.items() if name in rows.columns})
+    typed = rows.withColumns({name: F.col(name).cast(t) for name, t in types.items() if name in rows.columns})
+    return typed.orderBy(LEVEL, DAY)
 
 
 def entity_extract(rows: DataFrame, level: str) -> DataFrame:

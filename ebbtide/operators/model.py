@@ -15,7 +15,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -288,10 +288,18 @@ def score_regression(model: PipelineModel, frame: DataFrame, target: str) -> Dat
     )
 
 
+def r_squared(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Coefficient of determination of a scored regression, one row per group; NULL if the label never varies."""
+    known = scored.where(F.col("TARGET").isNotNull() & F.col("PROBA").isNotNull())
+    label = F.col("TARGET").cast("double")
+    return known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("N_ROWS"),
+        (1 - F.sum(F.pow(label - F.col("PROBA"), 2)) / F.nullif(F.var_pop(label) * F.count(F.lit(1)), F.lit(0.0))).alias("R2"),
+    )
+
+
 def r2(scored: DataFrame) -> float:
-    """Coefficient of determination of a scored regression."""
-    numeric = scored.select(F.col("TARGET").cast("double").alias(LABEL), F.col("PROBA").alias("prediction"))
-    return RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(numeric)
+    return r_squared(scored).first()["R2"]
 
 
 def numbered_rows(frame: DataFrame) -> tuple[DataFrame, int]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.operators import anomaly, bi, clean, evaluate, ledger, model, months, panel, prefix, publish, slots
+from ebbtide.operators import anomaly, attribution, bi, clean, evaluate, ledger, model, months, panel, prefix, publish, slots
 from ebbtide.operators.select import correlated_pairs
 from ebbtide.plans import catalog
 from ebbtide.plans.spec import Fn, horizons, line
@@ -131,6 +131,20 @@ def slot_features_agg(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(training(spark, folder, (slots.TODAY,), AGG_LINES, []))
 
 
+@job
+def slot_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Slot facts of a model by its name, as a job that starts from stored facts reads them."""
+    stored = scratch_path(spark, "slots")
+    tables.write_snapshot(facts(spark, folder), f"{stored}/{tables.SLOT_TABLES['CLIENT']}")
+    return tidy(tables.read_slots(spark, "CLIENT", stored))
+
+
+@job
+def slot_minimum(spark: SparkSession, folder: str) -> DataFrame:
+    lines = [line(m, Fn.MIN, catalog.SLOT_LENGTHS) for m in ("MARKUP", "CALLS_AVG_CASE_AGING", "RN")]
+    return tidy(training(spark, folder, (4, *SCENARIOS), lines, []), digits=6)
+
+
 @job
 def slot_features_only(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(training(spark, folder, (slots.TODAY,), ONLY_LINES, []))
@@ -815,6 +829,30 @@ def churn_regression(spark: SparkSession, folder: str) -> DataFrame:
     return model.score_regression(fitted, test, target)
 
 
+@job
+def r_squared(spark: SparkSession, folder: str) -> DataFrame:
+    """Explained share of the label by the stand-in score, per class of sales and in all."""
+    rows = scored(spark, folder).withColumn("LARGE", F.col("FF_GROSS_SALES_SUM_L13S") > 1_000_000)
+    return tidy(model.r_squared(rows, ["LARGE"]), digits=6)
+
+
+@job
+def churn_regression_r2(spark: SparkSession, folder: str) -> DataFrame:
+    """R2 of the boosted regression on the rows it was fitted on and on the newest scenarios."""
+    sides = dict(zip(("dev", "test"), client_split(spark, folder), strict=True))
+    target = "CHURN_PH_1_CP_1S"
+    fitted = model.fit_regression(sides["dev"], target, catalog.CLIENT_MODEL_FEATURES)
+    scores = [model.score_regression(fitted, rows, target).withColumn("SPLIT", F.lit(name)) for name, rows in sides.items()]
+    return model.r_squared(scores[0].unionByName(scores[1]), ["SPLIT"])
+
+
+@job
+def tree_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    dev, test = client_split(spark, folder)
+    fitted = model.fit(dev, "CHURN_PH_1_CP_1S", catalog.CLIENT_MODEL_FEATURES)
+    return attribution.tree_attribution(fitted, test, catalog.CLIENT_MODEL_FEATURES)
+
+
 @job
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     saved = saved_training(spark, folder)

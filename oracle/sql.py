@@ -105,6 +105,9 @@ def feature(metric: str, fn: str, length: int, mode: str = "agg") -> tuple[str,
         return rnd(f"avg({cell})", 9), name
     if fn == "MAX":
         return f"max({cell})", name
+    if fn == "MIN":
+        least = f"min({cell})"
+        return (f"CAST({least} AS BIGINT)" if metric == "RN" else rnd(least, 9 if metric == "MARKUP" else 6)), name
     pick = "min" if fn == "DIFF_DATE_MIN" else "max"
     return f"date_diff('day', {pick}({cell}), max(CASE WHEN TIME_SLOT = m THEN DATE_TIME_SLOT END))", name
 
@@ -591,6 +594,9 @@ def statements() -> dict[str, str]:
         "SEARCHES_TOTAL, VALUATIONS_TOTAL, BOOKINGCANCELLATION, CAST(SEARCHES_FAILED AS BIGINT) AS SEARCHES_FAILED, "
         "REGION, SEGMENTATION, HOTEL_CATEGORY_GROUP, HAS_SOME_GND FROM slots",
     )
+    sql["slot_source"] = sql["churn_slots"]
+    least = features(*[(m, "MIN", LENGTHS, "agg") for m in ("MARKUP", "CALLS_AVG_CASE_AGING", "RN")])
+    sql["slot_minimum"] = with_(SLOTS, scenario_rows(least, ALL_SCENARIOS))
     sql["slot_features_agg"] = with_(SLOTS, scenario_rows(AGG))
     sql["slot_features_only"] = with_(SLOTS, scenario_rows(ONLY))
     sql["slot_recency"] = with_(SLOTS, scenario_rows(RECENCY, ALL_SCENARIOS))
@@ -665,6 +671,12 @@ def statements() -> dict[str, str]:
     sql["roc_auc"] = with_(
         scored_cte() + ROC, f"SELECT {rnd('sum(neg * (tp - pos / 2)) / (max(p) * max(n))', 9)} AS ROC_AUC FROM run"
     )
+    sql["r_squared"] = with_(
+        scored_cte(),
+        "SELECT FF_GROSS_SALES_SUM_L13S > 1000000 AS LARGE, count(*) AS N_ROWS, "
+        f"{rnd('1 - sum(pow(CAST(CAST(TARGET AS INTEGER) AS DOUBLE) - PROBA, 2)) / nullif(var_pop(CAST(TARGET AS INTEGER)) * count(*), 0)', 6)} AS R2 "
+        "FROM scored WHERE TARGET IS NOT NULL GROUP BY ALL",
+    )
     sql["roc_points"] = with_(
         scored_cte() + ROC,
         f"SELECT CAST(REQUESTED AS DOUBLE) AS REQUESTED, {curve} FROM (SELECT *, row_number() OVER (PARTITION BY REQUESTED "

@@ -82,3 +82,20 @@ def test_profile_types_and_extract(spark):
     assert (row.SUM_RN, row.MAX_CONSECUTIVE_ZERO_TRADING_DAYS) == (4, 1) and row.AVG_RN == pytest.approx(4 / 3)
     assert dict(anomaly.daily_typed(frame).dtypes)["RN"] == "int"
     assert anomaly.entity_extract(frame, "b").count() == 3
+
+
+def test_moving_sums_equal_frames_over_many_days(spark):
+    """10,000 days of a key with gaps in the values: the same as frames of 84 rows, summed row by row."""
+    days = spark.range(20_000).select(
+        (F.col("id") % 2).alias(anomaly.LEVEL),
+        F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") / 2).cast("int")).alias("DATE"),
+        F.when(F.col("id") % 37 != 0, (F.rand(2) * 1_000_000).cast("long")).alias("RN"),
+    )
+    days = spark.createDataFrame(days.collect(), days.schema)
+    got = anomaly.rolling_stats(days, require_history=False)
+    plain = anomaly.rolling_stats(days.withColumn("RN", F.col("RN").cast("double")), require_history=False)
+    assert got.columns == plain.columns
+    key = lambda r: (r[anomaly.LEVEL], r.DATE)
+    for a, b in zip(sorted(got.collect(), key=key), sorted(plain.collect(), key=key), strict=True):
+        for c in got.columns[3:]:
+            assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], rel=1e-9))
