@@ -8,12 +8,12 @@ symbols alone, so the costs of all runs are worked out once and summed per text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ from ebbtide.session import ship_package
 #: Symbols told apart: all bytes.
 ALPHABET = 256
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+#: A letter by its Unicode category (number forms and signs such as ² or ½ are none).
+_LETTER = regex.compile(r"\p{L}").search
 
 
 @dataclass(frozen=True)

@@ -60,6 +60,13 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id][0] for r in tested]) > 0.95
 
 
+def test_signs_and_number_forms_are_no_letters(spark):
+    trees = learn_languages(awkward(spark))
+    rows = [(k, t) for k, t in enumerate(["²½Ⅷ ٣ १", "12 3_4", "!?", "ª", "я", "½ b", "中"])]
+    got = {r.doc_id: r.lang_pred for r in predict_languages(spark.createDataFrame(rows, "doc_id long, text string"), trees).collect()}
+    assert [got[k] == "und" for k in range(7)] == [True, True, True, False, False, False, False]
+
+
 def test_awkward_rows(spark):
     frame = awkward(spark)
     trees = learn_languages(frame)
