@@ -199,17 +199,28 @@ def contaminated_windows(
     )
     length, within = F.col("n_words") - F.col("width") + 1, F.col("size") - F.col("width") + 1
     starts = window_starts(F.col("places"), length, within, similarity)
-    hits = hits.select("id", "body", "n_words", "width", F.explode(starts).alias("start"))
-    windows = saved(hits.distinct())
-    slim = windows.count() <= BROADCAST_ROWS
-    laid = windows.withColumnsRenamed({"id": "of", "body": "of_body"})
-    placed = docs.join(
-        F.broadcast(laid) if slim else laid, F.col("id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body"))
-    ).select("id", "body", "n_words", "width", "start", word_hashes(F.col("text")).alias("words"))
-    first, last = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("n_words"), F.size("words"))
-    cut = placed.select(
-        "id", "body", "n_words", "width", first.alias("start"), F.slice("words", first + 1, last - first).alias("words")
+    spots = F.transform(starts, lambda at: F.struct("n_words", "width", at.alias("start")))
+    laid = saved(  # one row per document with all its windows, so that its text is split once
+        hits.select("id", "body", spots.alias("spots"))
+        .where(F.size("spots") > 0)
+        .groupBy(F.col("id").alias("of"), F.col("body").alias("of_body"))
+        .agg(F.flatten(F.collect_set("spots")).alias("spots"))
     )
+    slim = laid.agg(F.sum(F.size("spots"))).first()[0] or 0
+    placed = docs.join(
+        F.broadcast(laid) if slim <= BROADCAST_ROWS else laid,
+        F.col("id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")),
+    ).select("id", "body", "spots", word_hashes(F.col("text")).alias("words"))
+
+    def window(spot: Column) -> Column:
+        first = F.greatest(spot["start"], F.lit(0))
+        last = F.least(spot["start"] + spot["n_words"], F.size("words"))
+        return F.struct(
+            spot["n_words"].alias("n_words"), spot["width"].alias("width"), first.alias("start"),
+            F.slice("words", first + 1, last - first).alias("words"),
+        )
+
+    cut = placed.select("id", "body", F.inline(F.transform("spots", window)))
     shingled = saved(
         cut.select("id", "body", "start", "n_words", "width", grams(F.col("words"), F.col("width")).alias("shingles"))
         .where(F.size("shingles") > 0)
