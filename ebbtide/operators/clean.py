@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType
+from pyspark.sql.window import Window
 
 from ebbtide.functions.scalars import is_true
 from ebbtide.operators.prefix import exact_quantiles, ranked_quantiles, running_totals
@@ -147,6 +149,54 @@ def column_profile(frame: DataFrame, columns: Sequence[str], bins: int = 10) ->
     )
 
 
+def _kind(kind: DataType) -> str:
+    if isinstance(kind, BooleanType):
+        return "boolean"
+    if isinstance(kind, DateType):
+        return "date"
+    return "number" if isinstance(kind, NumericType) else "text"
+
+
+def mixed_profile(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, missing, distinct, extremes and most frequent value of columns of any type, one row per column.
+
+    Texts also have their mean length, booleans the share that is true, dates the longest gap in days between two
+    that follow each other.  Extremes of numbers are left to :func:`column_profile`; ties for the most frequent
+    value go to the first text.  Values are counted first, with partial counts per task, and all statistics are
+    mergeable over those counts; only the distinct days of a date column are ordered, as many as a calendar has.
+    """
+    kinds = {c: _kind(frame.schema[c].dataType) for c in columns}
+    cells = [
+        F.struct(F.lit(c).alias("COLUMN"), F.lit(kinds[c]).alias("KIND"), F.col(c).cast("string").alias("_value")) for c in columns
+    ]
+    counts = frame.select(F.inline(F.array(*cells))).groupBy("COLUMN", "KIND", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    present = F.col("_value").isNotNull()
+    held, ordered = F.when(present, F.col("_n")), F.when(present & (F.col("KIND") != "number"), F.col("_value"))
+
+    def only(kind: str, value: Column) -> Column:
+        return F.when(F.first("KIND") == kind, value)
+
+    basics = counts.groupBy("COLUMN").agg(
+        F.first("KIND").alias("KIND"),
+        F.coalesce(F.sum(held), F.lit(0)).alias("N"),
+        F.coalesce(F.sum(F.when(~present, F.col("_n"))), F.lit(0)).alias("N_MISSING"),
+        F.count("_value").alias("N_DISTINCT"),
+        F.min(ordered).alias("LEAST"),
+        F.max(ordered).alias("MOST"),
+        F.min(F.when(present, F.struct((-F.col("_n")).alias("less"), F.col("_value")))).alias("_top"),
+        only("text", F.sum(held * F.length("_value")) / F.sum(held)).alias("MEAN_LENGTH"),
+        only("boolean", F.coalesce(F.sum(F.when(F.col("_value") == "true", F.col("_n"))), F.lit(0)) / F.sum(held)).alias("TRUE_SHARE"),
+    )
+    days = counts.where(present & (F.col("KIND") == "date")).select("COLUMN", F.col("_value").cast("date").alias("_day"))
+    after = Window.partitionBy("COLUMN").orderBy("_day")
+    gaps = days.select("COLUMN", F.datediff("_day", F.lag("_day").over(after)).alias("_gap"))
+    longest = gaps.groupBy("COLUMN").agg(F.max("_gap").alias("LONGEST_GAP"))
+    return basics.join(longest, "COLUMN", "left").select(
+        "COLUMN", "KIND", "N", "N_MISSING", "N_DISTINCT", "LEAST", "MOST", F.col("_top._value").alias("TOP_VALUE"),
+        (-F.col("_top.less")).alias("TOP_COUNT"), "MEAN_LENGTH", "TRUE_SHARE", "LONGEST_GAP",
+    )
+
+
 def _bin(bins: int) -> Column:
     """Equal-width bin of a value in its column's range; the last bin is closed."""
     width = F.nullif(F.col("MAX") - F.col("MIN"), F.lit(0.0))

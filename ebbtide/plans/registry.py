@@ -353,6 +353,13 @@ def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(profile.select("*", *bins).drop("HISTOGRAM"), digits=5)
 
 
+@job
+def mixed_profile(spark: SparkSession, folder: str) -> DataFrame:
+    rows = facts(spark, folder).withColumn("GUARANTEED", F.col("HAS_SOME_GND") == 1)
+    names = ["REGION", "SEGMENTATION", "DATE_TIME_SLOT", "MIN_BOOKING_DATE", "GUARANTEED", "RN"]
+    return tidy(clean.mixed_profile(rows, names), digits=6)
+
+
 @job
 def correlated_pairs_(spark: SparkSession, folder: str) -> DataFrame:
     rows = slots.active_population(training(spark, folder, SCENARIOS), "GROSS_SALES", 1)
@@ -436,6 +443,15 @@ def month_table(spark: SparkSession, folder: str, scenarios) -> DataFrame:
     return months.month_features(rows, MONTHS_FEATURED, scenarios)
 
 
+@job
+def month_training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar-month catalogue at full width, today and the month before."""
+    lines = catalog.month_lines()
+    rows = views.with_metrics(views.activity(spark, folder), [item.metric for item in lines])
+    rows = rows.withColumnRenamed("ID_CUSTOMER_BRANCH", "PK")
+    return tidy(months.month_features(rows, lines, [months.shift_months(MONTH_TODAY, -1), MONTH_TODAY]))
+
+
 @job
 def month_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = month_table(spark, folder, [MONTH_TODAY])
@@ -505,6 +521,13 @@ def panel_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(views.panel(spark, folder))
 
 
+@job
+def panel_peaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly maxima of daily activity."""
+    largest = ["GROSS_SALES", "SEARCHES_TOTAL", "VALUATIONS_TOTAL", "BOOKINGCANCELLATION"]
+    return tidy(panel.monthly_panel(views.activity(spark, folder), ["RN"], {}, {}, peaks=largest))
+
+
 @job
 def panel_volume_filter(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.activity(spark, folder).select("CUSTOMER_REPORTING_LEVEL", "ID_CUSTOMER_BRANCH", "DATE", "RN")

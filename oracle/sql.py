@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from ebbtide.plans.catalog import client_lines, hotel_lines
+from ebbtide.plans.catalog import client_lines, hotel_lines, month_lines
 from ebbtide.plans.spec import Fn, Line
 
 LENGTHS = (1, 2, 3, 4, 13)
@@ -241,6 +241,23 @@ def profile_sql() -> str:
     return with_(SLOTS, " UNION ALL ".join(parts))
 
 
+def mixed_profile_sql() -> str:
+    parts = []
+    for name, kind in (("REGION", "text"), ("SEGMENTATION", "text"), ("DATE_TIME_SLOT", "date"), ("MIN_BOOKING_DATE", "date"), ("GUARANTEED", "boolean"), ("RN", "number")):
+        source = "HAS_SOME_GND = 1" if name == "GUARANTEED" else name
+        gaps = "(SELECT max(g) FROM (SELECT date_diff('day', lag(d) OVER (ORDER BY d), d) AS g FROM (SELECT DISTINCT v AS d FROM t)))"
+        parts.append(
+            f"(WITH t AS (SELECT {source} AS v FROM slots), c AS (SELECT CAST(v AS VARCHAR) AS v, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v) "
+            f"SELECT '{name}' AS \"COLUMN\", '{kind}' AS KIND, CAST(coalesce(sum(n), 0) AS BIGINT) AS N, (SELECT count(*) FROM t) - CAST(coalesce(sum(n), 0) AS BIGINT) AS N_MISSING, "
+            f"count(*) AS N_DISTINCT, {'NULL' if kind == 'number' else 'min(v)'} AS LEAST, {'NULL' if kind == 'number' else 'max(v)'} AS MOST, "
+            "(SELECT v FROM c ORDER BY n DESC, v LIMIT 1) AS TOP_VALUE, (SELECT max(n) FROM c) AS TOP_COUNT, "
+            + (rnd("sum(n * length(v)) / sum(n)", 6) if kind == "text" else "CAST(NULL AS DOUBLE)") + " AS MEAN_LENGTH, "
+            + (rnd("sum(n) FILTER (v = 'true') / sum(n)", 9) if kind == "boolean" else "CAST(NULL AS DOUBLE)") + " AS TRUE_SHARE, "
+            + (f"CAST({gaps} AS INTEGER)" if kind == "date" else "CAST(NULL AS INTEGER)") + " AS LONGEST_GAP FROM c)"
+        )
+    return with_(SLOTS, "SELECT * FROM (" + " UNION ALL ".join(parts) + ")")
+
+
 def correlation_sql() -> str:
     names = [f"FF_{m}_SUM_L{n}S" for m in SUMS for n in (1, 13)] + ["FF_MARKUP_MEAN_L13S"]
     columns = [*AGG, *label_columns([(1, 1)])]
@@ -397,10 +414,36 @@ activity AS (
 )"""
 
 
-def month_ctes(scenarios: list[str]) -> str:
-    columns = []
-    for n in (1, 12):
-        cell = "CASE WHEN DATE > mx - INTERVAL 1 MONTH - INTERVAL {n} MONTH AND DATE <= mx - INTERVAL 1 MONTH THEN {x} END"
+ACTIVITY_COLUMNS = [
+    "DATE", *ACTIVITY_SUMS, "MIN_BOOKING_DATE", "MAX_BOOKING_DATE", "MARKUP", "CREDIT_OR_PREPAYMENT",
+]
+
+
+def month_catalogue() -> tuple[str, list[tuple[str, str]]]:
+    """Activity with every metric of the monthly catalogue, and all its features."""
+    lines = month_lines()
+    names = list(dict.fromkeys(item.metric for item in lines))
+    missing = [m for m in names if m not in ACTIVITY_COLUMNS]
+    made = "".join(f", RN * {k % 5 + 1} + SEARCHES_TOTAL * {k % 3} AS {m}" for k, m in enumerate(missing))
+    forms = {
+        "SUM": lambda x: rnd(f"coalesce(sum({x}), 0)"), "MEAN": lambda x: rnd(f"avg({x})", 9), "MAX": lambda x: f"CAST(max({x}) AS BIGINT)",
+        "DIFF_DATE_MIN": lambda x: f"date_diff('day', min({x}), CAST(mx - INTERVAL 1 MONTH AS DATE))",
+        "DIFF_DATE_MAX": lambda x: f"date_diff('day', max({x}), CAST(mx - INTERVAL 1 MONTH AS DATE))",
+    }
+    columns = [
+        (forms[fn.value.upper()](MONTH_CELL.format(n=n, x=item.metric)), f"{item.metric}_{fn.value.upper()}_L{n}M")
+        for item in lines for n in item.lengths for fn in item.functions if fn is not Fn.ISNULL
+    ]
+    return f", wide_activity AS (SELECT *{made} FROM activity)", columns
+
+
+MONTH_CELL = "CASE WHEN DATE > mx - INTERVAL 1 MONTH - INTERVAL {n} MONTH AND DATE <= mx - INTERVAL 1 MONTH THEN {x} END"
+
+
+def month_ctes(scenarios: list[str], wide: str = "", catalogue: list[tuple[str, str]] | None = None) -> str:
+    columns = list(catalogue or [])
+    for n in () if catalogue else (1, 12):
+        cell = MONTH_CELL
         for m in ACTIVITY_SUMS:
             columns.append((rnd(f"coalesce(sum({cell.format(n=n, x=m)}), 0)"), f"{m}_SUM_L{n}M"))
         for m, fn in (("MIN_BOOKING_DATE", "min"), ("MAX_BOOKING_DATE", "max")):
@@ -414,10 +457,10 @@ def month_ctes(scenarios: list[str]) -> str:
     columns.append((f"coalesce({target}, 0) < 0.005", "CHURN"))
     listed = ", ".join(f"{e} AS {n}" for e, n in columns)
     values = ", ".join(f"(DATE '{s}')" for s in scenarios)
-    return ACTIVITY + f""",
+    return ACTIVITY + wide + f""",
 monthly AS (
   SELECT branch AS PK, {text("mx")} AS SCENARIO_DATE, {listed}
-  FROM activity JOIN (VALUES {values}) t(mx) ON DATE <= mx AND DATE > mx - INTERVAL 13 MONTH
+  FROM {"wide_activity" if wide else "activity"} JOIN (VALUES {values}) t(mx) ON DATE <= mx AND DATE > mx - INTERVAL 13 MONTH
   GROUP BY branch, mx
 )"""
 
@@ -652,6 +695,7 @@ def statements() -> dict[str, str]:
         "THEN 'test' ELSE 'dev' END AS SPLIT, FF_GROSS_SALES_SUM_L1S FROM sales",
     )
     sql["column_profile"] = profile_sql()
+    sql["mixed_profile"] = mixed_profile_sql()
     sql["correlated_pairs"] = correlation_sql()
 
     # evaluation and publishing
@@ -769,6 +813,7 @@ def statements() -> dict[str, str]:
 
     # calendar months
     today, past = month_ctes(["2001-07-01"]), month_ctes(HISTORY)
+    sql["month_training_set"] = with_(month_ctes(["2001-06-01", "2001-07-01"], *month_catalogue()), "SELECT * FROM monthly")
     sql["month_features"] = with_(today, "SELECT * EXCLUDE (GROSS_SALES_TARGET, CHURN) FROM monthly")
     sql["month_labels"] = with_(today, "SELECT PK, SCENARIO_DATE, GROSS_SALES_TARGET, CHURN FROM monthly")
     sql["month_scenarios"] = with_(past, "SELECT * FROM monthly")
@@ -817,6 +862,13 @@ def statements() -> dict[str, str]:
     sql["panel_monthly"] = with_(
         PANEL, f"SELECT {ENTITY}, {MONTH}, {values}, PAYMENT_CREDIT, PAYMENT_PREPAYMENT, MONTH_NUMBER, IS_CHURNED FROM panel"
     )
+    peaks = "GROSS_SALES SEARCHES_TOTAL VALUATIONS_TOTAL BOOKINGCANCELLATION".split()
+    sql["panel_peaks"] = with_(
+        ACTIVITY,
+        f"SELECT lvl AS CUSTOMER_REPORTING_LEVEL, branch AS ID_CUSTOMER_BRANCH, CAST(CAST(date_trunc('month', DATE) AS DATE) AS VARCHAR) AS DATE_MONTH, CAST(sum(RN) AS BIGINT) AS RN, "
+        + ", ".join(rnd(f"max({m})") + f" AS {m}" if m == "GROSS_SALES" else f"CAST(max({m}) AS BIGINT) AS {m}" for m in peaks)
+        + ", CAST(month(min(DATE)) AS INTEGER) AS MONTH_NUMBER, sum(RN) = 0 AS IS_CHURNED FROM activity GROUP BY lvl, branch, date_trunc('month', DATE)",
+    )
     sql["panel_volume_filter"] = with_(
         ACTIVITY,
         "SELECT lvl AS CUSTOMER_REPORTING_LEVEL, branch AS ID_CUSTOMER_BRANCH, CAST(sum(RN) AS BIGINT) AS RN, count(*) AS N_ROWS "

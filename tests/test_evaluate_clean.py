@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -130,3 +131,22 @@ def test_publish_joins_on_keys_and_ranks(spark):
     assert (out["a"].PROBA_4S, out["a"].CHURN_1S, out["a"].CHURN_4S) == (0.4, True, False)
     sample = publish.upload_sample(today.selectExpr("*", "true AS CHURN", "0.5D AS PROBA"), 2)
     assert [r.PK for r in sample.collect()] == ["a", "b"] and dict(sample.dtypes)["SCENARIO_DATE"] == "string"
+
+
+def test_profile_of_all_types(spark):
+    day = dt.date
+    rows = [
+        ("b", day(2024, 1, 1), True, 1.5), ("a", day(2024, 1, 2), False, 2.5), ("a", day(2024, 3, 1), None, None),
+        ("b", None, True, 2.5), (None, day(2024, 1, 2), True, 0.5), ("", day(2024, 1, 1), None, 0.5),
+    ]
+    frame = spark.createDataFrame(rows, "t string, d date, f boolean, x double")
+    got = {r.COLUMN: r for r in clean.mixed_profile(frame, ["t", "d", "f", "x"]).collect()}
+    text, date, flag, number = (got[c] for c in "tdfx")
+    assert (text.N, text.N_MISSING, text.N_DISTINCT, text.LEAST, text.MOST) == (5, 1, 3, "", "b")
+    assert (text.TOP_VALUE, text.TOP_COUNT, text.MEAN_LENGTH) == ("a", 2, 0.8) and text.TRUE_SHARE is None
+    assert (date.LEAST, date.MOST, date.LONGEST_GAP, date.TOP_VALUE) == ("2024-01-01", "2024-03-01", 59, "2024-01-01")
+    assert (flag.N, flag.TRUE_SHARE, flag.LONGEST_GAP) == (4, 0.75, None)
+    assert (number.N, number.N_DISTINCT, number.LEAST, number.KIND) == (5, 3, None, "number")
+    assert clean.mixed_profile(frame.where("false"), ["t"]).count() == 0
+    nothing = clean.mixed_profile(frame.where("t IS NULL"), ["t"]).first()
+    assert (nothing.N, nothing.N_MISSING, nothing.TOP_VALUE, nothing.MEAN_LENGTH) == (0, 1, None, None)

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer orders lineitem".split()
 CHOSEN = """
 churn_slots churn_training_set slot_presence slot_presence_long_windows month_scenarios sql_features_multi_month panel_lags zero_trading_runs
-country_day_probability roc_curve contribution_curve balance_classes column_profile run_metrics ratio_features panel_monthly
+country_day_probability roc_curve contribution_curve balance_classes column_profile run_metrics ratio_features panel_monthly mixed_profile panel_peaks month_training_set slot_minimum slot_source r_squared
 """.split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
