@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,14 +141,46 @@ def markup_features(markups: DataFrame, period: Period) -> DataFrame:
     ]
     daily = _reachable(markups, "BOOKING_DATE", period).groupBy(_key().alias(PK), "BOOKING_DATE").agg(*parts)
     rows = _per_month(daily, "BOOKING_DATE", period, period.break_day)
+    return rows.groupBy(PK, ETL).agg(*_markup_means("BOOKING_DATE"))
+
+
+def _markup_means(day: str) -> list[Column]:
+    """Means over all, two and twelve months from daily sums and counts."""
     columns = []
     for name in MARKUP_METRICS:
-        sums = _totals(f"{name}_S", name, "BOOKING_DATE", F.sum)
-        counts = _totals(f"{name}_C", name, "BOOKING_DATE", F.sum)
+        sums = _totals(f"{name}_S", name, day, F.sum)
+        counts = _totals(f"{name}_C", name, day, F.sum)
         for total, count, tag in zip(sums, counts, ("", "_L2M", "_L12M"), strict=True):
             mean = F.coalesce(total / F.nullif(count, F.lit(0)), F.lit(0.0))
             columns.append(mean.alias(f"{name}{tag}"))
-    return rows.groupBy(PK, ETL).agg(*columns)
+    return columns
+
+
+def _ledger_columns(day: str = "BOOKING_DATE") -> list[Column]:
+    """Aggregates of a key's days before the break (other days hold NULL) and the volume after it (``_later``)."""
+    return [
+        F.coalesce(F.datediff(F.max("BREAK"), F.max(day)), F.lit(0)).alias("TIME_FROM_LAST_BOOKING"),
+        # one row per date already, so counting rows counts distinct dates
+        F.count(day).alias("DATES"),
+        F.count(_recent(day, 2, day)).alias("DATES_L2M"),
+        F.count(_recent(day, 12, day)).alias("DATES_L12M"),
+        *_totals("RN_", "RN", day, F.sum),
+        *_totals("GROSS_SALES_", "GROSS_SALES", day, F.sum),
+        F.coalesce(F.regr_slope("RN_", "R"), F.lit(0.0)).alias("SLOPE_RN"),
+        F.coalesce(F.regr_slope("GROSS_SALES_", "R"), F.lit(0.0)).alias("SLOPE_GROSS_SALES"),
+        F.coalesce(F.sum("_later"), F.lit(0)).alias("RN_LXM_TODAY"),
+    ]
+
+
+def _traded(features: DataFrame) -> DataFrame:
+    """Keys with volume, and volume per booking date."""
+    dates = F.nullif(F.col("DATES"), F.lit(0))
+    return features.where((F.col("RN") > 0) & (F.col("GROSS_SALES") > 0) & (F.col("RN_L12M") > 0)).withColumns(
+        {
+            "RN_BY_BOOKING_DATES": F.coalesce(F.col("RN") / dates, F.lit(0.0)),
+            "GROSS_SALES_BY_BOOKING_DATES": F.coalesce(F.col("GROSS_SALES") / dates, F.lit(0.0)),
+        }
+    )
 
 
 def ledger_features(base: DataFrame) -> DataFrame:
@@ -161,29 +194,7 @@ def ledger_features(base: DataFrame) -> DataFrame:
         *[F.when(early, F.col(c)).alias(c) for c in (day, "RN_", "GROSS_SALES_", "R")],
         F.when(early, 0).otherwise(F.col("RN_")).alias("_later"),
     )
-    features = (
-        known.groupBy(PK, ETL)
-        .agg(
-            F.coalesce(F.datediff(F.max("BREAK"), F.max(day)), F.lit(0)).alias("TIME_FROM_LAST_BOOKING"),
-            # one row per date already, so counting rows counts distinct dates
-            F.count(day).alias("DATES"),
-            F.count(_recent(day, 2, day)).alias("DATES_L2M"),
-            F.count(_recent(day, 12, day)).alias("DATES_L12M"),
-            *_totals("RN_", "RN", day, F.sum),
-            *_totals("GROSS_SALES_", "GROSS_SALES", day, F.sum),
-            F.coalesce(F.regr_slope("RN_", "R"), F.lit(0.0)).alias("SLOPE_RN"),
-            F.coalesce(F.regr_slope("GROSS_SALES_", "R"), F.lit(0.0)).alias("SLOPE_GROSS_SALES"),
-            F.coalesce(F.sum("_later"), F.lit(0)).alias("RN_LXM_TODAY"),
-        )
-        .where((F.col("RN") > 0) & (F.col("GROSS_SALES") > 0) & (F.col("RN_L12M") > 0))
-    )
-    dates = F.nullif(F.col("DATES"), F.lit(0))
-    return features.withColumns(
-        {
-            "RN_BY_BOOKING_DATES": F.coalesce(F.col("RN") / dates, F.lit(0.0)),
-            "GROSS_SALES_BY_BOOKING_DATES": F.coalesce(F.col("GROSS_SALES") / dates, F.lit(0.0)),
-        }
-    )
+    return _traded(known.groupBy(PK, ETL).agg(*_ledger_columns()))
 
 
 def ledger_label(base: DataFrame) -> DataFrame:
@@ -202,19 +213,76 @@ def churn_variation(before: Column, after: Column) -> Column:
     )
 
 
+def ledger_events(ledger: DataFrame, disputes: DataFrame, markups: DataFrame) -> DataFrame:
+    """Ledger, dispute and markup rows as one frame: a row has the columns of its source, and 1 in that source's mark."""
+    keys = ["ID_CUSTOMER_BRANCH", "CUSTOMER_REPORTING_LEVEL"]
+    parts = [
+        ledger.select(*keys, F.col("BOOKING_DATE").alias("DAY"), "RN", "GROSS_SALES", F.lit(1).alias("BOOKED")),
+        disputes.select(*keys, F.col("DATE").alias("DAY"), *DISPUTE_METRICS, F.lit(1).alias("DISPUTED")),
+        markups.select(*keys, F.col("BOOKING_DATE").alias("DAY"), *MARKUP_METRICS, F.lit(1).alias("MARKED")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def ledger_table(
     ledger: DataFrame, disputes: DataFrame, markups: DataFrame, period: Period
 ) -> DataFrame:
-    """Features joined to label, disputes and markups: one row per key and reference month."""
-    base = base_ledger(ledger, period)
-    joined = (
-        ledger_features(base)
-        .join(dispute_features(disputes, period), [PK, ETL], "left")
-        .join(markup_features(markups, period), [PK, ETL], "left")
-        .withColumns({"CHURN_L2M": F.col("RN_L2M") == 0, "CHURN": F.col("RN_LXM_TODAY") == 0})
+    """Features with label, disputes and markups: one row per key and reference month."""
+    return ledger_table_of(ledger_events(ledger, disputes, markups), period)
+
+
+def ledger_table_of(events: DataFrame, period: Period) -> DataFrame:
+    """:func:`ledger_table` of a frame of events, whose rows may have the columns of several sources.
+
+    All sources are reduced to (key, day) by one aggregate and to (key, month) by another, so nothing is joined.
+    Disputes and markups of a key that has none up to the break are NULL.
+    """
+    means = [c for name in MARKUP_METRICS for c in (F.sum(name).alias(f"{name}_S"), F.count(name).alias(f"{name}_C"))]
+    daily = (
+        _reachable(events, "DAY", period)
+        .withColumn(PK, _key())
+        .where(F.col(PK).isNotNull())
+        .groupBy(PK, "DAY")
+        .agg(
+            F.sum("RN").alias("RN_"),
+            F.sum("GROSS_SALES").alias("GROSS_SALES_"),
+            *[F.max(mark).alias(mark) for mark in ("BOOKED", "DISPUTED", "MARKED")],
+            *[F.sum(name).alias(name) for name in DISPUTE_METRICS],
+            *means,
+        )
+    )
+    booked = F.col("BOOKED").isNotNull()
+    ordinal = F.count(F.when(booked, 1)).over(Window.partitionBy(PK, ETL).orderBy("DAY"))
+    rows = _per_month(daily, "DAY", period, F.col(ETL)).withColumn("R", ordinal)
+    early, settled = booked & (F.col("DAY") < F.col("BREAK")), F.col("DAY") <= F.col("BREAK")
+    sums = [f"{name}_{part}" for name in MARKUP_METRICS for part in "SC"]
+    known = rows.select(
+        PK,
+        ETL,
+        "BREAK",
+        F.when(early, F.col("DAY")).alias("BOOKING_DATE"),
+        *[F.when(early, F.col(c)).alias(c) for c in ("RN_", "GROSS_SALES_", "R")],
+        F.when(early, 0).otherwise(F.col("RN_")).alias("_later"),
+        F.when(settled, F.col("DAY")).alias("DAY"),
+        *[F.when(settled, F.col(c)).alias(c) for c in ("DISPUTED", "MARKED", *DISPUTE_METRICS, *sums)],
     )
-    return joined.withColumn("CHURN_VARIATION", churn_variation(F.col("CHURN_L2M"), F.col("CHURN"))).drop(
-        "RN_LXM_TODAY"
+    features = known.groupBy(PK, ETL).agg(
+        *_ledger_columns(),
+        *[F.max(mark).alias(mark) for mark in ("DISPUTED", "MARKED")],
+        *[c for name in DISPUTE_METRICS for c in _totals(name, name, "DAY", F.sum)],
+        *_markup_means("DAY"),
+    )
+    flags = {"CHURN_L2M": F.col("RN_L2M") == 0, "CHURN": F.col("RN_LXM_TODAY") == 0}
+    table = _traded(features).withColumns(flags)
+    held = {
+        f"{name}{tag}": F.when(F.col(mark).isNotNull(), F.col(f"{name}{tag}"))
+        for mark, names in (("DISPUTED", DISPUTE_METRICS), ("MARKED", MARKUP_METRICS))
+        for name in names
+        for tag in ("", "_L2M", "_L12M")
+    }
+    return (
+        table.withColumns(held | {"CHURN_VARIATION": churn_variation(F.col("CHURN_L2M"), F.col("CHURN"))})
+        .drop("RN_LXM_TODAY", "DISPUTED", "MARKED")
     )
 
 

@@ -378,9 +378,7 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_table(spark: SparkSession, folder: str, period: ledger.Period = LEDGER_TODAY) -> DataFrame:
-    return ledger.ledger_table(
-        views.ledger(spark, folder), views.disputes(spark, folder), views.markups(spark, folder), period
-    )
+    return ledger.ledger_table_of(views.ledger_events(spark, folder), period)
 
 
 @job

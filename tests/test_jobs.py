@@ -55,3 +55,19 @@ def test_reports_keep_the_first_rows_only(spark):
     listed = JOBS["upload_list"](spark, FOLDER, n=4).collect()
     everyone = sorted(r.PK for r in JOBS["project_scored"](spark, FOLDER).collect())
     assert [r.PK for r in listed] == everyone[:4]
+
+
+def test_ledger_reads_the_lines_once(spark):
+    plan = JOBS["sql_features_multi_month"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Generate explode" in plan
+
+
+def test_ledger_of_separate_sources_equals_ledger_of_events(spark):
+    from ebbtide.operators import ledger
+    from ebbtide.plans.registry import LEDGER_MONTHS
+    from ebbtide.sources import views
+
+    apart = ledger.ledger_table(views.ledger(spark, FOLDER), views.disputes(spark, FOLDER), views.markups(spark, FOLDER), LEDGER_MONTHS)
+    together = ledger.ledger_table_of(views.ledger_events(spark, FOLDER), LEDGER_MONTHS)
+    rows = [sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f.collect()), key=repr) for f in (apart, together)]
+    assert apart.columns == together.columns and rows[0] == rows[1] and len(rows[0]) > 100
