@@ -194,8 +194,12 @@ def sliding_rows(
     presence: bool = True,
     unit: str = "S",
     prefix: str = "FF_",
+    series: str | None = None,
 ) -> DataFrame:
-    """Evaluate feature lines and label windows at every scenario slot (see :func:`slot_features`)."""
+    """Evaluate feature lines and label windows at every scenario slot (see :func:`slot_features`).
+
+    ``series`` is SQL text over the key, for keys whose slots have dates of their own.
+    """
     lines = list(lines)
     names = {item.metric for item in lines} | ({metric} if labels else set())
     windows = expand(lines)
@@ -233,8 +237,9 @@ def sliding_rows(
     keep = [f"{bands.rows(*span)} > 0" for span in dict.fromkeys(tested if presence else [(0, 0)])]
     placed = _by_key(rows, first_slot, last_slot, scenarios)
     if filled:  # the date of a slot where the key has no row is that of other keys
-        dates = rows.groupBy(F.col(SLOT).alias(SCENARIO)).agg(F.min(SLOT_DATE).alias(SLOT_DATE))  # one row per slot
-        placed = placed.drop(SLOT_DATE).join(F.broadcast(dates), SCENARIO, "left")
+        of = F.expr(series or "0").alias("_series")
+        dates = rows.groupBy(F.col(SLOT).alias(SCENARIO), of).agg(F.min(SLOT_DATE).alias(SLOT_DATE))  # one row per slot
+        placed = placed.drop(SLOT_DATE).withColumn("_series", of).join(F.broadcast(dates), [SCENARIO, "_series"], "left")
     present = placed.where(" AND ".join(_inlined(bands, c) for c in keep))
     return present.selectExpr(KEY, SCENARIO, SLOT_DATE, *bands.columns.values()).selectExpr(KEY, SCENARIO, *columns)
 

@@ -471,6 +471,15 @@ def month_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(month_history(spark, folder))
 
 
+#: Days that short months clip, each with steps of its own.
+MONTH_ENDS = [dt.date(2001, 3, 31), dt.date(2001, 4, 30), dt.date(2001, 5, 31), dt.date(2001, 6, 30), dt.date(2001, 7, 31)]
+
+
+@job
+def month_end_scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    return tidy(month_table(spark, folder, MONTH_ENDS))
+
+
 @job
 def split_dev_test_calendar(spark: SparkSession, folder: str) -> DataFrame:
     marked = clean.split_newest(month_history(spark, folder), newest_is_smallest=False)

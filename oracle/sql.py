@@ -460,7 +460,7 @@ def month_ctes(scenarios: list[str], wide: str = "", catalogue: list[tuple[str,
     return ACTIVITY + wide + f""",
 monthly AS (
   SELECT branch AS PK, {text("mx")} AS SCENARIO_DATE, {listed}
-  FROM {"wide_activity" if wide else "activity"} JOIN (VALUES {values}) t(mx) ON DATE <= mx AND DATE > mx - INTERVAL 13 MONTH
+  FROM {"wide_activity" if wide else "activity"} JOIN (VALUES {values}) t(mx) ON DATE <= mx AND DATE > mx - INTERVAL 1 MONTH - INTERVAL 12 MONTH
   GROUP BY branch, mx
 )"""
 
@@ -816,6 +816,8 @@ def statements() -> dict[str, str]:
     sql["month_training_set"] = with_(month_ctes(["2001-06-01", "2001-07-01"], *month_catalogue()), "SELECT * FROM monthly")
     sql["month_features"] = with_(today, "SELECT * EXCLUDE (GROSS_SALES_TARGET, CHURN) FROM monthly")
     sql["month_labels"] = with_(today, "SELECT PK, SCENARIO_DATE, GROSS_SALES_TARGET, CHURN FROM monthly")
+    ends = ["2001-03-31", "2001-04-30", "2001-05-31", "2001-06-30", "2001-07-31"]
+    sql["month_end_scenarios"] = with_(month_ctes(ends), "SELECT * FROM monthly")
     sql["month_scenarios"] = with_(past, "SELECT * FROM monthly")
     sql["split_dev_test_calendar"] = with_(
         past,

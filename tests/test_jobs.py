@@ -60,6 +60,8 @@ def test_reports_keep_the_first_rows_only(spark):
 def test_ledger_reads_the_lines_once(spark):
     plan = JOBS["sql_features_multi_month"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and "Generate explode" in plan
+    ends = JOBS["month_end_scenarios"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert ends.count("lineitem.parquet") == 1
 
 
 def test_ledger_of_separate_sources_equals_ledger_of_events(spark):
