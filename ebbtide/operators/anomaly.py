@@ -22,6 +22,8 @@ LEVEL, COUNTRY, DAY = "CUSTOMER_REPORTING_LEVEL", "CUSTOMER_RL_COUNTRY_NAME", "D
 SEGMENT = (COUNTRY, "CUSTOMER_RL_BL_RETAIL", "CUSTOMER_RL_WHOLESALE", DAY)
 RARE = 0.01
 LEAST_VOLUME = 5
+#: A sketched quantile is off in rank by one in so many rows of its group at most.
+SKETCH_ACCURACY = 200
 
 
 def _customer() -> WindowSpec:
@@ -97,13 +99,35 @@ def rolling_stats(daily: DataFrame, require_history: bool = True) -> DataFrame:
     return rows.na.drop(subset=names) if require_history else rows
 
 
-def country_p80(daily: DataFrame, by: Sequence[str] = SEGMENT, approximate: bool = False) -> DataFrame:
-    """80th percentile of RN per country, retail, wholesale and day, one row per group."""
+def country_p80(
+    daily: DataFrame, by: Sequence[str] = SEGMENT, approximate: bool = False, accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """80th percentile of RN per country, retail, wholesale and day, one row per group.
+
+    ``approximate`` takes it from a mergeable sketch: one aggregate with partial sketches, without ranking value
+    counts across groups.  Its rank is off by a share of ``1 / accuracy`` of the group's rows at most, and it is a
+    value of the group instead of one between two.
+    """
     if approximate:
-        return daily.groupBy(*by).agg(F.percentile_approx("RN", 0.8).cast("double").alias("P80_RN_COUNTRY"))
+        return daily.groupBy(*by).agg(F.percentile_approx("RN", 0.8, accuracy).cast("double").alias("P80_RN_COUNTRY"))
     return exact_quantiles(daily, "RN", {"P80_RN_COUNTRY": 0.8}, by)
 
 
+def rank_error(daily: DataFrame, found: DataFrame, by: Sequence[str], share: float = 0.8) -> DataFrame:
+    """``N_ROWS`` and ``RANK_ERROR`` of each group: how far, as a share of its rows, a value lies from its rank."""
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    value = F.col("P80_RN_COUNTRY")
+    counts = daily.where(F.col("RN").isNotNull()).groupBy(*by, "RN").agg(F.count(F.lit(1)).alias("_n"))
+    met = counts.alias("d").join(found.alias("f"), same).groupBy(*[F.col(f"d.{c}").alias(c) for c in by]).agg(
+        F.sum("_n").alias("N_ROWS"),
+        F.sum(F.when(F.col("RN") < value, F.col("_n")).otherwise(0)).alias("_below"),
+        F.sum(F.when(F.col("RN") <= value, F.col("_n")).otherwise(0)).alias("_upto"),
+    )
+    wanted = F.ceil(share * F.col("N_ROWS"))
+    off = F.greatest(F.lit(0), F.col("_below") + 1 - wanted, wanted - F.col("_upto"))
+    return met.select(*by, "N_ROWS", (off / F.col("N_ROWS")).alias("RANK_ERROR"))
+
+
 def nbinom_scores(rows: DataFrame) -> DataFrame:
     """Probability of a day this low under both rolling windows, and its floored variant.
 

@@ -16,17 +16,21 @@ from ebbtide.operators.slots import SCENARIO
 
 def outlier_trim(frame: DataFrame, value: str, low: float = 0.55, high: float = 0.998) -> DataFrame:
     """Rows strictly between two quantiles of the untrimmed frame."""
-    bounds = exact_quantiles(frame, value, {"lo": low, "hi": high})
-    return frame.where(
-        (F.col(value) < bounds.select("hi").scalar()) & (F.col(value) > bounds.select("lo").scalar())
-    )
+    bounds = _bounds(frame, value, low, high)
+    return frame.where((F.col(value) < bounds["hi"]) & (F.col(value) > bounds["lo"]))
+
+
+def _bounds(frame: DataFrame, value: str, low: float, high: float) -> Column:
+    """Both quantiles from one subquery, which all conditions share."""
+    found = exact_quantiles(frame, value, {"lo": low, "hi": high})
+    return found.select(F.struct("lo", "hi")).scalar()
 
 
 def trim_stages(frame: DataFrame, value: str, low: float = 0.55, high: float = 0.998) -> dict[str, Column]:
     """Conditions of the cleaning steps, for :func:`dataset_status` and :func:`removal_effect`."""
-    bounds = exact_quantiles(frame, value, {"lo": low, "hi": high})
-    top = is_true(F.col(value) >= bounds.select("hi").scalar())
-    bottom = ~top & is_true(F.col(value) <= bounds.select("lo").scalar())
+    bounds = _bounds(frame, value, low, high)
+    top = is_true(F.col(value) >= bounds["hi"])
+    bottom = ~top & is_true(F.col(value) <= bounds["lo"])
     measured = F.col(value).isNotNull()
     return {
         "loaded": F.lit(True),

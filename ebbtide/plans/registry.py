@@ -643,6 +643,14 @@ def country_p80(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(anomaly.country_p80(rows), digits=6)
 
 
+@job
+def country_p80_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """80th percentile per country over all days from a sketch: rows of each group, and whether its rank error holds."""
+    rows, by = watched(spark, folder), ["CUSTOMER_RL_COUNTRY_NAME"]
+    errors = anomaly.rank_error(rows, anomaly.country_p80(rows, by, approximate=True), by)
+    return errors.select(*by, "N_ROWS", (F.col("RANK_ERROR") <= 1 / anomaly.SKETCH_ACCURACY).alias("WITHIN"))
+
+
 @job
 def daily_typed(spark: SparkSession, folder: str) -> DataFrame:
     rows = rolled(spark, folder)

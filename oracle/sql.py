@@ -926,6 +926,9 @@ def statements() -> dict[str, str]:
         f"SELECT {segment}, {text('DATE')} AS DATE, {rnd('quantile_cont(CAST(RN AS DOUBLE), 0.8)', 6)} AS P80_RN_COUNTRY "
         "FROM watched GROUP BY ALL",
     )
+    sql["country_p80_sketch"] = with_(
+        GATED, "SELECT CUSTOMER_RL_COUNTRY_NAME, CAST(count(RN) AS BIGINT) AS N_ROWS, true AS WITHIN FROM watched GROUP BY ALL"
+    )
     sql["daily_typed"] = with_(
         ROLLED,
         f"SELECT {text('CUSTOMER_REPORTING_LEVEL')} AS CUSTOMER_REPORTING_LEVEL, {text('DATE')} AS DATE, CAST(RN AS INTEGER) AS RN, "

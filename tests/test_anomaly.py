@@ -99,3 +99,19 @@ def test_moving_sums_equal_frames_over_many_days(spark):
     for a, b in zip(sorted(got.collect(), key=key), sorted(plain.collect(), key=key), strict=True):
         for c in got.columns[3:]:
             assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], rel=1e-9))
+
+
+@pytest.mark.parametrize("accuracy", [10, 200, 10_000])
+def test_sketched_percentile_keeps_its_rank_error(spark, accuracy):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 7)).alias("C"),
+        F.floor(F.pow(F.rand(7), 3) * 5_000).cast("long").alias("RN"),
+    )
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    found = anomaly.country_p80(rows, ["C"], approximate=True, accuracy=accuracy)
+    errors = anomaly.rank_error(rows, found, ["C"]).collect()
+    assert len(errors) == 8 and sum(r.N_ROWS for r in errors) == 30_000
+    assert all(r.RANK_ERROR <= 1 / accuracy for r in errors)
+    exact = {r.C: r.P80_RN_COUNTRY for r in anomaly.country_p80(rows, ["C"]).collect()}
+    if accuracy == 10_000:
+        assert all(abs(r.P80_RN_COUNTRY - exact[r.C]) < 20 for r in found.collect())
