@@ -7,7 +7,8 @@ hash k) for several hashes k: a candidate must share a prefix token under all of
 
 Postings are never paired with each other.  Each round picks a few hubs per token, tests the other
 members against them only, joins what is linked and leaves out tokens whose members are connected; a
-hub is done with its token.  Rounds end when no token has members of two components, so no link
+hub is done with its token.  The first rounds look at the first tokens of every prefix alone: copies mostly
+meet there, and the tokens after them are then connected without a test.  Rounds end when no token has members of two components, so no link
 between different components is lost, and a group of near copies costs about one pair per member.
 """
 
@@ -32,6 +33,8 @@ COUNTED_FACTOR = 2.0
 CHUNK = 4_000_000
 #: More rows than this are joined by a shuffle instead of being sent to every task (16 bytes each).
 BROADCAST_ROWS = 500_000
+#: So many tokens of each prefix are open in the first round, the second and so on; after these, all are.
+FIRST_TOKENS = (2, 16)
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -197,17 +200,28 @@ def link_components(sets: DataFrame, percent: int = PERCENT, orders: int = ORDER
     prefixed = saved_in_loop(prefixes(sets, percent, orders))
     start = prefixed.select("class", F.col("class").alias("component"))
     labels, links, done, hubs, rounds = start, None, None, 1, 1
+    steps, open_ = [*FIRST_TOKENS, None], None
     # Tokens from this one on: what two sets share is no more, if it is the first that they share.
     own = prefix_size(F.col("n"), percent) - F.col("room")
-    open_ = prefixed.select("class", "n", "room", F.posexplode("p0").alias("at", "token")).select(
-        "class", "n", "room", (F.col("n") - own - F.col("at")).alias("left"), "token"
-    )
+    left = (F.col("n") - own - F.col("at")).alias("left")
     while True:
-        named = open_.join(labels, "class")
+        partly = len(steps) > 1
+        if steps:
+            # Labels meet whole prefixes, one row per set, and not every token of them.
+            whole = prefixed.select("class", "n", "room", "p0")
+            whole = whole.withColumn("component", F.col("class")) if links is None else whole.join(labels, "class")
+            step = steps.pop(0)
+            part = F.col("p0") if step is None else F.slice("p0", 1, step)
+            opened = whole.select("class", "n", "room", "component", F.posexplode(part).alias("at", "token"))
+            named = opened.select("class", "n", "room", left, "token", "component")
+        else:
+            named = open_.join(labels, "class")
         # Only tokens whose members are not yet known to be connected.
         mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         open_ = saved_in_loop(named.join(mixed.select("token"), "token", "left_semi"))
         if open_.isEmpty():
+            if partly:
+                continue
             return start if links is None else connect(start, links)
         # First the member with the fewest tokens of its own, as the text the others were copied from has; later
         # those of the smallest components, so that a few strays are tested against all and not the reverse.
@@ -237,8 +251,10 @@ def link_components(sets: DataFrame, percent: int = PERCENT, orders: int = ORDER
         found = saved_in_loop(_verified(pairs, prefixed, sets, percent, orders))
         links = found if links is None else links.union(found)
         labels = saved_in_loop(_pulled(labels, found))
-        open_ = open_.join(chosen, ["token", "class"], "left_anti").select("class", "n", "room", "left", "token")
-        hubs, rounds = (1 if rounds < 2 else hubs * 8), rounds + 1
+        if not partly:
+            # A hub is done with a token now that all its members were open.
+            open_ = open_.join(chosen, ["token", "class"], "left_anti").select("class", "n", "room", "left", "token")
+            hubs, rounds = (1 if rounds < 2 else hubs * 8), rounds + 1
 
 
 def document_components(
