@@ -33,8 +33,8 @@ COUNTED_FACTOR = 2.0
 CHUNK = 4_000_000
 #: More rows than this are joined by a shuffle instead of being sent to every task (16 bytes each).
 BROADCAST_ROWS = 500_000
-#: So many tokens of each prefix are open in the first round, the second and so on; after these, all are.
-FIRST_TOKENS = (2, 16)
+#: So many tokens of each prefix are open in the first rounds, one number a round; after these, all are.
+FIRST_TOKENS = (2,)
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -226,7 +226,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT, orders: int = ORDER
         # First the member with the fewest tokens of its own, as the text the others were copied from has; later
         # those of the smallest components, so that a few strays are tested against all and not the reverse.
         first = -F.col("room").cast("double") / F.col("n")
-        if links is None:
+        if rounds == 1:
             ranked = open_.withColumn("rank", F.struct(F.lit(1).cast("long").alias("size"), first.alias("own")))
         else:
             sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
