@@ -131,3 +131,17 @@ def test_words_beside_a_place(spark, monkeypatch):
         personal._before(F.col("text"), F.col("a")).alias("l"), personal._after(F.col("text"), F.col("b")).alias("r")
     ).first()
     assert row.l[-2:] == ["ab", "y" * 30] and row.r[0] == "z" * 40
+
+
+def test_texts_are_cut_once(spark):
+    """Nothing that cuts a text stands in a filter below an explode, where it would be worked out again and again."""
+    docs = corpus(spark).withColumnsRenamed({"doc_id": "id"}).withColumn("body", F.xxhash64("text"))
+    wanted = spark.createDataFrame([("L to the _",)], "pattern string")
+    for frame, cut in (
+        (personal.pattern_places(docs, wanted, True), "array_remove("),
+        (personal.occurrences(docs.withColumn("base", base_spans(F.col("text")))), personal.TOKEN),
+    ):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Generate") :]
+        assert cut in below
+        assert not [line for line in below.splitlines() if "Filter" in line and cut in line]
