@@ -7,21 +7,25 @@ its places (the divergence test); suffixes of kept contexts stay.  Every context
 gives the rest of its mass to its suffix; the root is the baseline.  A word is scored in the longest kept suffix
 of the words before it.
 
-Contexts, followers and the scores of all windows (the longest context and the word) are Spark tables and grow
-with the corpus; counts, test, smoothing and scores come from joins by hash.
+The logarithm of a word's share is a sum: the root's, and for every kept context of the words before it the share
+it leaves to its suffix, corrected if the word is one of its followers.  So a text's score is the sum of one
+table of entries over its runs of words.  Runs are counted length by length; a longer run is only counted if both
+runs it is made of were seen often enough, so what was seen once is neither kept nor joined.  Counts, tree and
+entries are Spark tables that grow with the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import saved
+from ebbtide.llm.common import discard, saved_and_swept
 from ebbtide.llm.symbols import chunks
 from ebbtide.session import ship_package
 
@@ -29,9 +33,11 @@ from ebbtide.session import ship_package
 DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 0.0, 0.0, 32.0, 1.0
 #: Least count of a context and of a word after it, whatever the shares.
 LEAST = 2
-#: Windows whose scores every task holds, at most (32 bytes each); the scores of the rest are joined.
-FREQUENT = 400_000
-#: Key of the end of a text; before a word, that the text has no word there.
+#: Entries that every task holds, at most (24 bytes each); the rest are joined.
+FREQUENT = 2_000_000
+#: Tokens that a task counts at a time, and bits of a filter of runs.
+BLOCK, BITS = 2_000_000, 1 << 27
+#: Key of the end of a text.
 END_WORD = 0
 
 
@@ -59,120 +65,209 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, lengths
 
 
-def _windows(keys: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hash of each token with the words before it, and the word before it, the one before that, and so on."""
-    at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    mixed, before = keys.view(np.uint64).copy(), []
-    for d in range(1, depth + 1):
-        word = np.full(len(keys), END_WORD, np.int64)
-        word[d:] = keys[:-d]
-        word[at < d] = END_WORD
-        before.append(word)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) + word.view(np.uint64)
-    return mixed.view(np.int64), before
-
+def _joined(shorter: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Key of a run of words from that of the run without its first word and that of the run without its last."""
+    mixed = shorter.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (mixed + context.view(np.uint64)).view(np.int64)
 
-def count_windows(rows: DataFrame, depth: int) -> DataFrame:
-    """Every window of ``rows`` (``text``, ``learn``): ``window``, ``word``, ``w1`` .. before it, how often ``learnt``, ``n``."""
-    before = [f"w{d}" for d in range(1, depth + 1)]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, texts in chunks(batches):
-            keys, lengths = _tokens(texts)
-            mixed, words = _windows(keys, lengths, depth)
-            window, first, which = np.unique(mixed, return_index=True, return_inverse=True)
-            learn = np.repeat(part["learn"].to_numpy(bool), lengths)
-            found = {"window": window, "word": keys[first]} | {c: w[first] for c, w in zip(before, words, strict=True)}
-            learnt = np.bincount(which, learn, len(window)).astype(np.int64)
-            yield pd.DataFrame(found | {"learnt": learnt, "n": np.bincount(which, minlength=len(window))})
+def _runs(keys: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the runs of 1, 2 .. words that end at each token, and the token's place in its text.
 
-    names = ["window", "word", *before]
-    counted = rows.select("text", "learn").mapInPandas(count, ", ".join(f"{c} long" for c in [*names, "learnt", "n"]))
-    return saved(counted.groupBy(names).agg(F.sum("learnt").alias("learnt"), F.sum("n").alias("n")))
+    A run of ``d + 1`` words is there from place ``d`` on.
+    """
+    at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    runs = [keys]
+    for _ in range(depth):
+        longer = np.zeros(len(keys), np.int64)
+        longer[1:] = _joined(runs[-1][1:], runs[-1][:-1])
+        runs.append(longer)
+    return runs, at
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in the order of their unsigned values, a place of each, and how often each is there."""
+    order = np.argsort(keys.view(np.uint64))
+    ordered = keys[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)])
+    return ordered[first].view(np.uint64), order[first], np.diff(np.r_[first, len(keys)])
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and lengths of the texts, some million tokens at a time."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, texts in chunks(batches):
+        parts.append(_tokens(texts))
+        if sum(len(k) for k, _ in parts) >= BLOCK:
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+            parts = []
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def run_filter(keys: DataFrame) -> Broadcast:
+    """A bitmap of bounded size that has the bit of each ``key``; other keys may share a bit."""
+    place = F.col("key").bitwiseAND(F.lit(BITS - 1)) + 1
+    found = (
+        keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in found.toLocalIterator():
+        low = (r["bucket"] - 1) * 4096
+        bits[low : low + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _context(depth: int) -> Column:
-    return F.xxhash64(F.lit(depth), *[F.col(f"w{d}") for d in range(1, depth + 1)])
+def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & (BITS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def learn_level(
-    windows: DataFrame, depth: int, shorter: DataFrame, least: int, rare: int, smoothing: float
-) -> DataFrame:
-    """Followers of the candidates of one length, with their probability ``p`` there and ``lower`` in the suffix.
+def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None) -> DataFrame:
+    """Runs of ``length + 1`` words of ``texts`` (``text``): ``length``, ``key``, ``context``, ``shorter``, ``n``.
 
-    ``shorter`` has ``suffix``, ``word`` and ``lower``.  A word that follows a context often enough follows its
-    suffix at least as often, so the join finds them all.
+    ``context`` is the run without its last word, ``shorter`` the one without its first.  Single words are all
+    there, longer runs from a count of ``LEAST`` on; ``known`` is a filter of the runs that both must pass.
+    Tasks count their own runs and send them as arrays, dealt out by ranges of keys.
     """
-    follows = (
-        windows.where((F.col(f"w{depth}") != END_WORD) & (F.col("learnt") > 0))
-        .groupBy(_context(depth).alias("context"), _context(depth - 1).alias("suffix"), "word")
-        .agg(F.sum("learnt").alias("n"))
-    )
-    often = F.when(F.col("n") >= rare, F.col("n")).otherwise(0)
-    totals = follows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("n") - F.sum(often)).alias("left"))
-    share = (F.col("n") + (F.col("left") + smoothing) * F.col("lower")) / (F.col("total") + smoothing)
-    return saved(
-        follows.where(F.col("n") >= rare)
-        .join(totals.where((F.col("total") >= least) & (F.col("left") < F.col("total"))), "context")
-        .join(shorter, ["suffix", "word"])
-        .withColumn("p", share)
-    )
+    shares = 3 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def tested(level: DataFrame, gain: float, smoothing: float) -> DataFrame:
-    """Contexts of one length that pass the divergence test: ``context``, ``suffix`` and ``rest``, the share of the suffix."""
-    total, left = F.col("total"), F.col("left")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, sizes in _blocks(batches):
+            runs, at = _runs(keys, sizes, max(lengths))
+            for length in lengths:
+                if not length:
+                    found, _, n = _distinct(runs[0])
+                    context = shorter = found.view(np.int64)
+                else:
+                    spot = np.flatnonzero(at >= length)
+                    if known is not None:
+                        spot = spot[_may(known.value, runs[length - 1][spot])]
+                        spot = spot[_may(known.value, runs[length - 1][spot - 1])]
+                    found, first, n = _distinct(runs[length][spot])
+                    context, shorter = runs[length - 1][spot[first] - 1], runs[length - 1][spot[first]]
+                share = ((found >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
+                which, cuts = np.unique(share, return_index=True)
+                cut = lambda x: [p.tobytes() for p in np.split(x, cuts[1:])] if len(which) else []
+                yield pd.DataFrame(
+                    {
+                        "length": length,
+                        "share": which.astype(np.int64),
+                        "context": cut(context if length else context[:0]),
+                        "shorter": cut(shorter),
+                        "n": cut(n.astype(np.int64)),
+                    }
+                )
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        length = int(part["length"].iloc[0])
+        context, shorter, n = (np.concatenate([np.frombuffer(b, np.int64) for b in part[c]]) for c in ("context", "shorter", "n"))
+        key = _joined(shorter, context) if length else shorter
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.add.reduceat(n[order], first)
+        often = n >= (LEAST if length else 1)
+        from_ = order[first[often]]
+        ends = {"context": context[from_], "shorter": shorter[from_]} if length else {"context": 0, "shorter": 0}
+        return pd.DataFrame({"length": length, "key": key[first[often]]} | ends | {"n": n[often]})
+
+    dealt = texts.select("text").mapInPandas(count, "length int, share long, context binary, shorter binary, n binary")
+    return dealt.groupBy("length", "share").applyInPandas(add, "length int, key long, context long, shorter long, n long")
+
+
+def learn_level(runs: DataFrame, shorter: DataFrame, least: int, gain: float, smoothing: float) -> tuple[DataFrame, DataFrame]:
+    """Followers of one length with ``lower``, their probability in the suffix, and the contexts with their counts.
+
+    ``shorter`` has ``key``, ``context``, ``n`` and ``p``.  A word that follows a context often enough follows its
+    suffix at least as often, so the joins find them all.  A context passes the divergence test or not.
+    """
+    lower = shorter.select(F.col("key").alias("shorter"), F.col("context").alias("suffix"), F.col("p").alias("lower"))
+    level = saved_and_swept(runs.join(lower, "shorter").select("key", "context", "suffix", "n", "lower"))
     sums = level.groupBy("context").agg(
         F.max("suffix").alias("suffix"),
-        F.max("total").alias("total"),
-        F.max("left").alias("left"),
-        F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / F.col("lower"))).alias("bits"),
+        F.sum("n").alias("often"),
+        F.sum(F.col("n") * F.log2(F.col("n") / F.col("lower"))).alias("bits"),
         F.least(F.greatest(1 - F.sum("lower"), F.lit(1e-300)), F.lit(1.0)).alias("other"),
     )
+    left, total = F.col("left"), F.col("total")
     tail = F.when(left > 0, left * F.log2(left / total / F.col("other"))).otherwise(0.0)
-    rest = ((left + smoothing) / (total + smoothing)).alias("rest")
-    return sums.select("context", "suffix", rest, (F.col("bits") + tail >= gain).alias("passed"))
+    contexts = (
+        sums.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        .where(total >= least)
+        .withColumn("left", total - F.col("often"))
+        .withColumn("passed", F.col("bits") - F.col("often") * F.log2("total") + tail >= gain)
+        .select("context", "suffix", "total", "left", ((left + smoothing) / (total + smoothing)).alias("rest"), "passed")
+    )
+    return level.drop("suffix"), saved_and_swept(contexts)
 
 
-def score_windows(
-    windows: DataFrame, words: DataFrame, total: int, distinct: int, depth: int, context_share: float,
-    next_share: float, gain: float, smoothing: float,
-) -> DataFrame:
-    """Every window with ``n``, its log10 probability in the tree (``score``) and the root (``base``), and ``known``."""
+def with_share(level: DataFrame, contexts: DataFrame, smoothing: float) -> DataFrame:
+    """Followers of ``contexts`` with their probability ``p`` there."""
+    share = (F.col("n") + (F.col("left") + smoothing) * F.col("lower")) / (F.col("total") + smoothing)
+    return level.join(contexts.select("context", "total", "left", "rest"), "context").withColumn("p", share)
+
+
+def learn_entries(
+    texts: DataFrame, depth: int, context_share: float, next_share: float, gain: float, smoothing: float
+) -> tuple[DataFrame, int, float]:
+    """What the runs of a text add to its score, all tokens learnt from, and log10 of the share of an unknown word.
+
+    Entries have ``key``, ``n`` (how often the run was seen), ``value`` and ``word`` (the value is the root's, beyond
+    that of an unknown word); entries with the same key add up.
+    """
+    counted = saved_and_swept(count_runs(texts, [0, 1], None))
+    words = saved_and_swept(counted.where("length = 0").select("key", "context", "n"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least, rare = (max(LEAST, int(np.ceil(share * total))) for share in (context_share, next_share))
-    root = (F.coalesce("seen", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1))
-    levels: list[DataFrame] = []
-    shorter = words.select(_context(0).alias("suffix"), "word", root.alias("lower"))
-    for d in range(1, depth + 1):
-        levels.append(learn_level(windows, d, shorter, least, rare, smoothing))
-        shorter = levels[-1].select(F.col("context").alias("suffix"), "word", F.col("p").alias("lower"))
-    contexts: list[DataFrame] = []
-    for level in reversed(levels):
-        passed = tested(level, gain, smoothing)
-        if contexts:
-            longer = contexts[0].select(F.col("suffix").alias("context"), F.lit(True).alias("above")).distinct()
-            passed = passed.join(longer, "context", "left").withColumn("passed", F.col("passed") | F.coalesce("above", F.lit(False)))
-        contexts.insert(0, saved(passed.where("passed").select("context", "suffix", "rest")))
-    out = windows.join(words, "word", "left").withColumns({"root": root, "share": root})
-    for d, (level, kept) in enumerate(zip(levels, contexts, strict=True), 1):
-        out = out.withColumn("context", _context(d)).join(kept.select("context", "rest"), "context", "left")
-        out = out.join(level.join(kept.select("context"), "context", "left_semi").select("context", "word", "p"), ["context", "word"], "left")
-        out = out.withColumn("share", F.coalesce("p", F.col("rest") * F.col("share"), "share")).drop("context", "rest", "p")
-    return saved(
-        out.select(
-            "window", "n", F.log10("share").alias("score"), F.log10("root").alias("base"),
-            F.col("seen").isNotNull().cast("long").alias("known"),
+    mass = total + 0.5 * (distinct + 1)
+    shorter = words.withColumn("p", (F.col("n") + 0.5) / mass)
+    unknown = float(np.log10(0.5 / mass))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for length in range(1, depth + 1):
+        if length > 1:
+            known = run_filter(shorter)
+            counted = saved_and_swept(count_runs(texts, [length], known))
+            known.destroy()
+        runs = counted.where((F.col("length") == length) & (F.col("n") >= rare))
+        levels.append(learn_level(runs, shorter, least, gain, smoothing))
+        done = [counted] if length == 1 else [counted, shorter]
+        if length < depth:
+            shorter = saved_and_swept(with_share(*levels[-1], smoothing).select("key", "context", "n", "p"))
+        discard(*done)
+    entries = [words.select("key", "n", (F.log10((F.col("n") + 0.5) / mass) - unknown).alias("value"), F.lit(True).alias("word"))]
+    above: DataFrame | None = None
+    for level, contexts in reversed(levels):
+        kept = contexts.where("passed")
+        if above is not None:
+            kept = contexts.join(above, "context", "left").where("passed OR above")
+        above = kept.select(F.col("suffix").alias("context"), F.lit(True).alias("above")).distinct()
+        value = F.log10(F.col("p") / F.col("lower") / F.col("rest"))
+        entries.append(with_share(level, kept, smoothing).select("key", "n", value.alias("value"), F.lit(False).alias("word")))
+        entries.append(
+            kept.select(F.col("context").alias("key"), F.col("total").alias("n"), F.log10("rest").alias("value"), F.lit(False).alias("word"))
         )
-    )
+    out = entries[0]
+    for more in entries[1:]:
+        out = out.unionByName(more)
+    out = saved_and_swept(out)
+    discard(words, *[table for level in levels for table in level])
+    return out, total, unknown
 
 
-def _held(scores: DataFrame, most: int) -> tuple[pd.DataFrame, int]:
-    """Scores of the windows seen at least so often that they are ``most`` at most, and that count."""
-    sizes = scores.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()
-    needed = next(k for k in range(64) if sum(r["n"] for r in sizes if r["power"] >= k) <= most)
-    found = scores.where(F.col("n") >= 2**needed).drop("n").toPandas()
-    return found.sort_values("window"), 2**needed
+def _held(entries: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and values (score, base) of the runs seen at least so often that they are ``most`` at most, and that count."""
+    sizes = entries.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    needed = next((k for k in range(1, 1001) if sum(r["rows"] for r in sizes if r["n"] >= k) <= most), 1 << 62)
+    found = entries.where(F.col("n") >= needed).select("key", "value", "word").toArrow()
+    key, value, word = (found[c].to_numpy() for c in ("key", "value", "word"))
+    keys, which = np.unique(key, return_inverse=True)
+    values = [np.bincount(which, w, len(keys)) for w in (value, np.where(word, value, 0.0))]
+    return keys, np.stack(values), needed
 
 
 def score_texts(
@@ -192,49 +287,65 @@ def score_texts(
     Rows where the SQL condition ``learn`` holds are learnt from.  Words are split at ASCII white space, A-Z lowered.
     A NULL text counts as empty: it has the end alone.  Rows are told apart by number, so repeated rows and
     NULL keys keep their own results; an empty frame gives an empty result; with nothing to learn from,
-    every score is 0.  Other columns are not looked at.  Words, contexts and windows are told apart by 64-bit hashes.
-    ``frequent`` is how many windows' scores are sent to the tasks; it does not change results.
+    every score is 0.  Other columns are not looked at.  Words and runs are told apart by 64-bit hashes.
+    ``frequent`` is how many entries at most are sent to the tasks; it does not change results.
     """
     ship_package(frame.sparkSession)
     rows = frame.select(
         F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn")
     )
-    windows = count_windows(rows, depth)
-    words = saved(windows.groupBy("word").agg(F.sum("learnt").alias("seen")).where("seen > 0"))
-    total, distinct = words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.lit(1))).first()
-    scores = score_windows(windows, words, total, distinct, depth, context_share, next_share, gain, smoothing)
-    held, needed = _held(scores, frequent)
-    shared = frame.sparkSession.sparkContext.broadcast(held.to_numpy(np.float64)[:, 1:])
-    names = frame.sparkSession.sparkContext.broadcast(held["window"].to_numpy(np.int64))
+    entries, total, unknown = learn_entries(rows.where("learn").select("text"), depth, context_share, next_share, gain, smoothing)
+    keys_held, values_held, needed = _held(entries, frequent)
+    names, shared = (frame.sparkSession.sparkContext.broadcast(x) for x in (keys_held, values_held))
+    known = run_filter(entries)
     schema = "id long, n_tokens long, score double, base double, known double, others array<long>"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window, values = names.value, shared.value
+        held, values, bits = names.value, shared.value, known.value
         for part, texts in chunks(batches):
             keys, lengths = _tokens(texts)
-            mixed, _ = _windows(keys, lengths, depth)
+            runs, at = _runs(keys, lengths, depth)
             owner = np.repeat(np.arange(len(texts)), lengths)
-            spot = _find(window, mixed)
-            hit = spot >= 0
-            sums = [np.bincount(owner[hit], values[spot[hit], k], len(texts)).astype(float) for k in range(3)]
-            cuts = np.searchsorted(owner[~hit], np.arange(1, len(texts)))
+            sums = np.zeros((3, len(texts)))
+            owners, others = [], []
+            for length, run in enumerate(runs):
+                spot = np.flatnonzero((at >= length) & _may(bits, run))
+                place = _find(held, run[spot])
+                hit = place >= 0
+                whose, place = owner[spot[hit]], place[hit]
+                sums[0] += np.bincount(whose, values[0][place], len(texts))
+                if not length:  # the root's share of a word learnt from is above that of an unknown one
+                    sums[1] += np.bincount(whose, values[1][place], len(texts))
+                    sums[2] += np.bincount(whose, values[1][place] > 0, len(texts))
+                owners.append(owner[spot[~hit]])
+                others.append(run[spot[~hit]])
+            whose, keys = np.concatenate(owners), np.concatenate(others)
+            order = np.argsort(whose, kind="stable")
+            cuts = np.searchsorted(whose[order], np.arange(1, len(texts)))
             found = {"id": part["id"], "n_tokens": lengths, "score": sums[0], "base": sums[1], "known": sums[2]}
-            yield pd.DataFrame(found | {"others": np.split(mixed[~hit], cuts)})
-
-    scored = saved(rows.select("id", "text").mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id()))
-    rest = scores.where(F.col("n") < needed).drop("n")
-    more = (
-        scored.select("row", F.explode("others").alias("window"))
-        .join(rest, "window")
-        .groupBy("row")
-        .agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
+            yield pd.DataFrame(found | {"others": np.split(keys[order], cuts)})
+
+    # The text's own sums go with a key of their own, so that one shuffle by key and one by row serve all.
+    scored = rows.select("id", "text").mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id())
+    own = F.col("place") == 0
+    asked = scored.select(
+        "row", "id", "n_tokens", "score", "base", "known",
+        F.posexplode_outer(F.concat(F.array(F.xxhash64("row")), "others")).alias("place", "key"),
+    ).select("row", "key", *[F.when(own, F.col(c)).alias(c) for c in ("id", "n_tokens", "score", "base", "known")])
+    rest = entries.where(F.col("n") < needed).drop("n")
+    own, value, word = F.col("n_tokens").isNotNull(), F.coalesce("value", F.lit(0.0)), F.coalesce("word", F.lit(False))
+    both = asked.join(rest, "key", "left").groupBy("row").agg(
+        F.max("id").alias("id"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.when(own, F.col("score")).otherwise(value)).alias("score"),
+        F.sum(F.when(own, F.col("base")).when(word, value).otherwise(0.0)).alias("base"),
+        F.sum(F.when(own, F.col("known")).when(word, 1.0).otherwise(0.0)).alias("known"),
     )
-    both = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in ("score", "base", "known")}
-    return scored.join(more, "row", "left").select(
+    return both.select(
         F.col("id").alias(key),
         "n_tokens",
-        both["known"].cast("long").alias("n_known"),
+        F.col("known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        both["base"].alias("base_score"),
-        both["score"].alias("score"),
+        (F.col("base") + F.col("n_tokens") * unknown).alias("base_score"),
+        (F.col("score") + F.col("n_tokens") * unknown).alias("score"),
     )
