@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +46,39 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.where(keys == END_WORD, 1, keys)
 
 
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Position of each wanted key, -1 if it is not there."""
-    if not len(sorted_keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == wanted, at, -1)
+class Held:
+    """Sorted distinct keys with the place of the first key of each of many equal ranges."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, len(keys).bit_length())
+        self.starts = np.searchsorted(self._range(keys), np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _range(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key, -1 if it is not there."""
+        part = self._range(wanted)
+        place, end = self.starts[part], self.starts[part + 1]
+        out = np.full(len(wanted), -1, np.int64)
+        open_ = np.flatnonzero(place < end)
+        while len(open_):
+            hit = self.keys[place[open_]] == wanted[open_]
+            out[open_[hit]] = place[open_[hit]]
+            open_ = open_[~hit]
+            place[open_] += 1
+            open_ = open_[place[open_] < end[open_]]
+        return out
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: what neighbours share is then easily compressed."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,16 +122,33 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first].view(np.uint64), order[first], np.diff(np.r_[first, len(keys)])
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and lengths of the texts, some million tokens at a time."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, texts in chunks(batches):
-        parts.append(_tokens(texts))
-        if sum(len(k) for k, _ in parts) >= BLOCK:
-            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows, tokens and lengths of the texts, some million tokens at a time."""
+
+    def block() -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        rows, keys, lengths = zip(*parts, strict=True)
+        return pd.concat(rows), np.concatenate(keys), np.concatenate(lengths)
+
+    parts: list[tuple[pd.DataFrame, np.ndarray, np.ndarray]] = []
+    for rows, texts in chunks(batches):
+        parts.append((rows.drop(columns="text"), *_tokens(texts)))
+        if sum(len(keys) for _, keys, _ in parts) >= BLOCK:
+            yield block()
             parts = []
     if parts:
-        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+        yield block()
+
+
+def _shares(frame: DataFrame) -> int:
+    """Equal ranges of keys that work is dealt out by."""
+    return 3 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cuts(ordered: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares that keys in the order of their unsigned values lie in, and where each begins."""
+    share = ((ordered.view(np.uint64) >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
+    which, cuts = np.unique(share.view(np.int64), return_index=True)
+    return which, cuts
 
 
 def run_filter(keys: DataFrame) -> Broadcast:
@@ -134,10 +178,10 @@ def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None
     there, longer runs from a count of ``LEAST`` on; ``known`` is a filter of the runs that both must pass.
     Tasks count their own runs and send them as arrays, dealt out by ranges of keys.
     """
-    shares = 3 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = _shares(texts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, sizes in _blocks(batches):
+        for _, keys, sizes in _blocks(batches):
             runs, at = _runs(keys, sizes, max(lengths))
             for length in lengths:
                 if not length:
@@ -150,13 +194,12 @@ def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None
                         spot = spot[_may(known.value, runs[length - 1][spot - 1])]
                     found, first, n = _distinct(runs[length][spot])
                     context, shorter = runs[length - 1][spot[first] - 1], runs[length - 1][spot[first]]
-                share = ((found >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
-                which, cuts = np.unique(share, return_index=True)
+                which, cuts = _cuts(found, shares)
                 cut = lambda x: [p.tobytes() for p in np.split(x, cuts[1:])] if len(which) else []
                 yield pd.DataFrame(
                     {
                         "length": length,
-                        "share": which.astype(np.int64),
+                        "share": which,
                         "context": cut(context if length else context[:0]),
                         "shorter": cut(shorter),
                         "n": cut(n.astype(np.int64)),
@@ -259,15 +302,29 @@ def learn_entries(
     return out, total, unknown
 
 
+def _summed(key: np.ndarray, value: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of entries in the order of their unsigned values, and their values: for the score, for the root."""
+    keys, which = np.unique(key.view(np.uint64), return_inverse=True)
+    return keys.view(np.int64), np.stack([np.bincount(which, w, len(keys)) for w in (value, np.where(word, value, 0.0))])
+
+
+def _sums(owner: np.ndarray, place: np.ndarray, values: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Score, root's score and known words of each of ``rows`` from entries at ``place``."""
+    root = values[1][place]  # a word learnt from has a larger share than an unknown one, so the root's value is above 0
+    word = root > 0
+    return [
+        np.bincount(owner, values[0][place], rows),
+        np.bincount(owner[word], root[word], rows),
+        np.bincount(owner[word], minlength=rows).astype(float),
+    ]
+
+
 def _held(entries: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Keys and values (score, base) of the runs seen at least so often that they are ``most`` at most, and that count."""
     sizes = entries.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
     needed = next((k for k in range(1, 1001) if sum(r["rows"] for r in sizes if r["n"] >= k) <= most), 1 << 62)
     found = entries.where(F.col("n") >= needed).select("key", "value", "word").toArrow()
-    key, value, word = (found[c].to_numpy() for c in ("key", "value", "word"))
-    keys, which = np.unique(key, return_inverse=True)
-    values = [np.bincount(which, w, len(keys)) for w in (value, np.where(word, value, 0.0))]
-    return keys, np.stack(values), needed
+    return *_summed(*(found[c].to_numpy() for c in ("key", "value", "word"))), needed
 
 
 def score_texts(
@@ -292,60 +349,80 @@ def score_texts(
     """
     ship_package(frame.sparkSession)
     rows = frame.select(
-        F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn")
+        F.col(key).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn")
     )
     entries, total, unknown = learn_entries(rows.where("learn").select("text"), depth, context_share, next_share, gain, smoothing)
-    keys_held, values_held, needed = _held(entries, frequent)
-    names, shared = (frame.sparkSession.sparkContext.broadcast(x) for x in (keys_held, values_held))
-    known = run_filter(entries)
-    schema = "id long, n_tokens long, score double, base double, known double, others array<long>"
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, values, bits = names.value, shared.value, known.value
-        for part, texts in chunks(batches):
-            keys, lengths = _tokens(texts)
+    *held, needed = _held(entries, frequent)
+    names, values = (frame.sparkSession.sparkContext.broadcast(x) for x in held)
+    known, shares = run_filter(entries), _shares(frame)
+    schema = "share long, block long, keys binary, owners binary, own binary, ids array<string>"
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums over the entries that are here; the other keys go to their shares, a text is its number in the block."""
+        table, task = Held(names.value), TaskContext.get().partitionId()
+        for number, (part, keys, lengths) in enumerate(_blocks(batches)):
             runs, at = _runs(keys, lengths, depth)
-            owner = np.repeat(np.arange(len(texts)), lengths)
-            sums = np.zeros((3, len(texts)))
-            owners, others = [], []
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            sums, owners, others = np.zeros((3, len(lengths))), [], []
             for length, run in enumerate(runs):
-                spot = np.flatnonzero((at >= length) & _may(bits, run))
-                place = _find(held, run[spot])
+                spot = np.flatnonzero((at >= length) & _may(known.value, run))
+                wanted, whose = run[spot], owner[spot]
+                place = table.find(wanted)
+                hit = place >= 0
+                sums += _sums(whose[hit], place[hit], values.value, len(lengths))
+                owners.append(whose[~hit])
+                others.append(wanted[~hit])
+            whose, wanted = np.concatenate(owners), np.concatenate(others)
+            order = np.argsort(wanted.view(np.uint64))
+            whose, wanted = whose[order], wanted[order]
+            which, cuts = _cuts(wanted, shares)
+            cut = lambda x: [_packed(p) for p in np.split(x, cuts[1:])] if len(which) else []
+            block = (task << 32) + number
+            own = np.concatenate([lengths.astype(float), *sums]).tobytes()
+            first = {"share": block % shares, "keys": b"", "owners": b"", "own": own, "ids": part["id"].tolist()}
+            asked = pd.DataFrame({"share": which, "keys": cut(wanted), "owners": cut(whose), "own": None, "ids": None})
+            yield pd.concat([pd.DataFrame([first]), asked]).assign(block=block)[schema_names]
+
+    schema_names = [field.split()[0] for field in schema.split(", ")]
+
+    def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        keys, worth = _summed(*(found[c].to_numpy() for c in ("key", "value", "word")))
+        table, out = Held(keys), []
+        for r in asked.itertuples():
+            if r.own is None:
+                place, whose = table.find(_unpacked(r.keys, np.int64)), _unpacked(r.owners, np.int32)
                 hit = place >= 0
-                whose, place = owner[spot[hit]], place[hit]
-                sums[0] += np.bincount(whose, values[0][place], len(texts))
-                if not length:  # the root's share of a word learnt from is above that of an unknown one
-                    sums[1] += np.bincount(whose, values[1][place], len(texts))
-                    sums[2] += np.bincount(whose, values[1][place] > 0, len(texts))
-                owners.append(owner[spot[~hit]])
-                others.append(run[spot[~hit]])
-            whose, keys = np.concatenate(owners), np.concatenate(others)
-            order = np.argsort(whose, kind="stable")
-            cuts = np.searchsorted(whose[order], np.arange(1, len(texts)))
-            found = {"id": part["id"], "n_tokens": lengths, "score": sums[0], "base": sums[1], "known": sums[2]}
-            yield pd.DataFrame(found | {"others": np.split(keys[order], cuts)})
-
-    # The text's own sums go with a key of their own, so that one shuffle by key and one by row serve all.
-    scored = rows.select("id", "text").mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id())
-    own = F.col("place") == 0
-    asked = scored.select(
-        "row", "id", "n_tokens", "score", "base", "known",
-        F.posexplode_outer(F.concat(F.array(F.xxhash64("row")), "others")).alias("place", "key"),
-    ).select("row", "key", *[F.when(own, F.col(c)).alias(c) for c in ("id", "n_tokens", "score", "base", "known")])
-    rest = entries.where(F.col("n") < needed).drop("n")
-    own, value, word = F.col("n_tokens").isNotNull(), F.coalesce("value", F.lit(0.0)), F.coalesce("word", F.lit(False))
-    both = asked.join(rest, "key", "left").groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(own, F.col("score")).otherwise(value)).alias("score"),
-        F.sum(F.when(own, F.col("base")).when(word, value).otherwise(0.0)).alias("base"),
-        F.sum(F.when(own, F.col("known")).when(word, 1.0).otherwise(0.0)).alias("known"),
+                texts, which = np.unique(whose[hit], return_inverse=True)
+                sums = np.concatenate(_sums(which, place[hit], worth, len(texts)))
+                out.append((r.block, _packed(texts), sums.tobytes(), None))
+            else:
+                out.append((r.block, b"", r.own, r.ids))
+        return pd.DataFrame(out, columns=["block", "owners", "sums", "ids"])
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        own = part["ids"].notna()
+        ids = part.loc[own, "ids"].iloc[0]
+        n, *sums = np.frombuffer(part.loc[own, "sums"].iloc[0]).reshape(4, -1).copy()
+        for owners, more in zip(part.loc[~own, "owners"], part.loc[~own, "sums"], strict=True):
+            texts = _unpacked(owners, np.int32)  # each once
+            for total_, added in zip(sums, np.frombuffer(more).reshape(3, -1), strict=True):
+                total_[texts] += added
+        score, base, words = sums
+        found = {"n_tokens": n.astype(np.int64), "n_known": words.astype(np.int64)}
+        return pd.DataFrame({"id": pd.Series(list(ids), dtype=object)} | found | {"base": base + n * unknown, "score": score + n * unknown})
+
+    asked = rows.select("id", "text").mapInPandas(ask, schema)
+    share = F.shiftright(F.shiftrightunsigned("key", 32) * shares, 32)
+    rest = entries.where(F.col("n") < needed).select(share.alias("share"), "key", "value", "word")
+    answers = asked.groupBy("share").cogroup(rest.groupBy("share")).applyInPandas(
+        answer, "block long, owners binary, sums binary, ids array<string>"
     )
+    both = answers.groupBy("block").applyInPandas(finish, "id string, n_tokens long, n_known long, base double, score double")
     return both.select(
-        F.col("id").alias(key),
+        F.col("id").cast(frame.schema[key].dataType).alias(key),
         "n_tokens",
-        F.col("known").cast("long").alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("n_tokens") * unknown).alias("base_score"),
-        (F.col("score") + F.col("n_tokens") * unknown).alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )

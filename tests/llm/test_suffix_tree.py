@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ebbtide.llm import suffix_tree
 from ebbtide.llm.jobs import JOBS
 from ebbtide.llm.suffix_tree import score_texts
 from tests.llm.helpers import FOLDER, awkward, needs_tables, table
@@ -132,3 +133,21 @@ def test_rare_contexts_and_words_stay_in_a_large_corpus(spark, frequent):
     got = {r.doc_id: r.score for r in score_texts(frame, "doc_id < 200", gain=2, frequent=frequent).collect()}
     for d, t in docs:
         assert math.isclose(got[d], plain.score(tokens(t), 2), rel_tol=1e-9, abs_tol=1e-9), d
+
+
+def test_what_was_seen_once_is_not_kept(spark, monkeypatch):
+    """Runs of words that were seen once are no rows of any table; large ids beside NULL stay exact."""
+    tables = []
+    save = suffix_tree.saved_and_swept
+    monkeypatch.setattr(suffix_tree, "saved_and_swept", lambda frame: tables.append(save(frame)) or tables[-1])
+    monkeypatch.setattr(suffix_tree, "discard", lambda *frames: None)
+    once = [(2**53 + 1 + d, " ".join(f"w{d}x{k}" for k in range(50))) for d in range(20)]
+    docs = [*once, (None, "to be or not"), (7, "to be or not")]
+    rows = score_texts(spark.createDataFrame(docs, "doc_id long, text string"), "true", gain=0, frequent=5).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == sorted(d or 0 for d, _ in docs)
+    longer = [r for t in tables if "length" in t.columns for r in t.where("length > 0").collect()]
+    assert sorted(r.length for r in longer) == [1] * 4 + [2] * 3 and {r.n for r in longer} == {2}
+    plain = PlainTree([tokens(t) for _, t in docs], 2, 0, 0, 0, 1.0)
+    for r in rows:
+        text = dict(docs)[r.doc_id]
+        assert math.isclose(r.score, plain.score(tokens(text), 2), rel_tol=1e-9)
