@@ -35,8 +35,8 @@ DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 0.0, 0.0, 32.0, 1.0
 LEAST = 2
 #: Entries that every task holds, at most (24 bytes each); the rest are joined.
 FREQUENT = 2_000_000
-#: Tokens that a task counts at a time, and bits of a filter of runs.
-BLOCK, BITS = 2_000_000, 1 << 27
+#: Tokens that a task counts, and that it scores, at a time, and bits of a filter of runs.
+BLOCK, SCORED, BITS = 2_000_000, 400_000, 1 << 27
 #: Key of the end of a text.
 END_WORD = 0
 
@@ -122,7 +122,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first].view(np.uint64), order[first], np.diff(np.r_[first, len(keys)])
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows, tokens and lengths of the texts, some million tokens at a time."""
 
     def block() -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.
     parts: list[tuple[pd.DataFrame, np.ndarray, np.ndarray]] = []
     for rows, texts in chunks(batches):
         parts.append((rows.drop(columns="text"), *_tokens(texts)))
-        if sum(len(keys) for _, keys, _ in parts) >= BLOCK:
+        if sum(len(keys) for _, keys, _ in parts) >= size:
             yield block()
             parts = []
     if parts:
@@ -181,7 +181,7 @@ def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None
     shares = _shares(texts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, keys, sizes in _blocks(batches):
+        for _, keys, sizes in _blocks(batches, BLOCK):
             runs, at = _runs(keys, sizes, max(lengths))
             for length in lengths:
                 if not length:
@@ -360,7 +360,7 @@ def score_texts(
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums over the entries that are here; the other keys go to their shares, a text is its number in the block."""
         table, task = Held(names.value), TaskContext.get().partitionId()
-        for number, (part, keys, lengths) in enumerate(_blocks(batches)):
+        for number, (part, keys, lengths) in enumerate(_blocks(batches, SCORED)):
             runs, at = _runs(keys, lengths, depth)
             owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             sums, owners, others = np.zeros((3, len(lengths))), [], []
