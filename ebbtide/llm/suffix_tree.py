@@ -34,9 +34,9 @@ DEPTH, CONTEXT_SHARE, NEXT_SHARE, GAIN, SMOOTHING = 2, 0.0, 0.0, 32.0, 1.0
 #: Least count of a context and of a word after it, whatever the shares.
 LEAST = 2
 #: Entries that every task holds, at most (24 bytes each); the rest are joined.
-FREQUENT = 2_000_000
+FREQUENT = 1_000_000
 #: Tokens that a task counts, and that it scores, at a time, and bits of a filter of runs.
-BLOCK, SCORED, BITS = 2_000_000, 400_000, 1 << 27
+BLOCK, SCORED, BITS = 2_000_000, 150_000, 1 << 27
 #: Key of the end of a text.
 END_WORD = 0
 
@@ -51,7 +51,8 @@ class Held:
 
     def __init__(self, keys: np.ndarray):
         self.keys, self.bits = keys, max(1, len(keys).bit_length())
-        self.starts = np.searchsorted(self._range(keys), np.arange((1 << self.bits) + 1)).astype(np.int32)
+        ranges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.starts = np.append(np.searchsorted(keys.view(np.uint64), ranges), len(keys)).astype(np.int32)
 
     def _range(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).view(np.int64)
