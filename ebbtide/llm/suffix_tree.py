@@ -388,16 +388,21 @@ def score_texts(
 
     def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         keys, worth = _summed(*(found[c].to_numpy() for c in ("key", "value", "word")))
-        table, out = Held(keys), []
-        for r in asked.itertuples():
-            if r.own is None:
-                place, whose = table.find(_unpacked(r.keys, np.int64)), _unpacked(r.owners, np.int32)
-                hit = place >= 0
-                texts, which = np.unique(whose[hit], return_inverse=True)
-                sums = np.concatenate(_sums(which, place[hit], worth, len(texts)))
-                out.append((r.block, _packed(texts), sums.tobytes(), None))
-            else:
-                out.append((r.block, b"", r.own, r.ids))
+        own = asked["own"].notna()
+        out = [(r.block, b"", r.own, r.ids) for r in asked[own].itertuples()]
+        asked = asked[~own]
+        wanted = [_unpacked(b, np.int64) for b in asked["keys"]]
+        if wanted:
+            row = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]) << 32
+            row += np.concatenate([_unpacked(b, np.int32) for b in asked["owners"]])
+            place = Held(keys).find(np.concatenate(wanted))
+            row, place = row[place >= 0], place[place >= 0]
+            texts, which = np.unique(row, return_inverse=True)
+            sums = np.stack(_sums(which, place, worth, len(texts)))
+            cuts = np.searchsorted(texts >> 32, np.arange(len(wanted) + 1))
+            owners = (texts & 0xFFFFFFFF).astype(np.int32)
+            for block, low, high in zip(asked["block"], cuts, cuts[1:], strict=False):
+                out.append((block, _packed(owners[low:high]), sums[:, low:high].tobytes(), None))
         return pd.DataFrame(out, columns=["block", "owners", "sums", "ids"])
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:
