@@ -20,13 +20,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import discard, saved_and_swept
-from ebbtide.llm.symbols import chunks
+from ebbtide.llm.symbols import CHUNK
 from ebbtide.session import ship_package
 
 #: Longest context in words, least shares of a context and of a word after it, least gain in bits, smoothing weight.
@@ -37,6 +39,8 @@ LEAST = 2
 FREQUENT = 1_000_000
 #: Tokens that a task counts, and that it scores, at a time, and bits of a filter of runs.
 BLOCK, SCORED, BITS = 2_000_000, 150_000, 1 << 27
+#: Bits of a key by which the runs of a block are counted part after part.
+PART_BITS = 4
 #: Key of the end of a text.
 END_WORD = 0
 
@@ -96,9 +100,11 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _joined(shorter: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Key of a run of words from that of the run without its first word and that of the run without its last."""
     mixed = shorter.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return (mixed + context.view(np.uint64)).view(np.int64)
+    for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        mixed ^= mixed >> np.uint64(shift)
+        mixed *= np.uint64(factor)
+    mixed += context.view(np.uint64)
+    return mixed.view(np.int64)
 
 
 def _runs(keys: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -106,7 +112,8 @@ def _runs(keys: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[list[np.nd
 
     A run of ``d + 1`` words is there from place ``d`` on.
     """
-    at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.arange(len(keys), dtype=np.int32)
+    at -= np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
     runs = [keys]
     for _ in range(depth):
         longer = np.zeros(len(keys), np.int64)
@@ -123,21 +130,31 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first].view(np.uint64), order[first], np.diff(np.r_[first, len(keys)])
 
 
-def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Rows, tokens and lengths of the texts, some million tokens at a time."""
+def _put_together(parts: list[tuple[list, np.ndarray, np.ndarray]]) -> tuple[list, np.ndarray, np.ndarray]:
+    ids, keys, lengths = zip(*parts, strict=True)
+    parts.clear()
+    return [i for some in ids for i in some], np.concatenate(keys), np.concatenate(lengths)
 
-    def block() -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        rows, keys, lengths = zip(*parts, strict=True)
-        return pd.concat(rows), np.concatenate(keys), np.concatenate(lengths)
 
-    parts: list[tuple[pd.DataFrame, np.ndarray, np.ndarray]] = []
-    for rows, texts in chunks(batches):
-        parts.append((rows.drop(columns="text"), *_tokens(texts)))
-        if sum(len(keys) for _, keys, _ in parts) >= size:
-            yield block()
-            parts = []
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids (if there are any), tokens and lengths of the texts, some million tokens at a time.
+
+    Texts and words become objects ``CHUNK`` bytes at a time; the others of a batch stay as they came.
+    """
+    parts: list[tuple[list, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column("text").cast(pa.binary())
+        ids = batch.column("id").to_pylist() if "id" in batch.schema.names else []
+        bins = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
+        edges = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), len(texts)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            parts.append((ids[low:high], *_tokens([(t or b"").lower() for t in texts[low:high].to_pylist()])))
+            if sum(len(keys) for _, keys, _ in parts) >= size:
+                yield _put_together(parts)
     if parts:
-        yield block()
+        yield _put_together(parts)
 
 
 def _shares(frame: DataFrame) -> int:
@@ -152,6 +169,12 @@ def _cuts(ordered: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
     return which, cuts
 
 
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the parts of ``values`` that begin at ``cuts``."""
+    edges = (np.append(cuts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(edges), pa.py_buffer(values)])
+
+
 def run_filter(keys: DataFrame) -> Broadcast:
     """A bitmap of bounded size that has the bit of each ``key``; other keys may share a bit."""
     place = F.col("key").bitwiseAND(F.lit(BITS - 1)) + 1
@@ -172,6 +195,34 @@ def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
+def _counted(
+    keys: np.ndarray, sizes: np.ndarray, lengths: Sequence[int], known: np.ndarray | None, shares: int
+) -> Iterator[pa.RecordBatch]:
+    """Distinct runs of a block as arrays per share, a part of all keys at a time."""
+    runs, at = _runs(keys, sizes, max(lengths))
+    for length in lengths:
+        part = (runs[length].view(np.uint64) >> np.uint64(64 - PART_BITS)).astype(np.uint8)
+        part[at < length] = 1 << PART_BITS
+        for number in range(1 << PART_BITS):
+            spot = np.flatnonzero(part == number)
+            if length and known is not None:
+                spot = spot[_may(known, runs[length - 1][spot])]
+                spot = spot[_may(known, runs[length - 1][spot - 1])]
+            found, first, n = _distinct(runs[length][spot])
+            which, cuts = _cuts(found, shares)
+            if not len(which):
+                continue
+            if length:
+                context = _binaries(runs[length - 1][spot[first] - 1], cuts)
+                shorter = _binaries(runs[length - 1][spot[first]], cuts)
+            else:
+                context, shorter = pa.array([b""] * len(cuts), pa.binary()), _binaries(found, cuts)
+            yield pa.record_batch(
+                [pa.array(np.full(len(which), length, np.int32)), pa.array(which), context, shorter, _binaries(n.astype(np.int64), cuts)],
+                ["length", "share", "context", "shorter", "n"],
+            )
+
+
 def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None) -> DataFrame:
     """Runs of ``length + 1`` words of ``texts`` (``text``): ``length``, ``key``, ``context``, ``shorter``, ``n``.
 
@@ -181,31 +232,9 @@ def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None
     """
     shares = _shares(texts)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, sizes in _blocks(batches, BLOCK):
-            runs, at = _runs(keys, sizes, max(lengths))
-            for length in lengths:
-                if not length:
-                    found, _, n = _distinct(runs[0])
-                    context = shorter = found.view(np.int64)
-                else:
-                    spot = np.flatnonzero(at >= length)
-                    if known is not None:
-                        spot = spot[_may(known.value, runs[length - 1][spot])]
-                        spot = spot[_may(known.value, runs[length - 1][spot - 1])]
-                    found, first, n = _distinct(runs[length][spot])
-                    context, shorter = runs[length - 1][spot[first] - 1], runs[length - 1][spot[first]]
-                which, cuts = _cuts(found, shares)
-                cut = lambda x: [p.tobytes() for p in np.split(x, cuts[1:])] if len(which) else []
-                yield pd.DataFrame(
-                    {
-                        "length": length,
-                        "share": which,
-                        "context": cut(context if length else context[:0]),
-                        "shorter": cut(shorter),
-                        "n": cut(n.astype(np.int64)),
-                    }
-                )
+            yield from _counted(keys, sizes, lengths, None if known is None else known.value, shares)
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         length = int(part["length"].iloc[0])
@@ -220,7 +249,7 @@ def count_runs(texts: DataFrame, lengths: Sequence[int], known: Broadcast | None
         ends = {"context": context[from_], "shorter": shorter[from_]} if length else {"context": 0, "shorter": 0}
         return pd.DataFrame({"length": length, "key": key[first[often]]} | ends | {"n": n[often]})
 
-    dealt = texts.select("text").mapInPandas(count, "length int, share long, context binary, shorter binary, n binary")
+    dealt = texts.select("text").mapInArrow(count, "length int, share long, context binary, shorter binary, n binary")
     return dealt.groupBy("length", "share").applyInPandas(add, "length int, key long, context long, shorter long, n long")
 
 
@@ -358,10 +387,10 @@ def score_texts(
     known, shares = run_filter(entries), _shares(frame)
     schema = "share long, block long, keys binary, owners binary, own binary, ids array<string>"
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the entries that are here; the other keys go to their shares, a text is its number in the block."""
         table, task = Held(names.value), TaskContext.get().partitionId()
-        for number, (part, keys, lengths) in enumerate(_blocks(batches, SCORED)):
+        for number, (ids, keys, lengths) in enumerate(_blocks(batches, SCORED)):
             runs, at = _runs(keys, lengths, depth)
             owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             sums, owners, others = np.zeros((3, len(lengths))), [], []
@@ -380,11 +409,13 @@ def score_texts(
             cut = lambda x: [_packed(p) for p in np.split(x, cuts[1:])] if len(which) else []
             block = (task << 32) + number
             own = np.concatenate([lengths.astype(float), *sums]).tobytes()
-            first = {"share": block % shares, "keys": b"", "owners": b"", "own": own, "ids": part["id"].tolist()}
-            asked = pd.DataFrame({"share": which, "keys": cut(wanted), "owners": cut(whose), "own": None, "ids": None})
-            yield pd.concat([pd.DataFrame([first]), asked]).assign(block=block)[schema_names]
+            yield pa.RecordBatch.from_pylist([{"share": block % shares, "block": block, "keys": b"", "owners": b"", "own": own, "ids": ids}], kinds)
+            asked = {"share": which, "block": np.full(len(which), block), "keys": cut(wanted), "owners": cut(whose)}
+            yield pa.RecordBatch.from_pydict(asked | {"own": [None] * len(which), "ids": [None] * len(which)}, kinds)
 
-    schema_names = [field.split()[0] for field in schema.split(", ")]
+    kinds = pa.schema(
+        [("share", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("own", pa.binary()), ("ids", pa.list_(pa.string()))]
+    )
 
     def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         keys, worth = _summed(*(found[c].to_numpy() for c in ("key", "value", "word")))
@@ -417,7 +448,7 @@ def score_texts(
         found = {"n_tokens": n.astype(np.int64), "n_known": words.astype(np.int64)}
         return pd.DataFrame({"id": pd.Series(list(ids), dtype=object)} | found | {"base": base + n * unknown, "score": score + n * unknown})
 
-    asked = rows.select("id", "text").mapInPandas(ask, schema)
+    asked = rows.select("id", "text").mapInArrow(ask, schema)
     share = F.shiftright(F.shiftrightunsigned("key", 32) * shares, 32)
     rest = entries.where(F.col("n") < needed).select(share.alias("share"), "key", "value", "word")
     answers = asked.groupBy("share").cogroup(rest.groupBy("share")).applyInPandas(

@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ebbtide.llm import suffix_tree
@@ -151,3 +153,30 @@ def test_what_was_seen_once_is_not_kept(spark, monkeypatch):
     for r in rows:
         text = dict(docs)[r.doc_id]
         assert math.isclose(r.score, plain.score(tokens(text), 2), rel_tol=1e-9)
+
+
+def test_a_task_makes_objects_of_a_few_texts_at_a_time():
+    """A batch of 50 MB and the counts of its runs take little beside it, and go out in small parts."""
+    rng = np.random.default_rng(0)
+    words = [f"{k:x}".rjust(32, "w") for k in range(50_000)]
+    batch = pa.record_batch([pa.array([" ".join(words[k] for k in rng.integers(0, 50_000, 400)) for _ in range(4_000)])], ["text"])
+    seen, largest, before = Counter(), 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for _, keys, sizes in suffix_tree._blocks(iter([batch]), 2_000_000):
+        for part in suffix_tree._counted(keys, sizes, [0, 1], None, 30):
+            largest = max(largest, part.nbytes)
+            for length, n in zip(part["length"].to_pylist(), part["n"].to_pylist(), strict=True):
+                seen[length] += int(np.frombuffer(n, np.int64).sum())
+    peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert seen == {0: 4_000 * 401, 1: 4_000 * 400}
+    assert peak < 120e6 and largest < 5e6
+
+
+def test_blocks_read_null_empty_and_long_texts():
+    texts = ["A b", None, "", "c " * 2_000_000, "é B\x0b"]
+    batch = pa.record_batch([pa.array([str(k) for k in range(5)]), pa.array(texts)], ["id", "text"])
+    blocks = list(suffix_tree._blocks(iter([batch.slice(0, 0), batch, batch.slice(4)]), 3))
+    assert [i for ids, _, _ in blocks for i in ids] == ["0", "1", "2", "3", "4", "4"]
+    assert np.concatenate([n for _, _, n in blocks]).tolist() == [3, 1, 1, 2_000_001, 3, 3]
+    assert np.array_equal(np.concatenate([k for _, k, _ in blocks])[[0, 1, 2]], suffix_tree.word_keys([b"a", b"b", b"x"])[[0, 1]].tolist() + [0])
