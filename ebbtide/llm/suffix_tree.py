@@ -16,13 +16,13 @@ entries are Spark tables that grow with the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,42 +38,25 @@ LEAST = 2
 #: Entries that every task holds, at most (24 bytes each); the rest are joined.
 FREQUENT = 1_000_000
 #: Tokens that a task counts, and that it scores, at a time, and bits of a filter of runs.
-BLOCK, SCORED, BITS = 2_000_000, 150_000, 1 << 27
+BLOCK, SCORED, BITS = 2_000_000, 500_000, 1 << 27
 #: Bits of a key by which the runs of a block are counted part after part.
 PART_BITS = 4
 #: Key of the end of a text.
 END_WORD = 0
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
-    return np.where(keys == END_WORD, 1, keys)
+def word_keys(words: Iterable[bytes], count: int = -1) -> np.ndarray:
+    keys = pd.util.hash_array(np.fromiter(words, object, count), categorize=False).view(np.int64)
+    keys[keys == END_WORD] = 1
+    return keys
 
 
-class Held:
-    """Sorted distinct keys with the place of the first key of each of many equal ranges."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.bits = keys, max(1, len(keys).bit_length())
-        ranges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.starts = np.append(np.searchsorted(keys.view(np.uint64), ranges), len(keys)).astype(np.int32)
-
-    def _range(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted key, -1 if it is not there."""
-        part = self._range(wanted)
-        place, end = self.starts[part], self.starts[part + 1]
-        out = np.full(len(wanted), -1, np.int64)
-        open_ = np.flatnonzero(place < end)
-        while len(open_):
-            hit = self.keys[place[open_]] == wanted[open_]
-            out[open_[hit]] = place[open_[hit]]
-            open_ = open_[~hit]
-            place[open_] += 1
-            open_ = open_[place[open_] < end[open_]]
-        return out
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ``wanted`` keys are there, and the places of those; both sides in the order of their unsigned values."""
+    place = np.searchsorted(keys.view(np.uint64), wanted.view(np.uint64))
+    hit = place < len(keys)
+    hit[hit] = keys[place[hit]] == wanted[hit]
+    return hit, place[hit]
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -93,7 +76,7 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.full(int(lengths.sum()), END_WORD, np.int64)
     body = np.ones(len(keys), bool)
     body[np.cumsum(lengths) - 1] = False
-    keys[body] = word_keys([w for words in split for w in words])
+    keys[body] = word_keys(chain.from_iterable(split), len(keys) - len(lengths))
     return keys, lengths
 
 
@@ -334,8 +317,10 @@ def learn_entries(
 
 def _summed(key: np.ndarray, value: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of entries in the order of their unsigned values, and their values: for the score, for the root."""
-    keys, which = np.unique(key.view(np.uint64), return_inverse=True)
-    return keys.view(np.int64), np.stack([np.bincount(which, w, len(keys)) for w in (value, np.where(word, value, 0.0))])
+    order = np.argsort(key.view(np.uint64))
+    ordered = key[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(key)])
+    return ordered[first], np.stack([np.add.reduceat(w[order], first) for w in (value, np.where(word, value, 0.0))])
 
 
 def _sums(owner: np.ndarray, place: np.ndarray, values: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -389,22 +374,18 @@ def score_texts(
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the entries that are here; the other keys go to their shares, a text is its number in the block."""
-        table, task = Held(names.value), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for number, (ids, keys, lengths) in enumerate(_blocks(batches, SCORED)):
             runs, at = _runs(keys, lengths, depth)
             owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-            sums, owners, others = np.zeros((3, len(lengths))), [], []
-            for length, run in enumerate(runs):
-                spot = np.flatnonzero((at >= length) & _may(known.value, run))
-                wanted, whose = run[spot], owner[spot]
-                place = table.find(wanted)
-                hit = place >= 0
-                sums += _sums(whose[hit], place[hit], values.value, len(lengths))
-                owners.append(whose[~hit])
-                others.append(wanted[~hit])
-            whose, wanted = np.concatenate(owners), np.concatenate(others)
+            spots = [np.flatnonzero((at >= length) & _may(known.value, run)) for length, run in enumerate(runs)]
+            wanted = np.concatenate([run[spot] for run, spot in zip(runs, spots, strict=True)])
+            whose = np.concatenate([owner[spot] for spot in spots])
             order = np.argsort(wanted.view(np.uint64))
             whose, wanted = whose[order], wanted[order]
+            hit, place = _found(names.value, wanted)
+            sums = _sums(whose[hit], place, values.value, len(lengths))
+            whose, wanted = whose[~hit], wanted[~hit]
             which, cuts = _cuts(wanted, shares)
             cut = lambda x: [_packed(p) for p in np.split(x, cuts[1:])] if len(which) else []
             block = (task << 32) + number
@@ -419,21 +400,16 @@ def score_texts(
 
     def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         keys, worth = _summed(*(found[c].to_numpy() for c in ("key", "value", "word")))
-        own = asked["own"].notna()
-        out = [(r.block, b"", r.own, r.ids) for r in asked[own].itertuples()]
-        asked = asked[~own]
-        wanted = [_unpacked(b, np.int64) for b in asked["keys"]]
-        if wanted:
-            row = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]) << 32
-            row += np.concatenate([_unpacked(b, np.int32) for b in asked["owners"]])
-            place = Held(keys).find(np.concatenate(wanted))
-            row, place = row[place >= 0], place[place >= 0]
-            texts, which = np.unique(row, return_inverse=True)
-            sums = np.stack(_sums(which, place, worth, len(texts)))
-            cuts = np.searchsorted(texts >> 32, np.arange(len(wanted) + 1))
-            owners = (texts & 0xFFFFFFFF).astype(np.int32)
-            for block, low, high in zip(asked["block"], cuts, cuts[1:], strict=False):
-                out.append((block, _packed(owners[low:high]), sums[:, low:high].tobytes(), None))
+        out = []
+        for r in asked.itertuples():
+            if r.own is not None:
+                out.append((r.block, b"", r.own, r.ids))
+                continue
+            hit, place = _found(keys, _unpacked(r.keys, np.int64))
+            owners = _unpacked(r.owners, np.int32)[hit]
+            texts = np.flatnonzero(np.bincount(owners))
+            sums = np.stack(_sums(owners, place, worth, texts[-1] + 1 if len(texts) else 0))[:, texts]
+            out.append((r.block, _packed(texts.astype(np.int32)), sums.tobytes(), None))
         return pd.DataFrame(out, columns=["block", "owners", "sums", "ids"])
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:

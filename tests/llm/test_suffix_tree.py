@@ -180,3 +180,19 @@ def test_blocks_read_null_empty_and_long_texts():
     assert [i for ids, _, _ in blocks for i in ids] == ["0", "1", "2", "3", "4", "4"]
     assert np.concatenate([n for _, _, n in blocks]).tolist() == [3, 1, 1, 2_000_001, 3, 3]
     assert np.array_equal(np.concatenate([k for _, k, _ in blocks])[[0, 1, 2]], suffix_tree.word_keys([b"a", b"b", b"x"])[[0, 1]].tolist() + [0])
+
+
+def test_sorted_keys_are_found_in_unsigned_order():
+    keys = np.array([1, 5, 2**63 - 1, -(2**63), -7, -1], np.int64)
+    wanted = np.array([0, 1, 1, 6, -(2**63), -8, -7, -1, -1], np.int64)
+    hit, place = suffix_tree._found(keys, wanted)
+    assert hit.tolist() == [False, True, True, False, True, False, True, True, True] and place.tolist() == [0, 0, 3, 4, 5, 5]
+    assert not suffix_tree._found(keys[:0], wanted)[0].any() and not suffix_tree._found(keys[:2], wanted)[0][3:].any()
+    assert suffix_tree._found(keys, wanted[:0])[1].tolist() == []
+
+
+def test_words_have_keys_of_their_own():
+    words = [b"a", b"a\x00", b"a\x00b", b"\xff", "é".encode(), b"w" * 100_000, b"w" * 100_001]
+    keys = suffix_tree.word_keys(iter(words * 2), 14)
+    assert len(set(keys.tolist())) == 7 and keys[:7].tolist() == keys[7:].tolist() and suffix_tree.END_WORD not in keys
+    assert len(suffix_tree.word_keys(iter([]), 0)) == 0
