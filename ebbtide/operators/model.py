@@ -10,13 +10,14 @@ import math
 import random
 import statistics
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,8 @@ SEARCH_SPACE = {
 RUNGS, SURVIVORS = (0.25, 0.5, 1.0), 1 / 3
 #: Bins of a number in a binned table; 0 is a missing one.
 BINS = 64
+#: Rows of a task that grows forests: fewer tasks than three a core only below the first, more only above the second.
+LEAST_ROWS, MOST_ROWS = 10_000, 500_000
 
 
 def _string_columns(frame: DataFrame, features: Sequence[str]) -> list[str]:
@@ -339,44 +342,84 @@ def permutation_importance(model: PipelineModel, frame: DataFrame, target: str,
     )
 
 
+def _words(features: Sequence[str]) -> list[Column]:
+    """Bins of a row, eight to a whole number: what a round lends is a few numbers instead of a vector."""
+    parts = [[F.shiftleft(F.col(c).cast("long"), 8 * k) for k, c in enumerate(features[i : i + 8])] for i in range(0, len(features), 8)]
+    return [reduce(Column.bitwiseOR, part) for part in parts]
+
+
+def _bin_at(words: Sequence[str], at: int) -> Column:
+    return F.shiftrightunsigned(F.col(words[at // 8]), 8 * (at % 8)).bitwiseAND(F.lit(255)).cast("double")
+
+
+def with_lenders(rows: DataFrame, n: int, shifts: Sequence[int], words: Sequence[str]) -> DataFrame:
+    """Label and words of every row beside, per shift, the words of the row that many positions before it.
+
+    A row is sent to its own position and to one per shift, and all meet in a single shuffle, whatever the number of
+    shifts.  Positions are spread over the tasks evenly and stand in order there.
+    """
+    slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, min(math.ceil(n / LEAST_ROWS), max(3 * slots, math.ceil(n / MOST_ROWS))))
+    places = [F.struct(((F.col("_row") + shift) % n).alias("_at"), F.lit(k).alias("_turn")) for k, shift in enumerate([0, *shifts])]
+    sent = rows.select(F.inline(F.array(*places)), LABEL, *words).repartition(parts, "_at")
+    lent = [F.max(F.when(F.col("_turn") == k, F.col(w))).alias(f"{w}_{k}") for k in range(len(shifts) + 1) for w in words]
+    own = F.max(F.when(F.col("_turn") == 0, F.col(LABEL))).alias(LABEL)
+    return sent.groupBy("_at").agg(own, *lent).sortWithinPartitions("_at").drop("_at")
+
+
 def shadow_selection(
     frame: DataFrame, target: str, features: Sequence[str], rounds: int = 20, alpha: float = 0.05,
-    trees: int = 50, depth: int = 6,
+    trees: int = 50, depth: int = 6, parallelism: int = 2,
 ) -> DataFrame:
     """Features that beat the best permuted copy more often than chance would let them.
 
     Rows are binned once (a missing number has a bin of its own, so no row is dropped).  Each round sets beside a
     row the whole matrix row of another one: the borrowed values are the shadow features.  After each round a
     binomial test on both sides decides features; a rejected one leaves the forest, and the rounds end when all
-    are decided.  ``SELECTED`` is true for the accepted; ``ROUNDS`` is how many a feature took part in.
+    are decided.  Rounds before the next one that could decide a feature do not depend on each other: they borrow in
+    one shuffle and their forests grow side by side.  ``SELECTED`` is true for the accepted; ``ROUNDS`` is how many a
+    feature took part in.
     """
     texts = set(_string_columns(frame, features))
     if texts:
         raise ValueError(f"numbers only: {sorted(texts)}")
-    packed = VectorAssembler(inputCols=list(features), outputCol="real").transform(bin_table(frame, target, features))
-    rows, n = numbered_rows(packed.select(*ROW_ORDER, LABEL, "real"))
+    words = [f"_w{i}" for i in range(math.ceil(len(features) / 8))]
+    packed = bin_table(frame, target, features).select(*ROW_ORDER, LABEL, *[w.alias(c) for w, c in zip(_words(features), words, strict=True)])
+    rows, n = numbered_rows(packed)
     bar = alpha / len(features)
     hits, played = dict.fromkeys(features, 0), dict.fromkeys(features, 0)
     accepted: set[str] = set()
     inside = list(range(len(features)))
     rng = random.Random(SEED)
+    shifts = [rng.randrange(1, max(2, n)) for _ in range(rounds)]
+
+    def importances(paired: DataFrame, turn: int, lender: int) -> Sequence[float]:
+        bins = [_bin_at([f"{w}_{k}" for w in words], at).alias(f"{side}{at}") for side, k in (("r", 0), ("s", lender)) for at in inside]
+        sides = VectorAssembler(inputCols=[f"{side}{at}" for side in "rs" for at in inside], outputCol=FEATURES)
+        forest = RandomForestClassifier(
+            labelCol=LABEL, featuresCol=FEATURES, numTrees=trees, maxDepth=depth, maxBins=BINS, seed=SEED + turn
+        )
+        return forest.fit(sides.transform(paired.select(LABEL, *bins)).select(LABEL, FEATURES)).featureImportances.toArray()
+
+    turn = 0
     try:
-        for turn in range(rounds):
-            paired = with_partner(rows, n, rng.randrange(1, max(2, n)), ["real"], "__s")
-            slices = [VectorSlicer(inputCol=c, outputCol=f"{c}__in", indices=inside) for c in ("real", "real__s")]
-            sides = VectorAssembler(inputCols=["real__in", "real__s__in"], outputCol=FEATURES)
-            forest = RandomForestClassifier(
-                labelCol=LABEL, featuresCol=FEATURES, numTrees=trees, maxDepth=depth, maxBins=BINS, seed=SEED + turn
-            )
-            weights = Pipeline(stages=[*slices, sides, forest]).fit(paired).stages[-1].featureImportances.toArray()
-            best_shadow = max(weights[len(inside):])
-            for k, at in enumerate(inside):
-                hits[features[at]] += int(weights[k] > best_shadow)
-                played[features[at]] += 1
+        while turn < rounds:
+            last = min(rounds, turn + min(_undecided_for(hits[features[k]], played[features[k]], features[k] in accepted, bar, rounds) for k in inside))
+            paired = with_lenders(rows, n, shifts[turn:last], words).persist()
+            try:
+                found = _in_parallel(frame.sparkSession, lambda t, p=paired, at=turn: importances(p, t, t - at + 1), range(turn, last), parallelism)
+            finally:
+                paired.unpersist()
+            for weights in found:
+                best_shadow = max(weights[len(inside):])
+                for k, at in enumerate(inside):
+                    hits[features[at]] += int(weights[k] > best_shadow)
+                    played[features[at]] += 1
             accepted |= {c for c in features if at_least(hits[c], played[c]) <= bar}
             inside = [k for k in inside if at_least(played[features[k]] - hits[features[k]], played[features[k]]) > bar]
             if all(features[k] in accepted for k in inside):
                 break
+            turn = last
     finally:
         rows.unpersist()
     found = [(c, hits[c], played[c], c in accepted) for c in features]
@@ -384,6 +427,14 @@ def shadow_selection(
     return frame.sparkSession.createDataFrame(found, schema)
 
 
+def _undecided_for(hits: int, played: int, accepted: bool, bar: float, most: int) -> int:
+    """Rounds until the first after which a feature could be rejected or, unless it is yet, accepted."""
+    def may(m: int) -> bool:
+        return at_least(played - hits + m, played + m) <= bar or (not accepted and at_least(hits + m, played + m) <= bar)
+
+    return next((m for m in range(1, most) if may(m)), most)
+
+
 def at_least(hits: int, rounds: int) -> float:
     """Chance of at least this many successes in fair coin tosses."""
     return sum(math.comb(rounds, k) for k in range(hits, rounds + 1)) / 2**rounds

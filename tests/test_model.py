@@ -60,6 +60,44 @@ def test_shadow_selection(rows):
     assert model.at_least(6, 6) == 1 / 64
 
 
+def test_shadow_rounds_share_a_shuffle(rows, monkeypatch):
+    """Forests read cached rows: no round joins or shuffles its rows again for each pass of its forest."""
+    plans, fit = [], model.RandomForestClassifier.fit
+
+    def record(self, frame, *args):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString().partition("InMemoryRelation"))
+        return fit(self, frame, *args)
+
+    monkeypatch.setattr(model.RandomForestClassifier, "fit", record)
+    model.shadow_selection(rows, "CHURN", ["FF_SIGNAL", "FF_NOISE"], rounds=2, trees=2, depth=2)
+    assert len(plans) == 2 and all(cached and "Join" not in above and "Repartition" not in above for above, cached, _ in plans)
+
+
+def test_lenders_stand_their_shift_before(spark):
+    found = [f"W{i}" for i in range(10)]
+    rows = spark.createDataFrame([(k, k % 2 * 1.0, *[(7 * k + i) % 256 for i in range(10)]) for k in range(50)], ["_row", "label", *found])
+    words = [w.alias(f"_w{i}") for i, w in enumerate(model._words(found))]
+    paired = model.with_lenders(rows.select("_row", "label", *words), 50, [1, 49, 20], ["_w0", "_w1"])
+    bins = [model._bin_at([f"_w{i}_{k}" for i in range(2)], at) for k in range(4) for at in range(10)]
+    expected = [
+        (k % 2 * 1.0, *[float((7 * ((k - shift) % 50) + i) % 256) for shift in (0, 1, 49, 20) for i in range(10)])
+        for k in range(50)
+    ]
+    assert [tuple(r) for r in paired.select("label", *bins).collect()] == expected
+
+
+def test_rounds_stand_alone_until_one_could_decide():
+    bar = 0.05 / 11
+    assert model._undecided_for(0, 0, False, bar, 20) == 8 and model._undecided_for(7, 8, False, bar, 20) == 4
+    for hits, played, accepted in [(0, 0, False), (7, 8, False), (1, 9, False), (8, 8, True), (5, 10, False)]:
+        m = model._undecided_for(hits, played, accepted, bar, 20)
+        for more in range(m):
+            for won in range(more + 1):
+                lost = played + more - hits - won
+                assert model.at_least(lost, played + more) > bar
+                assert accepted or model.at_least(hits + won, played + more) > bar
+
+
 def test_cross_validation_and_search(rows):
     row = model.cv_auc(rows, "CHURN", ["FF_SIGNAL"], 3, model.classifier({"maxIter": 2, "maxDepth": 2})).first()
     assert row.N_FOLDS == 3 and row.MEAN_AUC > 0.8 and 0 <= row.STD_AUC < 0.2
