@@ -49,7 +49,7 @@ SEARCH_SPACE = {
 RUNGS, SURVIVORS = (0.25, 0.5, 1.0), 1 / 3
 #: Bins of a number in a binned table; 0 is a missing one.
 BINS = 64
-#: Rows of a task that grows forests: fewer tasks than three a core only below the first, more only above the second.
+#: Rows of a task that grows forests: fewer tasks than two a core only below the first, more only above the second.
 LEAST_ROWS, MOST_ROWS = 10_000, 500_000
 
 
@@ -150,6 +150,17 @@ def _fold_order(frame: DataFrame) -> list:
     return [F.xxhash64(*ROW_ORDER, F.lit(SEED)), *[F.col(c) for c in ROW_ORDER]]
 
 
+def count_below(value: Column, bounds: Sequence[float]) -> Column:
+    """How many of the ascending bounds are below the value, by steps of a root's length and then one by one."""
+    bounds = sorted(bounds, key=lambda b: (math.isnan(b), b))  # as Spark orders numbers
+    if not bounds:
+        return F.lit(0)
+    step = math.ceil(math.sqrt(len(bounds)))
+    cuts, marks = F.array(*map(F.lit, bounds)), bounds[step - 1 :: step]
+    passed = F.size(F.filter(F.array(*map(F.lit, marks)), lambda b: b < value)) * step
+    return passed + F.size(F.filter(F.slice(cuts, passed + 1, step), lambda b: b < value))
+
+
 def bin_table(frame: DataFrame, target: str, features: Sequence[str], bins: int = BINS) -> DataFrame:
     """Keys, label and features as bin numbers, written once: every fold, draw and round reads this table.
 
@@ -166,8 +177,7 @@ def bin_table(frame: DataFrame, target: str, features: Sequence[str], bins: int
     def place(c: str) -> Column:
         bounds = sorted(set(cuts[c] or []))
         value = F.col(c).cast("double")
-        below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
-        return F.when(value.isNull(), 0).otherwise(below + 1).cast("short").alias(c)
+        return F.when(value.isNull(), 0).otherwise(count_below(value, bounds) + 1).cast("short").alias(c)
 
     if texts:
         indexer = StringIndexer(inputCols=texts, outputCols=[f"{c}__i" for c in texts], handleInvalid="keep").fit(rows)
@@ -359,7 +369,7 @@ def with_lenders(rows: DataFrame, n: int, shifts: Sequence[int], words: Sequence
     shifts.  Positions are spread over the tasks evenly and stand in order there.
     """
     slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    parts = max(1, min(math.ceil(n / LEAST_ROWS), max(3 * slots, math.ceil(n / MOST_ROWS))))
+    parts = max(1, min(math.ceil(n / LEAST_ROWS), max(2 * slots, math.ceil(n / MOST_ROWS))))
     places = [F.struct(((F.col("_row") + shift) % n).alias("_at"), F.lit(k).alias("_turn")) for k, shift in enumerate([0, *shifts])]
     sent = rows.select(F.inline(F.array(*places)), LABEL, *words).repartition(parts, "_at")
     lent = [F.max(F.when(F.col("_turn") == k, F.col(w))).alias(f"{w}_{k}") for k in range(len(shifts) + 1) for w in words]
@@ -369,7 +379,7 @@ def with_lenders(rows: DataFrame, n: int, shifts: Sequence[int], words: Sequence
 
 def shadow_selection(
     frame: DataFrame, target: str, features: Sequence[str], rounds: int = 20, alpha: float = 0.05,
-    trees: int = 50, depth: int = 6, parallelism: int = 2,
+    trees: int = 50, depth: int = 6, parallelism: int = 3,
 ) -> DataFrame:
     """Features that beat the best permuted copy more often than chance would let them.
 

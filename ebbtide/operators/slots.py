@@ -90,6 +90,15 @@ def cut_bands(windows: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [b for b in bands if any(low <= b[0] and b[1] <= high for low, high in windows)]
 
 
+def innermost(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that hold no other one: a row inside such a span is in all spans around it.
+
+    The condition on presence must stay short: Java does not compile a method of over 8,000 bytes of code.
+    """
+    spans = list(dict.fromkeys(spans))
+    return [s for s in spans if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in spans)]
+
+
 class _Bands:
     """Hands out one named column per (aggregate, band) and combines them into windows.
 
@@ -234,7 +243,7 @@ def sliding_rows(
         columns += [f"{amount} AS `{label.amount}`", f"{amount} < {INACTIVE_BELOW} AS `{label.flag}`"]
     # with a row at the scenario's own slot, a cumulative window is never empty
     tested = asked if filled else [(0, 0), *(spans[key] for key in windows if key[1] == "only"), *label_spans]
-    keep = [f"{bands.rows(*span)} > 0" for span in dict.fromkeys(tested if presence else [(0, 0)])]
+    keep = [f"{bands.rows(*span)} > 0" for span in innermost(tested if presence else [(0, 0)])]
     placed = _by_key(rows, first_slot, last_slot, scenarios)
     if filled:  # the date of a slot where the key has no row is that of other keys
         of = F.expr(series or "0").alias("_series")

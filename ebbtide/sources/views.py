@@ -91,9 +91,10 @@ def slot_facts(spark: SparkSession, folder: str) -> DataFrame:
     slot = F.floor(F.datediff(F.lit(LAST_DAY), F.col("day")) / SLOT_DAYS).cast("int")
     n_slots = (LAST_DAY - oldest_order(spark, folder)).days // SLOT_DAYS + 1
     orders = order_rows(spark, folder).select(F.col("o_custkey").alias(KEY), slot.alias(SLOT), "*")
-    grid = read_table(spark, folder, "customer").select(
-        F.col("c_custkey").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias(SLOT)
-    )
+    # customers are few bytes, often one task's, but give n_slots rows each: they are dealt out before, to a number of
+    # tasks that is not merged again by size
+    keys = read_table(spark, folder, "customer").select(F.col("c_custkey").alias(KEY)).repartition(2 * spark.sparkContext.defaultParallelism)
+    grid = keys.select(KEY, F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias(SLOT))
 
     def total(column: str, scale: int = 1) -> Column:
         value = F.coalesce(F.sum(column), F.lit(0))

@@ -1,8 +1,10 @@
 import inspect
+import math
 import random
 from unittest.mock import MagicMock
 
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.operators import evaluate, model
 from ebbtide.plans import registry
@@ -98,6 +100,15 @@ def test_rounds_stand_alone_until_one_could_decide():
                 assert accepted or model.at_least(hits + won, played + more) > bar
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 62, 200])
+def test_bounds_below_a_value(spark, n):
+    bounds = [k / 4 for k in range(n)]
+    nan = [math.nan] if n == 9 else []
+    values = [-1.0, 0.0, 0.1, 0.25, 1.0, n / 4, n / 4 - 0.25, 1e9, math.nan]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select(model.count_below(F.col("v"), nan + bounds)).collect()
+    assert [r[0] for r in found] == [sum(math.isnan(v) or b < v for b in bounds) for v in values]
+
+
 def test_cross_validation_and_search(rows):
     row = model.cv_auc(rows, "CHURN", ["FF_SIGNAL"], 3, model.classifier({"maxIter": 2, "maxDepth": 2})).first()
     assert row.N_FOLDS == 3 and row.MEAN_AUC > 0.8 and 0 <= row.STD_AUC < 0.2

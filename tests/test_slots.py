@@ -171,3 +171,13 @@ def test_one_shuffle_of_the_facts(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     before = plan[plan.index("Exchange hashpartitioning") :]  # facts on their way to the key are not copied per scenario
     assert "Generate" not in before and "Window" not in plan
+
+
+def test_presence_is_asked_of_the_innermost_spans_only(spark):
+    assert slots.innermost([(0, 0), (0, 12), (-1, -1), (-2, -1), (-4, 0), (0, 0)]) == [(0, 0), (-1, -1)]
+    assert slots.innermost([(0, 1), (1, 2)]) == [(0, 1), (1, 2)]
+    frame = spark.createDataFrame(random_facts(1, 1), SCHEMA)
+    out = slots.slot_features(frame, LINES[:2], horizons(), scenarios=(4, 5), one_row_per_slot=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    condition = next(x for x in plan if "Filter" in x and "_arrays" in x)
+    assert condition.count("isnotnull") == 5  # the own slot and the four that the labels see

@@ -64,3 +64,29 @@ def test_orders_outside_the_calendar_are_an_error(spark, tmp_path):
         else:
             with pytest.raises(ValueError):
                 views.oldest_order(spark, str(folder))
+
+
+def test_grid_of_slots_is_made_by_many_tasks(spark, tmp_path):
+    from ebbtide.sources import views
+
+    empty = {
+        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz, o_totalprice double",
+        "lineitem": "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linenumber int, l_returnflag string, l_linestatus string",
+    }
+    some = {
+        "customer": ([(k, k % 2, "M", 1.0) for k in range(40)] + [(None, 0, "M", 1.0)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double"),
+        "nation": ([(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+    }
+    order = [(1, 7, "F", "1-URGENT", dt.datetime(2001, 1, 5), 10.0)]
+    for name, schema in empty.items():
+        spark.createDataFrame(order if name == "orders" else [], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, (rows, schema) in some.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    facts = views.slot_facts(spark, str(tmp_path))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grid = next(i for i, x in enumerate(plan) if "Generate explode" in x)
+    assert f"Repartition {2 * spark.sparkContext.defaultParallelism}, true" in plan[grid + 1]
+    slots = (views.LAST_DAY - dt.date(2001, 1, 5)).days // views.SLOT_DAYS + 1
+    found = [(r.PK, r.TIME_SLOT, r.GROSS_SALES) for r in facts.collect()]
+    assert sorted(found) == [(k, s, 10.0 if (k, s) == (7, slots - 1) else 0.0) for k in range(40) for s in range(slots)]
