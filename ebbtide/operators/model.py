@@ -50,6 +50,7 @@ RUNGS, SURVIVORS = (0.25, 0.5, 1.0), 1 / 3
 #: Bins of a number in a binned table; 0 is a missing one.
 BINS = 64
 #: Rows of a task that grows forests: fewer tasks than two a core only below the first, more only above the second.
+#: Up to the first, rows are too few to be dealt anew.
 LEAST_ROWS, MOST_ROWS = 10_000, 500_000
 
 
@@ -366,15 +367,19 @@ def with_lenders(rows: DataFrame, n: int, shifts: Sequence[int], words: Sequence
     """Label and words of every row beside, per shift, the words of the row that many positions before it.
 
     A row is sent to its own position and to one per shift, and all meet in a single shuffle, whatever the number of
-    shifts.  Positions are spread over the tasks evenly and stand in order there.
+    shifts.  Positions are spread over the tasks evenly and stand in order there.  Few rows stay in their place.
     """
-    slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    parts = max(1, min(math.ceil(n / LEAST_ROWS), max(2 * slots, math.ceil(n / MOST_ROWS))))
     places = [F.struct(((F.col("_row") + shift) % n).alias("_at"), F.lit(k).alias("_turn")) for k, shift in enumerate([0, *shifts])]
+    lent = [F.max(F.when(F.col("_turn") == k, F.col(w))).alias(f"{w}_{k}") for k in range(1, len(places)) for w in words]
+    if n <= LEAST_ROWS:
+        found = rows.select(F.inline(F.array(*places[1:])), *words).groupBy("_at").agg(*lent)
+        own = rows.select("_row", LABEL, *[F.col(w).alias(f"{w}_0") for w in words])
+        return own.join(F.broadcast(found), F.col("_row") == F.col("_at")).drop("_row", "_at")
+    slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    parts = min(math.ceil(n / LEAST_ROWS), max(2 * slots, math.ceil(n / MOST_ROWS)))
     sent = rows.select(F.inline(F.array(*places)), LABEL, *words).repartition(parts, "_at")
-    lent = [F.max(F.when(F.col("_turn") == k, F.col(w))).alias(f"{w}_{k}") for k in range(len(shifts) + 1) for w in words]
-    own = F.max(F.when(F.col("_turn") == 0, F.col(LABEL))).alias(LABEL)
-    return sent.groupBy("_at").agg(own, *lent).sortWithinPartitions("_at").drop("_at")
+    own = [F.max(F.when(F.col("_turn") == 0, F.col(c))).alias(name) for c, name in [(LABEL, LABEL), *[(w, f"{w}_0") for w in words]]]
+    return sent.groupBy("_at").agg(*own, *lent).sortWithinPartitions("_at").drop("_at")
 
 
 def shadow_selection(
